@@ -17,6 +17,11 @@ def micros(ts: Column) -> Column:
     )
 
 
+def floor_div(x: Column, width: int) -> Column:
+    """Whole-number division rounding down, also below zero."""
+    return F.call_function("div", x - F.pmod(x, F.lit(width)), F.lit(width))
+
+
 def round_binary(x: Column, scale: int = 2) -> Column:
     """Round the exact binary value, ties to even, for moderate ``x`` >= 0.
 
@@ -34,3 +39,27 @@ def round_binary(x: Column, scale: int = 2) -> Column:
     odd = F.pmod(below, F.lit(2.0)) == 1.0
     up = (half > 0.5) | ((half == 0.5) & ((error > 0.0) | ((error == 0.0) & odd)))
     return (below + F.when(up, 1.0).otherwise(0.0)) / factor
+
+
+_STRICT_JSON = {"allowSingleQuotes": "false"}
+
+
+def json_object(text: Column) -> Column:
+    """A JSON object as map<string,string>; null for any other or malformed text.
+
+    Parsed as the only element of an array, so that text after the object counts as malformed.
+    """
+    parsed = F.from_json(_as_element(text), "array<map<string,string>>", _STRICT_JSON)
+    return F.when(F.size(parsed) == 1, parsed[0])
+
+
+def json_strings(text: Column) -> Column:
+    """A JSON list as array<string>, an empty array for other JSON; null for malformed text."""
+    parsed = F.from_json(_as_element(text), "array<array<string>>", _STRICT_JSON)
+    items = F.when(F.size(parsed) == 1, parsed[0])
+    valid = F.try_parse_json(_as_element(text)).isNotNull()
+    return F.when(valid, F.coalesce(items, F.array().cast("array<string>")))
+
+
+def _as_element(text: Column) -> Column:
+    return F.concat(F.lit("["), text, F.lit("]"))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from stmtlog.functions import extract as X
 from stmtlog.functions.classify import confidence_of, indicators_of, purpose_of, rule_number, sub_type_of
+from stmtlog.functions.values import json_object
 
 CHECK = "integrity_check"
 FIX = "integrity_fix"
-JSON_OPTIONS = {"allowSingleQuotes": "false"}
 
 LABEL_REQUEST_HEAD = "Tell what the following SQL statement is for.\n\nStatement (at most its first 1000 characters):\n"
 LABEL_REQUEST_TAIL = (
@@ -70,7 +70,6 @@ def merge_labels(labelled: DataFrame, responses: DataFrame, min_length: int = 20
     statements meet the join; the rest of the log is not shuffled.
     """
     asks = F.coalesce(wants_external_label(min_length), F.lit(False))
-    answer = F.from_json("response", "map<string,string>", JSON_OPTIONS)
     usable = F.col("_answer").isNotNull()
     merged = {
         "purpose": F.when(usable, F.coalesce(F.col("_answer")["purpose"], F.lit("unknown"))).otherwise("unknown"),
@@ -85,7 +84,7 @@ def merge_labels(labelled: DataFrame, responses: DataFrame, min_length: int = 20
     asked = (
         labelled.filter(asks)
         .join(one_response_per(responses, "sql_id"), "sql_id", "left")
-        .withColumn("_answer", answer)
+        .withColumn("_answer", json_object(F.col("response")))
         .select(
             *[
                 F.when(F.col("response").isNotNull(), merged[c]).otherwise(F.col(c)).alias(c)
