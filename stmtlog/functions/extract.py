@@ -1,6 +1,6 @@
 """Tables, columns and relationships read from statement text, as column expressions.
 
-All functions take the *upper-cased* text.  Possessive quantifiers, and a start only where a
+All functions take the *upper-cased* text, and character classes that hold for it.  Possessive quantifiers, and a start only where a
 word starts, keep the scans linear on long unbroken words (hex or base64 literals); the
 matches are those of the plain patterns named in each function.
 """
@@ -11,12 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stmtlog.functions import patterns as P
-from stmtlog.functions.regex import SPACE, WORD, WORD_START
+from stmtlog.functions.regex import UNICODE, Classes
 
 _NO_STRINGS = "array<string>"
-_AS = f"{SPACE}*+=" + f"{SPACE}*+"
-# Start of a word, or the place where the previous match of the same scan ended.
-_WORD_OR_REST = rf"(?:{WORD_START}|\G)"
 
 
 def _all(text: Column, regex, group: int) -> Column:
@@ -24,6 +21,10 @@ def _all(text: Column, regex, group: int) -> Column:
     return F.regexp_extract_all(text, pattern, F.lit(group))
 
 
+def _equals(classes: Classes) -> str:
+    return f"{classes.space}*+={classes.space}*+"
+
+
 def _empty() -> Column:
     return F.array().cast(_NO_STRINGS)
 
@@ -32,7 +33,7 @@ def _non_blank(values: Column) -> Column:
     return F.filter(values, lambda v: v != "")
 
 
-def statement_tables(upper: Column, strict: bool = False) -> Column:
+def statement_tables(upper: Column, strict: bool = False, classes: Classes = UNICODE) -> Column:
     r"""Sorted distinct words after FROM, JOIN, INTO and UPDATE (``FROM\s+(\w+)`` and so on).
 
     A search for DELETE FROM would add nothing: its FROM is always found by the first search.
@@ -40,11 +41,11 @@ def statement_tables(upper: Column, strict: bool = False) -> Column:
     SET and ``EXTRACT(YEAR FROM d)`` gives D.  ``strict`` asks for whole keywords and leaves
     out words that cannot name a table.
     """
-    start = WORD_START if strict else ""
+    start = classes.word_start if strict else ""
     per_keyword = [
         F.when(
             F.contains(upper, F.lit(word)),
-            _all(upper, rf"(?d){start}{word}{SPACE}++({WORD}++)", 1),
+            _all(upper, rf"(?d){start}{word}{classes.space}++({classes.word}++)", 1),
         ).otherwise(_empty())
         for word in P.TABLE_KEYWORDS
     ]
@@ -56,7 +57,7 @@ def statement_tables(upper: Column, strict: bool = False) -> Column:
 
 def operation(upper: Column) -> Column:
     """SELECT, INSERT, UPDATE, DELETE or MERGE by the first word's prefix, else OTHER."""
-    head = F.regexp_extract(upper, rf"\A{SPACE}*+([A-Z]{{5,6}})", 1)
+    head = F.regexp_extract(upper, rf"\A{UNICODE.space}*+([A-Z]{{5,6}})", 1)
     chain = None
     for word in P.OPERATIONS:
         test = head.startswith(word)
@@ -64,21 +65,23 @@ def operation(upper: Column) -> Column:
     return chain.otherwise("OTHER")
 
 
-def columns_of_table(upper: Column, table: Column) -> Column:
+def columns_of_table(upper: Column, table: Column, classes: Classes = UNICODE) -> Column:
     r"""Distinct words after ``TABLE.`` (``TABLE\.(\w+)``); any word ending in TABLE counts."""
-    return F.array_distinct(_all(upper, F.concat(table, F.lit(rf"\.({WORD}++)")), 1))
+    return F.array_distinct(_all(upper, F.concat(table, F.lit(rf"\.({classes.word}++)")), 1))
 
 
-def related_tables(upper: Column, table: Column) -> Column:
+def related_tables(upper: Column, table: Column, classes: Classes = UNICODE) -> Column:
     r"""Distinct tables joined to one table.
 
     ``T\s+\w*\s*JOIN\s+(\w+)|(\w+)\s+\w*\s*JOIN\s+T``: one optional word between table and
     JOIN, aliases included.  An unmatched group is blank in Spark and dropped.
     """
+    # start of a word, or the place where the previous match of the same scan ended
+    begin = rf"(?:{classes.word_start}|\G)"
     # whitespace, one optional word or word-part, JOIN: the two ways \w* can end
-    to_join = rf"{SPACE}++(?:{WORD}++{SPACE}*+JOIN|{WORD}*JOIN){SPACE}++"
+    to_join = rf"{classes.space}++(?:{classes.word}++{classes.space}*+JOIN|{classes.word}*JOIN){classes.space}++"
     regex = F.concat(
-        table, F.lit(rf"{to_join}({WORD}++)|{_WORD_OR_REST}({WORD}++){to_join}"), table
+        table, F.lit(rf"{to_join}({classes.word}++)|{begin}({classes.word}++){to_join}"), table
     )
     return F.when(
         F.contains(upper, F.lit("JOIN")),
@@ -86,17 +89,18 @@ def related_tables(upper: Column, table: Column) -> Column:
     ).otherwise(_empty())
 
 
-def join_columns(upper: Column, table: Column) -> Column:
+def join_columns(upper: Column, table: Column, classes: Classes = UNICODE) -> Column:
     r"""Columns of one table on either side of an equality, duplicates kept.
 
     ``T\.(\w+)\s*=\s*\w+\.\w+|\w+\.\w+\s*=\s*T\.(\w+)``
     """
-    qualified = rf"{WORD}++\.{WORD}++"
+    equals = _equals(classes)
+    qualified = rf"{classes.word}++\.{classes.word}++"
     regex = F.concat(
         table,
-        F.lit(rf"\.({WORD}++){_AS}{qualified}|{WORD_START}{qualified}{_AS}"),
+        F.lit(rf"\.({classes.word}++){equals}{qualified}|{classes.word_start}{qualified}{equals}"),
         table,
-        F.lit(rf"\.({WORD}++)"),
+        F.lit(rf"\.({classes.word}++)"),
     )
     return F.when(
         F.contains(upper, F.lit("=")) & F.contains(upper, F.lit(".")),
@@ -104,9 +108,9 @@ def join_columns(upper: Column, table: Column) -> Column:
     ).otherwise(_empty())
 
 
-def qualified_columns(upper: Column) -> Column:
+def qualified_columns(upper: Column, classes: Classes = UNICODE) -> Column:
     r"""Distinct (qualifier, column) of every ``(\w+)\.(\w+)``; aliases and numbers included."""
-    pairs = _all(upper, rf"{WORD_START}({WORD}++\.{WORD}++)", 1)
+    pairs = _all(upper, rf"{classes.word_start}({classes.word}++\.{classes.word}++)", 1)
     return F.transform(
         F.array_distinct(pairs),
         lambda p: F.struct(
@@ -116,10 +120,10 @@ def qualified_columns(upper: Column) -> Column:
     )
 
 
-def insert_columns(upper: Column) -> Column:
+def insert_columns(upper: Column, classes: Classes = UNICODE) -> Column:
     r"""(table, column) of every ``INSERT\s+INTO\s+(\w+)\s*\(([^)]+)\)``, split at commas."""
-    regex = rf"INSERT{SPACE}++INTO{SPACE}++({WORD}++){SPACE}*+\(([^)]++)\)"
-    edge = rf"\A{SPACE}++|(?<!{SPACE}){SPACE}++\z"
+    regex = rf"INSERT{classes.space}++INTO{classes.space}++({classes.word}++){classes.space}*+\(([^)]++)\)"
+    edge = rf"\A{classes.space}++|(?<!{classes.space}){classes.space}++\z"
     named = F.transform(
         _all(upper, regex, 0),
         lambda whole: F.transform(
@@ -133,16 +137,17 @@ def insert_columns(upper: Column) -> Column:
     return F.array_distinct(F.flatten(named))
 
 
-def schema_columns(upper: Column) -> Column:
+def schema_columns(upper: Column, classes: Classes = UNICODE) -> Column:
     """(table, column) pairs by qualification and by INSERT column lists."""
-    return F.array_union(qualified_columns(upper), insert_columns(upper))
+    return F.array_union(qualified_columns(upper, classes), insert_columns(upper, classes))
 
 
-def relationship_edges(upper: Column) -> Column:
+def relationship_edges(upper: Column, classes: Classes = UNICODE) -> Column:
     r"""Both directions of every ``(\w+)\.(\w+)\s*=\s*(\w+)\.(\w+)`` between two names."""
-    name = rf"{WORD}++\.{WORD}++"
-    whole = F.array_distinct(_all(upper, rf"{WORD_START}{name}{_AS}{name}", 0))
-    parts = F.transform(whole, lambda w: F.split(w, rf"\.|{SPACE}*+={SPACE}*+"))
+    equals = _equals(classes)
+    name = rf"{classes.word}++\.{classes.word}++"
+    whole = F.array_distinct(_all(upper, rf"{classes.word_start}{name}{equals}{name}", 0))
+    parts = F.transform(whole, lambda w: F.split(w, rf"\.|{classes.space}*+={classes.space}*+"))
     other = F.filter(parts, lambda e: e[0] != e[2])
 
     def edge(parts, t1, c1, t2, c2):
@@ -162,8 +167,8 @@ def relationship_edges(upper: Column) -> Column:
     )
 
 
-def real_table_names(upper: Column) -> Column:
+def real_table_names(upper: Column, classes: Classes = UNICODE) -> Column:
     """Sorted distinct last name parts after FROM, JOIN, INTO, UPDATE and TABLE."""
     words = "|".join(P.REAL_NAME_KEYWORDS)
-    dotted = _all(upper, rf"(?:{words}){SPACE}++({WORD}++(?:\.{WORD}++)*+)", 1)
+    dotted = _all(upper, rf"(?:{words}){classes.space}++({classes.word}++(?:\.{classes.word}++)*+)", 1)
     return F.array_sort(F.array_distinct(F.transform(dotted, lambda n: F.substring_index(n, ".", -1))))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stmtlog.functions import extract as X
+from stmtlog.functions.regex import ASCII, UNICODE, Classes, is_ascii
 
 # kind: (a, b, c, d)
 OPERATION = "operation"  # table, operation, purpose
@@ -38,45 +39,48 @@ def _fact(kind: str, a: Column, b: Column, c: Column | None = None, d: Column |
     )
 
 
-def _per_table(kind: str, read) -> Column:
+def _per_table(kind: str, read, classes: Classes) -> Column:
     upper = F.col("_upper")
     return F.flatten(
-        F.transform("tables", lambda t: F.transform(read(upper, t), lambda v: _fact(kind, t, v)))
+        F.transform("tables", lambda t: F.transform(read(upper, t, classes), lambda v: _fact(kind, t, v)))
     )
 
 
-def _rows(kind: str) -> Column:
+def _rows(kind: str, classes: Classes) -> Column:
     upper, operation, purpose = F.col("_upper"), F.col("operation"), F.col("purpose")
     if kind == OPERATION:
         return F.transform("tables", lambda t: _fact(kind, t, operation, purpose))
     if kind == COLUMN:
-        return _per_table(kind, X.columns_of_table)
+        return _per_table(kind, X.columns_of_table, classes)
     if kind == RELATED:
-        return _per_table(kind, X.related_tables)
+        return _per_table(kind, X.related_tables, classes)
     if kind == JOIN_COLUMN:
-        return _per_table(kind, X.join_columns)
+        return _per_table(kind, X.join_columns, classes)
     if kind == QUALIFIED:
         return F.transform(
-            X.schema_columns(upper), lambda p: _fact(kind, p["table_name"], p["column_name"])
+            X.schema_columns(upper, classes), lambda p: _fact(kind, p["table_name"], p["column_name"])
         )
     if kind == EDGE:
         return F.transform(
-            X.relationship_edges(upper),
+            X.relationship_edges(upper, classes),
             lambda e: _fact(kind, e["table_name"], e["column_name"], e["other_table"], e["other_column"]),
         )
     if kind == USAGE:
-        return F.transform(X.real_table_names(upper), lambda t: _fact(kind, t, operation, purpose))
+        return F.transform(X.real_table_names(upper, classes), lambda t: _fact(kind, t, operation, purpose))
     raise ValueError(f"unknown kind of fact {kind!r}")
 
 
 def statement_facts(labelled: DataFrame, kinds: Iterable[str]) -> DataFrame:
     """(kind, a, b, c, d, n) over all statements; only the asked kinds are extracted."""
+    kinds = list(kinds)
     empty = F.array().cast("array<struct<kind:string,a:string,b:string,c:string,d:string>>")
-    arrays = [F.coalesce(_rows(kind), empty) for kind in kinds]
-    facts = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
+
+    def facts(classes: Classes) -> Column:
+        return F.concat(*[F.coalesce(_rows(kind, classes), empty) for kind in kinds])
+
     return (
         labelled.select(F.upper("sql_fulltext").alias("_upper"), "tables", "operation", "purpose")
-        .select(F.inline(facts))
+        .select(F.inline(F.when(is_ascii(F.col("_upper")), facts(ASCII)).otherwise(facts(UNICODE))))
         .groupBy("kind", "a", "b", "c", "d")
         .agg(F.count("*").alias("n"))
     )

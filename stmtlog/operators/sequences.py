@@ -244,13 +244,25 @@ def _pattern_counts(moments: DataFrame, width: int, cells: int) -> DataFrame:
     )
 
 
+def _first_seen(data: DataFrame, time: str) -> DataFrame:
+    return (
+        data.filter(F.col("parsing_schema_name").isNotNull())
+        .groupBy("parsing_schema_name")
+        .agg(micros(F.min(time)).alias("schema_first_us"))
+    )
+
+
 def fold_sequences(
-    labelled: DataFrame, window_minutes: int = P.WINDOW_MINUTES, cells: int = 10
+    labelled: DataFrame,
+    window_minutes: int = P.WINDOW_MINUTES,
+    cells: int = 10,
+    activity: DataFrame | None = None,
 ) -> DataFrame:
     """Recurring patterns (check kind, fix kind, shared tables) over all schemas.
 
     Each has the number of its pairs and, as representative, the first in discovery order.  Of
-    statements with equal schema, time and kind the least id stands for all.
+    statements with equal schema, time and kind the least id stands for all.  When a schema first
+    appears is read from ``activity`` where that summary is at hand.
     """
     schema = "parsing_schema_name"
     statements = stage(integrity_statements(labelled), "integrity")
@@ -258,11 +270,7 @@ def fold_sequences(
         statements.groupBy("is_check", schema, "us", "sub_type", "tables_key").agg(F.count("*").alias("n")),
         "moments",
     )
-    first_seen = (
-        labelled.filter(F.col(schema).isNotNull())
-        .groupBy(schema)
-        .agg(micros(F.min("last_load_time")).alias("schema_first_us"))
-    )
+    first_seen = _first_seen(labelled, "last_load_time") if activity is None else _first_seen(activity, "first_time")
     first = F.struct(
         "schema_first_us", schema, "check_us", "fix_us", "check_tables", "fix_tables"
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stmtlog.sources.statement_log import spread
+
 # Template n (from 0) is the text of every event with (2 * event_id) % 23 == n.
 TEMPLATES = [
     "SELECT c_name, COUNT(*) FROM customer GROUP BY c_name HAVING COUNT(*) > 1",
@@ -35,7 +37,7 @@ TEMPLATES = [
 
 def events_log(spark: SparkSession, folder: str, clock: str = "dense") -> DataFrame:
     """``dense``: one statement every 20 seconds from 2024-01-01; ``real``: the event's time."""
-    events = spark.read.parquet(f"{folder}/events.parquet")
+    events = spread(spark.read.parquet(f"{folder}/events.parquet").select("event_id", "user_id", "ts"))
     number = (F.col("event_id") * 2 % len(TEMPLATES)).cast("int")
     if clock == "dense":
         seconds = F.make_dt_interval(secs=F.col("event_id") * 20)

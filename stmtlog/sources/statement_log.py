@@ -77,3 +77,12 @@ def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     return conform(spark.table(name))
+
+
+def spread(data: DataFrame) -> DataFrame:
+    """Give every core work when a small log sits in fewer files than there are cores.
+
+    A log with at least one split per core stays as it is, without a shuffle.
+    """
+    cores = data.sparkSession.sparkContext.defaultParallelism
+    return data.repartition(cores) if data.rdd.getNumPartitions() < cores else data

@@ -4,12 +4,13 @@ import random
 import re
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from stmtlog.functions import extract as X
 from stmtlog.functions import patterns as P
 from stmtlog.functions.classify import rule_number
-from stmtlog.functions.regex import found
+from stmtlog.functions.regex import ASCII, UNICODE, found
 
 SPACES = [" ", "  ", "\n", " \n ", "\n\n", "\t", "\r\n", "\r", "\x1d", " ", "\x85", ""]
 
@@ -104,23 +105,31 @@ def expected_tables(text):
     return sorted(words)
 
 
-def test_extraction(spark):
+@pytest.mark.parametrize("classes", [UNICODE, ASCII])
+def test_extraction(spark, classes):
     texts = random_texts(NAMES, 4000, 5, 16) + [
         "insert into t (a, b ,\n c) values (1)", "INSERT INTO t (SELECT a, b FROM x)", "x JOIN ORDERS y JOIN ORD",
         "FROM ORD, x JOIN ORDERS y JOIN ORD", "SELECT 1 FROM orders JOIN part ON 1 = 1",
     ]
+    if classes is ASCII:
+        texts = [t for t in texts if t.isascii()]
+        assert len(texts) > 500
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("u", F.upper("t"))
     u = F.col("u")
-    per_table = lambda f: F.transform(X.statement_tables(u), lambda t: F.struct(t.alias("t"), f(u, t).alias("v")))
+    tables = X.statement_tables(u, classes=classes)
+
+    def per_table(f):
+        return F.transform(tables, lambda t: F.struct(t.alias("t"), f(u, t, classes).alias("v")))
+
     got = rows.select(
         "i",
-        X.statement_tables(u).alias("tables"),
+        tables.alias("tables"),
         per_table(X.columns_of_table).alias("columns"),
         per_table(X.related_tables).alias("related"),
         per_table(X.join_columns).alias("joins"),
-        X.qualified_columns(u).alias("qualified"),
-        X.insert_columns(u).alias("inserted"),
-        X.relationship_edges(u).alias("edges"),
+        X.qualified_columns(u, classes).alias("qualified"),
+        X.insert_columns(u, classes).alias("inserted"),
+        X.relationship_edges(u, classes).alias("edges"),
     ).collect()
     for r in got:
         text = texts[r.i]
