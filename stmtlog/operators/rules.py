@@ -145,6 +145,11 @@ def merge_insights(rules: DataFrame, responses: DataFrame) -> DataFrame:
     )
 
 
+def prioritised(rules: DataFrame) -> DataFrame:
+    """All rules in order; a range-partitioned sort."""
+    return rules.orderBy(*rule_order())
+
+
 def rule_report(rules: DataFrame, k: int = 50) -> DataFrame:
     """The ``k`` rules of highest priority as report rows."""
     return rules.orderBy(*rule_order()).limit(k).select(*report_columns())
