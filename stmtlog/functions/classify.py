@@ -6,36 +6,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stmtlog.functions import patterns as P
-from stmtlog.functions.regex import found
+from stmtlog.functions.regex import first_found_sql
 
 
-def rule_number(upper: Column) -> Column:
-    """Number (from 1) of the first purpose rule found in the upper-cased text, else 0."""
-    chain = None
-    for number, (_, _, _, pattern) in enumerate(P.PURPOSE_RULES, start=1):
-        test = found(upper, pattern)
-        chain = F.when(test, F.lit(number)) if chain is None else chain.when(test, F.lit(number))
-    return chain.otherwise(F.lit(0))
+def rule_number(upper: str) -> Column:
+    """Number (from 1) of the first purpose rule found in the upper-cased text column, else 0."""
+    patterns = [rule[3] for rule in P.PURPOSE_RULES]
+    numbers = [str(n) for n in range(1, len(patterns) + 1)]
+    return F.expr(first_found_sql(upper, patterns, numbers, "0"))
 
 
-def _by_number(number: Column, values: list, default) -> Column:
-    table = F.array(F.lit(default), *[F.lit(v) for v in values])
-    return F.get(table, number)
+def _by_number(number: str, field: int, default: str) -> Column:
+    values = [rule[field] for rule in P.PURPOSE_RULES]
+    items = [f"{v}D" if isinstance(v, float) else f"'{v}'" for v in values]
+    return F.expr(f"get(array({', '.join([default, *items])}), {number})")
 
 
-def purpose_of(number: Column) -> Column:
-    return _by_number(number, [r[0] for r in P.PURPOSE_RULES], "unknown")
+def purpose_of(number: str) -> Column:
+    return _by_number(number, 0, "'unknown'")
 
 
-def sub_type_of(number: Column) -> Column:
-    return _by_number(number, [r[1] for r in P.PURPOSE_RULES], "")
+def sub_type_of(number: str) -> Column:
+    return _by_number(number, 1, "''")
 
 
-def confidence_of(number: Column) -> Column:
-    return _by_number(number, [r[2] for r in P.PURPOSE_RULES], 0.0)
+def confidence_of(number: str) -> Column:
+    return _by_number(number, 2, "0D")
 
 
-def indicators_of(sub_type: Column) -> Column:
-    return F.when(
-        sub_type != "", F.array(F.concat(F.lit("Pattern: "), sub_type))
-    ).otherwise(F.array().cast("array<string>"))
+def indicators_of(number: str) -> Column:
+    text = F.concat(F.lit("Pattern: "), sub_type_of(number))
+    return F.when(F.col(number) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))

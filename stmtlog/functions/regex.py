@@ -94,17 +94,23 @@ def required_words(pattern: str) -> list[str]:
     return list(dict.fromkeys(reversed(words)))
 
 
-def found(text: Column, pattern: str) -> Column:
-    """Does ``pattern`` occur in ``text``?  A word search on the bytes runs before any regex."""
-    result = None
+def found_sql(text: str, pattern: str) -> str:
+    """SQL condition: does ``pattern`` occur in ``text``?  Words are looked for before any regex.
+
+    Text and not Column, because the rules make hundreds of nodes and each would cost a call to
+    the JVM.
+    """
+    tests = []
     for plain, linear in zip(pattern.split("|"), linear_forms(pattern)):
-        test = None
-        for word in required_words(plain):
-            has = F.contains(text, F.lit(word))
-            test = has if test is None else test & has
-        test = test & text.rlike(linear)
-        result = test if result is None else result | test
-    return result
+        words = [f"contains({text}, '{word}')" for word in required_words(plain)]
+        tests.append(" AND ".join([*words, f"{text} RLIKE r'{linear}'"]))
+    return " OR ".join(f"({test})" for test in tests)
+
+
+def first_found_sql(text: str, patterns: list[str], values: list[str], default: str) -> str:
+    """SQL expression: the value of the first pattern that occurs in ``text``."""
+    cases = " ".join(f"WHEN {found_sql(text, p)} THEN {v}" for p, v in zip(patterns, values))
+    return f"CASE {cases} ELSE {default} END"
 
 
 def is_ascii(text: Column) -> Column:

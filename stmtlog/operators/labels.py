@@ -27,17 +27,15 @@ def label_statements(log: DataFrame, strict_tables: bool = False) -> DataFrame:
     stays above it: pushed into the scan it would have the chain of regexes run twice.
     """
     upper = F.col("_upper")
-    number = F.col("_rule")
-    columns = [F.col(c) for c in log.columns]
     return (
-        log.select(*columns, F.upper("sql_fulltext").alias("_upper"))
-        .select(*columns, "_upper", F.explode(F.array(rule_number(upper))).alias("_rule"))
+        log.select("*", F.upper("sql_fulltext").alias("_upper"))
+        .select("*", F.explode(F.array(rule_number("_upper"))).alias("_rule"))
         .select(
-            *columns,
-            purpose_of(number).alias("purpose"),
-            sub_type_of(number).alias("sub_type"),
-            confidence_of(number).alias("confidence"),
-            indicators_of(sub_type_of(number)).alias("indicators"),
+            *log.columns,
+            purpose_of("_rule").alias("purpose"),
+            sub_type_of("_rule").alias("sub_type"),
+            confidence_of("_rule").alias("confidence"),
+            indicators_of("_rule").alias("indicators"),
             X.statement_tables(upper, strict_tables).alias("tables"),
             X.operation(upper).alias("operation"),
         )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stmtlog.functions import patterns as P
-from stmtlog.functions.regex import found
+from stmtlog.functions.regex import first_found_sql
 from stmtlog.functions.values import json_object
 from stmtlog.operators.labels import one_response_per
 from stmtlog.operators.sequences import DISCOVERY_ORDER
@@ -18,30 +18,21 @@ def rule_order() -> list[Column]:
     return [F.desc("priority_score"), *[F.col(c) for c in DISCOVERY_ORDER]]
 
 
-def category(check_sql: Column) -> Column:
-    upper = F.upper(check_sql)
-    chain = None
-    for name, pattern in P.CATEGORY_RULES:
-        test = found(upper, pattern)
-        chain = F.when(test, name) if chain is None else chain.when(test, name)
-    return chain.otherwise(P.DEFAULT_CATEGORY)
+def category(upper_check_sql: str) -> Column:
+    """Category of the first library pattern found in a column of upper-cased check texts."""
+    patterns = [pattern for _, pattern in P.CATEGORY_RULES]
+    values = [f"'{name}'" for name, _ in P.CATEGORY_RULES]
+    return F.expr(first_found_sql(upper_check_sql, patterns, values, f"'{P.DEFAULT_CATEGORY}'"))
 
 
-def business_impact(tables: Column, issue_type: Column) -> Column:
+def business_impact(tables: str, issue_type: str) -> Column:
     """Impact by the first level one of whose words occurs in a table name."""
-    chain = None
+    cases = []
     for level, words in P.IMPACT_KEYWORDS:
-        test = F.exists(tables, lambda t: _any(F.contains(F.upper(t), F.lit(w)) for w in words))
-        text = F.concat(F.lit(f"{level} - Affects "), F.replace(issue_type, F.lit("_"), F.lit(" ")))
-        chain = F.when(test, text) if chain is None else chain.when(test, text)
-    return chain.otherwise(P.DEFAULT_IMPACT)
-
-
-def _any(tests) -> Column:
-    result = None
-    for test in tests:
-        result = test if result is None else result | test
-    return result
+        any_word = " OR ".join(f"contains(upper(t), '{word}')" for word in words)
+        text = f"concat('{level} - Affects ', replace({issue_type}, '_', ' '))"
+        cases.append(f"WHEN exists({tables}, t -> {any_word}) THEN {text}")
+    return F.expr(f"CASE {' '.join(cases)} ELSE '{P.DEFAULT_IMPACT}' END")
 
 
 def severity(mean_importance: Column, has_tables: Column) -> Column:
@@ -97,9 +88,14 @@ def integrity_rules(sequences: DataFrame, profiles: DataFrame) -> DataFrame:
     """One rule per sequence; ``profiles`` holds (table_name, importance)."""
     issue = F.col("issue_type")
     spaced = F.replace(issue, F.lit("_"), F.lit(" "))
-    base = mean_importance(sequences, profiles).select(
-        "*", category(F.col("check_sql")).alias("category"),
-        severity(F.col("mean_importance"), F.size("tables") > 0).alias("severity"),
+    base = (
+        mean_importance(sequences, profiles)
+        .withColumn("_upper", F.upper("check_sql"))
+        .select(
+            "*",
+            category("_upper").alias("category"),
+            severity(F.col("mean_importance"), F.size("tables") > 0).alias("severity"),
+        )
     )
     return base.select(
         F.concat(
@@ -119,7 +115,7 @@ def integrity_rules(sequences: DataFrame, profiles: DataFrame) -> DataFrame:
         "severity",
         F.col("occurrence_count").alias("frequency"),
         "confidence",
-        business_impact(F.col("tables"), issue).alias("business_impact"),
+        business_impact("tables", "issue_type").alias("business_impact"),
         priority(F.col("severity"), F.col("occurrence_count"), F.col("confidence")).alias("priority_score"),
         *DISCOVERY_ORDER[:-3],
         "tables_key",

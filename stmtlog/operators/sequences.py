@@ -30,13 +30,13 @@ def integrity_statements(labelled: DataFrame) -> DataFrame:
     """The checks and fixes that can take part in a sequence.
 
     Table sets become comma-joined sorted names (``tables_key``), which group and compare faster
-    than arrays.  Without a time, a schema or a table there is no sequence.
+    than arrays.  Without a time, a schema or a table there is no sequence.  The result is a
+    stage table; names are tested on what was staged, so that they are extracted once.
     """
-    return labelled.filter(
+    statements = labelled.filter(
         F.col("purpose").isin(CHECK, FIX)
         & F.col("parsing_schema_name").isNotNull()
         & F.col("last_load_time").isNotNull()
-        & (F.size("tables") > 0)
     ).select(
         (F.col("purpose") == CHECK).alias("is_check"),
         "parsing_schema_name",
@@ -47,14 +47,12 @@ def integrity_statements(labelled: DataFrame) -> DataFrame:
         "confidence",
         "sql_fulltext",
     )
+    return stage(statements, "integrity").filter(F.col("tables_key") != "")
 
 
-def issue_type(check_pattern: Column, fix_pattern: Column) -> Column:
-    chain = None
-    for check, fix, issue in P.ISSUE_TYPES:
-        test = (check_pattern == check) & (fix_pattern == fix)
-        chain = F.when(test, issue) if chain is None else chain.when(test, issue)
-    return chain.otherwise(P.DEFAULT_ISSUE_TYPE)
+def issue_type(check_pattern: str, fix_pattern: str) -> Column:
+    cases = [f"WHEN {check_pattern} = '{c}' AND {fix_pattern} = '{f}' THEN '{i}'" for c, f, i in P.ISSUE_TYPES]
+    return F.expr(f"CASE {' '.join(cases)} ELSE '{P.DEFAULT_ISSUE_TYPE}' END")
 
 
 def _shared(left: Column, right: Column) -> Column:
@@ -73,7 +71,7 @@ def check_fix_pairs(labelled: DataFrame, window_minutes: int = P.WINDOW_MINUTES)
     for want of a table.
     """
     width = window_minutes * MINUTE
-    statements = stage(integrity_statements(labelled), "integrity")
+    statements = integrity_statements(labelled)
     bucket = floor_div(F.col("us"), width)
 
     def side(check: bool, buckets: Column) -> DataFrame:
@@ -106,7 +104,7 @@ def check_fix_pairs(labelled: DataFrame, window_minutes: int = P.WINDOW_MINUTES)
             F.col("check_sub_type").alias("check_pattern"),
             F.col("fix_sub_type").alias("fix_pattern"),
             tables.alias("tables"),
-            issue_type(F.col("check_sub_type"), F.col("fix_sub_type")).alias("issue_type"),
+            issue_type("check_sub_type", "fix_sub_type").alias("issue_type"),
             F.least("check_confidence", "fix_confidence").alias("confidence"),
             F.lit(1).alias("occurrence_count"),
         )
@@ -265,7 +263,7 @@ def fold_sequences(
     appears is read from ``activity`` where that summary is at hand.
     """
     schema = "parsing_schema_name"
-    statements = stage(integrity_statements(labelled), "integrity")
+    statements = integrity_statements(labelled)
     moments = stage(
         statements.groupBy("is_check", schema, "us", "sub_type", "tables_key").agg(F.count("*").alias("n")),
         "moments",
@@ -320,7 +318,7 @@ def fold_sequences(
         "check_pattern",
         "fix_pattern",
         F.split("tables_key", ",").alias("tables"),
-        issue_type(F.col("check_pattern"), F.col("fix_pattern")).alias("issue_type"),
+        issue_type("check_pattern", "fix_pattern").alias("issue_type"),
         F.least("_check.confidence", "_fix.confidence").alias("confidence"),
         "occurrence_count",
         "schema_first_us", schema, "check_us", "fix_us", "check_tables", "fix_tables", "tables_key",

@@ -38,7 +38,8 @@ TEMPLATES = [
 def events_log(spark: SparkSession, folder: str, clock: str = "dense") -> DataFrame:
     """``dense``: one statement every 20 seconds from 2024-01-01; ``real``: the event's time."""
     events = spread(spark.read.parquet(f"{folder}/events.parquet").select("event_id", "user_id", "ts"))
-    number = (F.col("event_id") * 2 % len(TEMPLATES)).cast("int")
+    texts = ", ".join("r'{}'".format(t) if "'" not in t else f'r"{t}"' for t in TEMPLATES)
+    text = F.expr(f"get(array({texts}), CAST(event_id * 2 % {len(TEMPLATES)} AS INT))")
     if clock == "dense":
         seconds = F.make_dt_interval(secs=F.col("event_id") * 20)
         time = F.lit("2024-01-01").cast("timestamp_ntz") + seconds
@@ -46,7 +47,7 @@ def events_log(spark: SparkSession, folder: str, clock: str = "dense") -> DataFr
         time = F.col("ts").cast("timestamp_ntz")
     return events.select(
         F.concat(F.lit("S"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("sql_id"),
-        F.get(F.array(*[F.lit(t) for t in TEMPLATES]), number).alias("sql_fulltext"),
+        text.alias("sql_fulltext"),
         F.concat(F.lit("APP"), (F.col("user_id") % 4).cast("string")).alias("parsing_schema_name"),
         time.alias("last_load_time"),
     )

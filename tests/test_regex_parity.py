@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stmtlog.functions import extract as X
 from stmtlog.functions import patterns as P
 from stmtlog.functions.classify import rule_number
-from stmtlog.functions.regex import ASCII, UNICODE, found
+from stmtlog.functions.regex import ASCII, UNICODE, found_sql
 
 SPACES = [" ", "  ", "\n", " \n ", "\n\n", "\t", "\r\n", "\r", "\x1d", " ", "\x85", ""]
 
@@ -67,7 +67,7 @@ def test_purpose_rules(spark):
     patterns = [r[3] for r in P.PURPOSE_RULES]
     texts = chain_texts(patterns, 60, 1) + random_texts(WORDS, 3000, 2)
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = {r.i: r.n for r in rows.select("i", rule_number(F.upper("t")).alias("n")).collect()}
+    got = {r.i: r.n for r in rows.select("i", F.upper("t").alias("u")).select("i", rule_number("u").alias("n")).collect()}
     wrong = [(t, expected_rule(t), got[i]) for i, t in enumerate(texts) if got[i] != expected_rule(t)]
     assert not wrong, wrong[:5]
     assert set(got.values()) >= set(range(20)) - {14}
@@ -77,7 +77,7 @@ def test_each_pattern_alone(spark):
     patterns = [r[3] for r in P.PURPOSE_RULES] + [r[1] for r in P.CATEGORY_RULES]
     texts = chain_texts(patterns, 40, 3) + random_texts(WORDS, 1500, 4)
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    tests = [found(F.col("u"), p).alias(f"p{k}") for k, p in enumerate(patterns)]
+    tests = [F.expr(found_sql("u", p)).alias(f"p{k}") for k, p in enumerate(patterns)]
     got = rows.select("i", F.upper("t").alias("u")).select("i", *tests).collect()
     wrong = []
     hits = [0] * len(patterns)
@@ -172,7 +172,7 @@ def test_long_texts_stay_linear(spark):
     u = F.col("u")
     started = time.time()
     rows.select(
-        rule_number(u),
+        rule_number("u"),
         X.statement_tables(u),
         F.transform(X.statement_tables(u), lambda t: F.struct(X.columns_of_table(u, t), X.related_tables(u, t), X.join_columns(u, t))),
         X.schema_columns(u),
