@@ -44,7 +44,8 @@ def _facts(spark: SparkSession, folder: str, *kinds: str) -> DataFrame:
 
 
 def _sequences(spark: SparkSession, folder: str) -> DataFrame:
-    return sequences.fold_sequences(_log(spark, folder))
+    log = events_log(spark, folder)
+    return sequences.fold_sequences(labels.label_statements(log), seen_in=log)
 
 
 def _profiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -145,14 +146,14 @@ def first_sequences(spark, folder):
 def analysis_summary(spark, folder):
     log = _log(spark, folder)
     activity = stage(S.activity(log), "activity")
-    summary = S.analysis_summary(activity, sequences.fold_sequences(log, activity=activity))
+    summary = S.analysis_summary(activity, sequences.fold_sequences(log, seen_in=activity))
     return _as_text(summary, MICROS, "start_time", "end_time")
 
 
 def integrity_counts(spark, folder):
     log = _log(spark, folder)
     activity = stage(S.activity(log), "activity")
-    return S.integrity_counts(activity, sequences.fold_sequences(log, activity=activity))
+    return S.integrity_counts(activity, sequences.fold_sequences(log, seen_in=activity))
 
 
 def statement_samples(spark, folder):

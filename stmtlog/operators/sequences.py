@@ -171,21 +171,20 @@ def _pattern_counts(moments: DataFrame, width: int, cells: int) -> DataFrame:
         F.sum("n").alias("n"), F.min("us").alias("first_us")
     )
 
-    # kinds that share a table and occur in the same or the following window
+    # check cells with the fix kinds that share a table and occur in this or the next window
     near = fix_cells.select(
         schema, F.explode(F.array(bucket_of, bucket_of - 1)).alias("bucket"), *fix_kind
     ).distinct()
     tables = _shared(F.col("check_tables"), F.col("fix_tables"))
     partners = (
-        check_cells.select(schema, "bucket", *check_kind)
-        .distinct()
-        .withColumn("shared_table", F.explode(F.split("check_tables", ",")))
+        check_cells.withColumn("shared_table", F.explode(F.split("check_tables", ",")))
         .join(
             near.withColumn("shared_table", F.explode(F.split("fix_tables", ","))),
             [schema, "bucket", "shared_table"],
         )
         .filter(F.col("shared_table") == tables[0])
-        .select(schema, "bucket", *check_kind, *fix_kind, F.array_join(tables, ",").alias("tables_key"))
+        .drop("shared_table")
+        .withColumn("tables_key", F.array_join(tables, ","))
     )
 
     # middle part: whole cells
@@ -206,12 +205,7 @@ def _pattern_counts(moments: DataFrame, width: int, cells: int) -> DataFrame:
         ),
     )
     per_cell = (
-        _after(
-            check_cells.join(partners, [schema, "bucket", *check_kind]),
-            cell_marks,
-            [schema, "bucket", *fix_kind],
-            "cell",
-        )
+        _after(partners, cell_marks, [schema, "bucket", *fix_kind], "cell")
         .withColumnRenamed("after_n", "later_n")
         .withColumnRenamed("after_first_us", "later_first_us")
         .drop("bucket")
@@ -242,7 +236,8 @@ def _pattern_counts(moments: DataFrame, width: int, cells: int) -> DataFrame:
     )
 
 
-def _first_seen(data: DataFrame, time: str) -> DataFrame:
+def _first_seen(data: DataFrame) -> DataFrame:
+    time = "first_time" if "first_time" in data.columns else "last_load_time"
     return (
         data.filter(F.col("parsing_schema_name").isNotNull())
         .groupBy("parsing_schema_name")
@@ -254,13 +249,14 @@ def fold_sequences(
     labelled: DataFrame,
     window_minutes: int = P.WINDOW_MINUTES,
     cells: int = 10,
-    activity: DataFrame | None = None,
+    seen_in: DataFrame | None = None,
 ) -> DataFrame:
     """Recurring patterns (check kind, fix kind, shared tables) over all schemas.
 
     Each has the number of its pairs and, as representative, the first in discovery order.  Of
-    statements with equal schema, time and kind the least id stands for all.  When a schema first
-    appears is read from ``activity`` where that summary is at hand.
+    statements with equal schema, time and kind the least id stands for all.  ``seen_in`` is where
+    the first appearance of a schema is read from: the unlabelled log or its activity summary,
+    either of which spares labelling the log once more.
     """
     schema = "parsing_schema_name"
     statements = integrity_statements(labelled)
@@ -268,7 +264,7 @@ def fold_sequences(
         statements.groupBy("is_check", schema, "us", "sub_type", "tables_key").agg(F.count("*").alias("n")),
         "moments",
     )
-    first_seen = _first_seen(labelled, "last_load_time") if activity is None else _first_seen(activity, "first_time")
+    first_seen = _first_seen(labelled if seen_in is None else seen_in)
     first = F.struct(
         "schema_first_us", schema, "check_us", "fix_us", "check_tables", "fix_tables"
     )

@@ -45,7 +45,7 @@ def analyse(
     activity = stage(statistics.activity(labelled), "activity")
     facts = stage(K.statement_facts(labelled, K.PROFILE_KINDS + K.SCHEMA_KINDS), "facts")
     folded = stage(
-        sequences.fold_sequences(labelled, window_minutes, activity=activity), "sequences"
+        sequences.fold_sequences(labelled, window_minutes, seen_in=activity), "sequences"
     )
     important = profiles.with_importance(profiles.table_profiles(facts))
     discovered = stage(rules.integrity_rules(folded, important), "rules")
