@@ -6,7 +6,7 @@ rows counted per label, schema and hour in column ``n``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stmtlog.operators.labels import CHECK, FIX
@@ -15,9 +15,9 @@ TIME = "last_load_time"
 
 
 def activity(labelled: DataFrame) -> DataFrame:
-    """One pass over the log: statements per purpose, sub_type, schema and hour, with time bounds."""
+    """One pass over the log: statements per purpose, sub_type, schema, day and hour, with time bounds."""
     return labelled.groupBy(
-        "purpose", "sub_type", "parsing_schema_name", F.date_trunc("hour", TIME).cast("timestamp_ntz").alias(TIME)
+        "purpose", "sub_type", "parsing_schema_name", F.to_date(TIME).alias("day"), F.hour(TIME).alias("hour")
     ).agg(F.count("*").alias("n"), F.min(TIME).alias("first_time"), F.max(TIME).alias("last_time"))
 
 
@@ -31,12 +31,15 @@ def _total(data: DataFrame, test: Column | None = None) -> Column:
 
 
 def purpose_counts(data: DataFrame) -> DataFrame:
-    """Statements per purpose with their share in percent; the total runs over the few purposes."""
+    """Statements per purpose with their share in percent.
+
+    The total is a scalar subquery over the same counts, whose shuffle it reuses.
+    """
     counts = data.groupBy("purpose").agg(_total(data).alias("n_statements"))
-    everything = Window.partitionBy()
-    return counts.withColumn(
-        "percentage", F.col("n_statements") / F.sum("n_statements").over(everything) * 100
-    ).orderBy(F.desc("n_statements"), "purpose")
+    total = counts.agg(F.sum("n_statements")).scalar()
+    return counts.withColumn("percentage", F.col("n_statements") / total * 100).orderBy(
+        F.desc("n_statements"), "purpose"
+    )
 
 
 def schema_counts(data: DataFrame) -> DataFrame:
@@ -99,62 +102,56 @@ def analysis_summary(data: DataFrame, sequences: DataFrame) -> DataFrame:
 
 
 def _timed(data: DataFrame) -> DataFrame:
-    return data.filter(F.col(TIME).isNotNull())
+    """Rows with a time, as day and hour by the wall clock."""
+    if "n" not in data.columns:
+        data = data.withColumns({"day": F.to_date(TIME), "hour": F.hour(TIME)})
+    return data.filter(F.col("day").isNotNull())
+
+
+def _timed_integrity(data: DataFrame) -> DataFrame:
+    return _timed(data).filter(F.col("purpose").isin(CHECK, FIX))
 
 
 def hourly_counts(data: DataFrame) -> DataFrame:
-    return (
-        _timed(data).groupBy(F.hour(TIME).alias("hour")).agg(_total(data).alias("n_statements")).orderBy("hour")
-    )
+    return _timed(data).groupBy("hour").agg(_total(data).alias("n_statements")).orderBy("hour")
 
 
 def daily_counts(data: DataFrame) -> DataFrame:
-    return (
-        _timed(data).groupBy(F.to_date(TIME).alias("day")).agg(_total(data).alias("n_statements")).orderBy("day")
-    )
+    return _timed(data).groupBy("day").agg(_total(data).alias("n_statements")).orderBy("day")
 
 
-def _integrity_pivot(data: DataFrame, key: Column) -> DataFrame:
-    timed = _timed(data).filter(F.col("purpose").isin(CHECK, FIX))
-    return (
-        timed.groupBy(key)
-        .agg(
-            _total(data, F.col("purpose") == CHECK).alias(CHECK),
-            _total(data, F.col("purpose") == FIX).alias(FIX),
-        )
-    )
+def _integrity_pivot(data: DataFrame, key: str) -> DataFrame:
+    sides = [_total(data, F.col("purpose") == purpose).alias(purpose) for purpose in (CHECK, FIX)]
+    return _timed_integrity(data).groupBy(key).agg(*sides).orderBy(key)
 
 
 def hourly_pivot(data: DataFrame) -> DataFrame:
     """Checks and fixes per hour of the day, side by side, 0 where there are none."""
-    return _integrity_pivot(data, F.hour(TIME).alias("hour")).orderBy("hour")
+    return _integrity_pivot(data, "hour")
 
 
 def daily_pivot(data: DataFrame) -> DataFrame:
     """Checks and fixes per day, side by side, 0 where there are none."""
-    return _integrity_pivot(data, F.to_date(TIME).alias("day")).orderBy("day")
+    return _integrity_pivot(data, "day")
 
 
 def weekly_trends(data: DataFrame, k: int = 10) -> DataFrame:
     """Checks and fixes per week (Monday to Sunday) and sub_type; above the mean is ``increasing``.
 
-    The mean runs over the (week, sub_type) groups, a few per week.
+    The mean over all (week, sub_type) groups is a scalar subquery that reuses their shuffle.
     """
-    monday = F.to_date(F.date_trunc("week", TIME))
+    monday = F.date_sub("day", F.weekday("day"))
     counts = (
-        _timed(data)
-        .filter(F.col("purpose").isin(CHECK, FIX))
+        _timed_integrity(data)
         .groupBy(monday.alias("week_start"), F.coalesce("sub_type", F.lit("")).alias("issue_type"))
         .agg(_total(data).alias("n_statements"))
     )
-    mean = F.avg("n_statements").over(Window.partitionBy())
+    mean = counts.agg(F.avg("n_statements")).scalar()
     return (
         counts.withColumn("trend", F.when(F.col("n_statements") > mean, "increasing").otherwise("stable"))
         .select(
             F.concat_ws(
-                "/",
-                F.date_format("week_start", "yyyy-MM-dd"),
-                F.date_format(F.date_add("week_start", 6), "yyyy-MM-dd"),
+                "/", F.col("week_start").cast("string"), F.date_add("week_start", 6).cast("string")
             ).alias("period"),
             "issue_type",
             "n_statements",
