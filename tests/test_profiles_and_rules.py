@@ -1,0 +1,206 @@
+"""Schema, profiles, rules, plan and monitor against plain Python on small inputs."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from helpers import F as TEXT
+from helpers import at, make_log
+from pyspark.sql import functions as F
+
+from stmtlog.functions import patterns as P
+from stmtlog.operators import facts as K
+from stmtlog.operators import labels, monitor, profiles, remediation, schema
+from stmtlog.operators import rules as R
+from stmtlog.operators import sequences as Q
+
+MORE = [
+    "select É.ü, 1.5 from été É join b on É.x = b.y and b.y = É.x",
+    "INSERT INTO t (a, b) SELECT a, 0.25 FROM own.src s JOIN t ON s.k = t.k",
+    "SELECT * FROM t a, t b WHERE a.p = b.q AND t.z = 1.75",
+]
+
+
+def log_rows(count=300, seed=4):
+    rng = random.Random(seed)
+    texts = [*TEXT.values(), *MORE]
+    return [(f"q{i}", rng.choice(texts), rng.choice(["A", "B"]), at(rng.randrange(4000))) for i in range(count)]
+
+
+def pull(pattern, text):
+    return re.findall(pattern, text, re.IGNORECASE)
+
+
+def tables_of(text):
+    found = set()
+    for word in ["FROM", "JOIN", "INTO", "UPDATE"]:
+        found |= {m.upper() for m in pull(word + r"\s+(\w+)", text)}
+    return found
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return log_rows()
+
+
+@pytest.fixture(scope="module")
+def labelled(spark, rows):
+    return labels.label_statements(make_log(spark, rows)).cache()
+
+
+@pytest.fixture(scope="module")
+def facts(labelled):
+    return K.statement_facts(labelled, K.PROFILE_KINDS + K.SCHEMA_KINDS).cache()
+
+
+@pytest.fixture(scope="module")
+def important(facts):
+    return profiles.with_importance(profiles.table_profiles(facts))
+
+
+def test_profiles(labelled, rows, facts, important):
+    purpose = {r.sql_id: (r.purpose, r.operation) for r in labelled.collect()}
+    used, checks, fixes, ops = Counter(), Counter(), Counter(), Counter()
+    columns, related, joins = defaultdict(set), defaultdict(set), Counter()
+    for i, text, _, _ in rows:
+        for t in tables_of(text):
+            p, o = purpose[i]
+            used[t] += 1
+            ops[t, o] += 1
+            checks[t] += p == "integrity_check"
+            fixes[t] += p == "integrity_fix"
+            columns[t] |= {c.upper() for c in pull(rf"{t}\.(\w+)", text)}
+            for m in pull(rf"{t}\s+\w*\s*JOIN\s+(\w+)|(\w+)\s+\w*\s*JOIN\s+{t}", text):
+                related[t] |= {g.upper() for g in m if g}
+            for m in pull(rf"{t}\.(\w+)\s*=\s*\w+\.\w+|\w+\.\w+\s*=\s*{t}\.(\w+)", text):
+                joins.update((t, g.upper()) for g in m if g)
+    got = {r.table_name: r for r in important.collect()}
+    assert set(got) == set(used)
+    tops = (
+        max(used.values()), max(checks[t] + fixes[t] for t in used), max(1, max(len(related[t]) for t in used)),
+    )
+    for t, r in got.items():
+        assert (r.usage, r.n_checks, r.n_fixes) == (used[t], checks[t], fixes[t])
+        for o in [*P.OPERATIONS, "OTHER"]:
+            assert r[f"n_{o.lower()}"] == ops[t, o]
+        assert (r.n_columns, r.n_related) == (len(columns[t]), len(related[t]))
+        want = 0.3 * (used[t] / tops[0]) + 0.4 * ((checks[t] + fixes[t]) / tops[1]) + 0.3 * (len(related[t]) / tops[2])
+        assert r.importance == want and 0 <= r.importance <= 1
+    assert {(r.table_name, r.column_name) for r in profiles.table_columns(facts).collect()} == {
+        (t, c) for t, cs in columns.items() for c in cs
+    }
+    assert {(r.table_name, r.related_table) for r in profiles.related_tables(facts).collect()} == {
+        (t, c) for t, cs in related.items() for c in cs
+    }
+    assert {(r.table_name, r.column_name): r.uses for r in profiles.join_columns(facts).collect()} == dict(joins)
+    order = [r.table_name for r in profiles.top_profiles(important, 5).collect()]
+    assert order == sorted(got, key=lambda t: (-got[t].importance, t))[:5]
+
+
+def test_schema(rows, facts):
+    pairs, edges = set(), set()
+    for _, text, _, _ in rows:
+        pairs |= {(t.upper(), c.upper()) for t, c in pull(r"(\w+)\.(\w+)", text)}
+        for t, cs in pull(r"INSERT\s+INTO\s+(\w+)\s*\(([^)]+)\)", text):
+            pairs |= {(t.upper(), c.strip().upper()) for c in cs.split(",")}
+        for m in pull(r"(\w+)\.(\w+)\s*=\s*(\w+)\.(\w+)", text):
+            a, b, c, d = (x.upper() for x in m)
+            if a != c:
+                edges |= {(a, b, c, d), (c, d, a, b)}
+    assert {tuple(r) for r in schema.schema_columns(facts).collect()} == pairs
+    got = [tuple(r) for r in schema.schema_edges(facts).collect()]
+    assert set(got) == edges and len(got) == len(edges)
+    usage = {r.table_name: r.usage_count for r in schema.table_usage(facts).collect()}
+    names = set(usage) | {p[0] for p in pairs} | {e[0] for e in edges}
+    summary = schema.schema_summary(facts).first()
+    assert tuple(summary) == (len(names), len({e[0] for e in edges}), len({(e[0], e[2]) for e in edges}))
+    top = [(r.table_name, r.usage_count) for r in schema.top_tables(facts).collect()]
+    assert top == sorted(((n, usage.get(n, 0)) for n in names), key=lambda x: (-x[1], x[0]))[:20]
+    for by in ("purpose", "operation"):
+        counts = Counter()
+        for r in schema.table_operations(facts, by).collect():
+            counts[r.table_name] += r.n
+        assert dict(counts) == usage
+
+
+def test_facts_do_not_depend_on_partitioning(labelled, facts):
+    again = K.statement_facts(labelled.repartition(17), K.PROFILE_KINDS + K.SCHEMA_KINDS)
+    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in facts.collect()}
+
+
+def test_rules_from_a_log(spark, labelled, important):
+    found = Q.fold_sequences(labelled)
+    rules = R.integrity_rules(found, important).collect()
+    importance = {r.table_name: r.importance for r in important.collect()}
+    by_key = {(r.check_pattern, r.fix_pattern, r.tables_key): r for r in found.collect()}
+    assert len(rules) == len(by_key) > 10
+    for r in rules:
+        s = by_key[r.check_pattern, r.fix_pattern, r.tables_key]
+        mean = sum(importance[t] for t in r.affected_tables) / len(r.affected_tables)
+        level = "critical" if mean > 0.7 else "high" if mean > 0.5 else "medium" if mean > 0.3 else "low"
+        assert r.severity == level
+        assert r.frequency == s.occurrence_count and r.affected_tables == sorted(s.tables)
+        score = P.SEVERITY_SCORE[level] + min(r.frequency / 10, 5) + r.confidence * 5
+        assert r.priority_score == score
+        assert r.rule_name == s.issue_type.replace("_", " ").title() + " Rule"
+        assert r.description == f"Detects and fixes {s.issue_type} in {', '.join(r.affected_tables)}"
+        head, tail = r.rule_id.split("_", 2)[:2], r.rule_id.rsplit("_", 1)[1]
+        assert head[0] == "RULE" and head[1] in {"orphan", "duplicate", "circular", "inconsistent", "custom"}
+        assert tail == s.sequence_id[:8].rsplit("_", 1)[-1]
+        assert "_".join(r.affected_tables[:2]) in r.rule_id
+
+
+def made_rules(spark, rows):
+    """rows: (severity, frequency, confidence, fix_pattern, tables, priority)."""
+    data = [
+        (
+            f"r{i}", "name", "text", list(t), "chk", fix, s, f, c, "impact", float(p), i, "S", i, i, "", "", f"s{i}", ",".join(t),
+        )
+        for i, (s, f, c, fix, t, p) in enumerate(rows)
+    ]
+    return spark.createDataFrame(
+        data,
+        "rule_id string, rule_name string, description string, affected_tables array<string>, check_pattern string, "
+        "fix_pattern string, severity string, frequency long, confidence double, business_impact string, "
+        "priority_score double, schema_first_us long, parsing_schema_name string, check_us long, fix_us long, "
+        "check_tables string, fix_tables string, sequence_id string, tables_key string",
+    )
+
+
+def test_plan(spark):
+    rows = [("critical", 5, 0.8, "f", ["A"], 20 - i % 3) for i in range(13)]
+    rows += [("high", 11, 0.8, "f", ["B"], 5), ("medium", 10, 0.8, "f", ["B"], 5)]
+    rows += [("medium", 11, 0.9, "f", ["B"], 6), ("low", 50, 0.81, "f", ["C"], 1), ("low", 1, 0.9, None, ["C"], 1), ("low", 1, 0.9, "", ["C"], 1)]
+    rules = made_rules(spark, rows).repartition(4)
+    assert tuple(remediation.plan_summary(rules).first()) == (19, 13, int(13 * 2 + 1.5 + 2 + 1.5))
+    phases = {r.phase: (r.n_rules, r.duration_days) for r in remediation.plan_phases(rules).collect()}
+    assert phases == {1: (13, 26.0), 2: (2, 3.0)}
+    items = defaultdict(list)
+    for r in sorted(remediation.plan_items(rules).collect(), key=lambda r: (r["list"], r["rank"])):
+        items[r["list"]].append(r.rule_id)
+    want = sorted(range(13), key=lambda i: (i % 3, i))[:10]
+    assert items == {1: [f"r{i}" for i in want], 2: ["r15", "r13"], 3: ["r15", "r16"]}
+    plan = remediation.plan_items(rules)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2  # ranks are cut before the shuffle as well
+
+
+def test_monitor(spark):
+    rows = [
+        ("critical", 5, 0.8, "f", ["A", "B"], 9), ("critical", 5, 0.8, "f", ["B"], 9), ("low", 11, 0.8, "", ["C"], 1),
+        ("high", 6, 0.8, None, ["A"], 2), ("low", 12, 0.8, "f", ["A"], 3),
+    ]
+    rules = made_rules(spark, rows)
+    assert monitor.overview(rules).first().asDict() == {
+        "total_integrity_rules": 5, "n_critical": 2, "n_high": 1, "n_medium": 0, "n_low": 2,
+        "automated_fix_available": 3, "total_issue_occurrences": 39, "tables_with_issues": 3,
+    }
+    got = {r.category: (r.priority, r.recommendation) for r in monitor.recommendations(rules).collect()}
+    assert got == {
+        "critical_tables": ("high", "Focus immediate attention on B table with 2 critical issues"),
+        "automation": ("medium", "Develop automated fixes for 2 recurring manual patterns"),
+        "quick_wins": ("low", "Address 2 high-frequency minor issues for quick improvements"),
+    }
+    assert monitor.recommendations(rules.filter("severity = 'medium'")).count() == 0
+    leading = monitor.leading_critical_rules(made_rules(spark, [("low", 1, 0.8, "f", ["A"], 9), *rows]), 3)
+    assert leading.count() == 2
