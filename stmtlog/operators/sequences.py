@@ -17,6 +17,7 @@ from stmtlog.operators.labels import CHECK, FIX
 from stmtlog.plans.stage import stage
 
 MINUTE = 60_000_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 # Total order in which sequences are discovered: schemas as they first appear in the log, then
 # check time, fix time; what follows breaks ties by name.
@@ -31,13 +32,15 @@ def integrity_statements(labelled: DataFrame) -> DataFrame:
 
     Table sets become comma-joined sorted names (``tables_key``), which group and compare faster
     than arrays.  Without a time, a schema or a table there is no sequence.  The result is a
-    stage table; names are tested on what was staged, so that they are extracted once.
+    stage table; names are tested on what was staged, so that they are extracted once.  ``row``
+    numbers the staged rows.
     """
     statements = labelled.filter(
         F.col("purpose").isin(CHECK, FIX)
         & F.col("parsing_schema_name").isNotNull()
         & F.col("last_load_time").isNotNull()
     ).select(
+        F.monotonically_increasing_id().alias("row"),
         (F.col("purpose") == CHECK).alias("is_check"),
         "parsing_schema_name",
         micros(F.col("last_load_time")).alias("us"),
@@ -68,42 +71,54 @@ def check_fix_pairs(labelled: DataFrame, window_minutes: int = P.WINDOW_MINUTES)
 
     A check meets the fixes of its own bucket and of the next; of the tables two statements
     share, only the first joins them, so no pair comes twice and none is made only to be dropped
-    for want of a table.
+    for want of a table.  The join moves narrow rows; texts are fetched once per pair afterwards.
     """
     width = window_minutes * MINUTE
     statements = integrity_statements(labelled)
     bucket = floor_div(F.col("us"), width)
+    schema = "parsing_schema_name"
 
     def side(check: bool, buckets: Column) -> DataFrame:
         p = "check_" if check else "fix_"
         return (
             statements.filter(F.col("is_check") == check)
             .select(
-                "parsing_schema_name",
-                *[F.col(c).alias(p + c) for c in ("us", "sub_type", "tables_key", "sql_id", "confidence", "sql_fulltext")],
+                schema,
+                *[F.col(c).alias(p + c) for c in ("row", "us", "tables_key")],
                 F.explode(buckets).alias("bucket"),
             )
             .withColumn("shared_table", F.explode(F.split(p + "tables_key", ",")))
         )
 
+    def rest(check: bool) -> DataFrame:
+        p = "check_" if check else "fix_"
+        return statements.filter(F.col("is_check") == check).select(
+            *[F.col(c).alias(p + c) for c in ("row", "sub_type", "sql_id", "confidence", "sql_fulltext")]
+        )
+
     checks = side(True, F.array(bucket, bucket + 1))
     fixes = side(False, F.array(bucket))
     tables = _shared(F.col("check_tables_key"), F.col("fix_tables_key"))
-    return (
-        checks.join(fixes, ["parsing_schema_name", "bucket", "shared_table"])
+    pairs = (
+        checks.join(fixes, [schema, "bucket", "shared_table"])
         .filter(
             (F.col("fix_us") > F.col("check_us"))
             & (F.col("fix_us") <= F.col("check_us") + width)
             & (F.col("shared_table") == tables[0])
         )
+        .select(schema, "check_row", "fix_row", tables.alias("tables"))
+    )
+    return (
+        pairs.join(rest(True), "check_row")
+        .join(rest(False), "fix_row")
         .select(
             F.concat_ws("_", "check_sql_id", "fix_sql_id").alias("sequence_id"),
-            "parsing_schema_name",
+            schema,
             F.col("check_sql_fulltext").alias("check_sql"),
             F.col("fix_sql_fulltext").alias("fix_sql"),
             F.col("check_sub_type").alias("check_pattern"),
             F.col("fix_sub_type").alias("fix_pattern"),
-            tables.alias("tables"),
+            "tables",
             issue_type("check_sub_type", "fix_sub_type").alias("issue_type"),
             F.least("check_confidence", "fix_confidence").alias("confidence"),
             F.lit(1).alias("occurrence_count"),
@@ -236,6 +251,12 @@ def _pattern_counts(moments: DataFrame, width: int, cells: int) -> DataFrame:
     )
 
 
+def _size_in_bytes(data: DataFrame, *texts: str) -> int:
+    """Size of a staged table of short rows with some texts of any length."""
+    row = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(200))
+    return data.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+
+
 def _first_seen(data: DataFrame) -> DataFrame:
     time = "first_time" if "first_time" in data.columns else "last_load_time"
     return (
@@ -248,7 +269,7 @@ def _first_seen(data: DataFrame) -> DataFrame:
 def fold_sequences(
     labelled: DataFrame,
     window_minutes: int = P.WINDOW_MINUTES,
-    cells: int = 10,
+    cells: int = 60,
     seen_in: DataFrame | None = None,
 ) -> DataFrame:
     """Recurring patterns (check kind, fix kind, shared tables) over all schemas.
@@ -288,11 +309,12 @@ def fold_sequences(
     wanted = patterns.select(
         F.inline(F.array(moments_of(True, "check"), moments_of(False, "fix")))
     ).distinct()
-    texts = (
-        statements.join(wanted, moment)
-        .groupBy(*moment)
-        .agg(F.min(F.struct("sql_id", "sql_fulltext", "confidence")).alias("s"))
-    )
+    least = F.min(F.struct("sql_id", "sql_fulltext", "confidence")).alias("s")
+    if _size_in_bytes(patterns, "check_tables", "fix_tables") <= BROADCAST_BYTES:
+        texts = statements.join(F.broadcast(wanted), moment).groupBy(*moment).agg(least)
+    else:
+        # one row per moment leaves each task, so that a moment with many copies stays harmless
+        texts = statements.groupBy(*moment).agg(least).join(wanted, moment)
 
     def texts_of(check: bool, prefix: str) -> DataFrame:
         return texts.filter(F.col("is_check") == check).select(
