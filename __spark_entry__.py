@@ -248,11 +248,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "first_sequences": first_sequences,
         "issue_type_totals": lambda s, d: sequences.issue_type_totals(_sequences(s, d)),
         "top_issue_types": lambda s, d: _joined(sequences.top_issue_types(_sequences(s, d)), "tables", "patterns"),
-        "schema_counts": lambda s, d: S.schema_counts(_log(s, d)),
+        "schema_counts": lambda s, d: S.schema_counts(events_log(s, d)),
         "integrity_counts": integrity_counts,
-        "hourly_counts": lambda s, d: S.hourly_counts(_real(s, d)),
-        "daily_counts": lambda s, d: _as_text(S.daily_counts(_real(s, d)), "yyyy-MM-dd", "day"),
-        "date_range": lambda s, d: _as_text(S.date_range(_real(s, d)), MICROS, "start_time", "end_time"),
+        "hourly_counts": lambda s, d: S.hourly_counts(events_log(s, d, "real")),
+        "daily_counts": lambda s, d: _as_text(S.daily_counts(events_log(s, d, "real")), "yyyy-MM-dd", "day"),
+        "date_range": lambda s, d: _as_text(S.date_range(events_log(s, d, "real")), MICROS, "start_time", "end_time"),
         "hourly_pivot": lambda s, d: S.hourly_pivot(_real(s, d)),
         "daily_pivot": lambda s, d: _as_text(S.daily_pivot(_real(s, d)), "yyyy-MM-dd", "day"),
         "analysis_summary": analysis_summary,

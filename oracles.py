@@ -306,7 +306,7 @@ def oracle_sql() -> dict[str, str]:
                 (SELECT count(DISTINCT issue_type) FROM sequences) AS unique_issue_types FROM labelled""",
             SEQUENCES,
         ),
-        "hourly_counts": _real("SELECT hour(tm) AS hour, count(*) AS n_statements FROM labelled GROUP BY 1"),
+        "hourly_counts": _real("SELECT hour(tm)::INTEGER AS hour, count(*) AS n_statements FROM labelled GROUP BY 1"),
         "daily_counts": _real(
             "SELECT strftime(tm, '%Y-%m-%d') AS day, count(*) AS n_statements FROM labelled GROUP BY 1"
         ),
@@ -315,7 +315,7 @@ def oracle_sql() -> dict[str, str]:
                strftime(max(tm), '%Y-%m-%d %H:%M:%S.%f') AS end_time FROM labelled"""
         ),
         "hourly_pivot": _real(
-            """SELECT hour(tm) AS hour, count(*) FILTER (purpose = 'integrity_check') AS integrity_check,
+            """SELECT hour(tm)::INTEGER AS hour, count(*) FILTER (purpose = 'integrity_check') AS integrity_check,
                count(*) FILTER (purpose = 'integrity_fix') AS integrity_fix
                FROM labelled WHERE purpose IN ('integrity_check', 'integrity_fix') GROUP BY 1"""
         ),
@@ -405,7 +405,7 @@ def oracle_sql() -> dict[str, str]:
             RULES + LISTED,
         ),
         "plan_items": _dense(
-            f"""SELECT list, {_LIST_NAME} AS list_name, rank, {_REPORT} FROM (
+            f"""SELECT list, {_LIST_NAME} AS list_name, rank::INTEGER AS rank, {_REPORT} FROM (
                   SELECT *, row_number() OVER (PARTITION BY list ORDER BY {RULE_ORDER}) AS rank FROM listed)
                 WHERE rank <= {_MOST}""",
             RULES + LISTED,

@@ -34,4 +34,7 @@ def test_query(spark, duck, name):
     got = QUERIES[name](spark, SF)
     want = duck.execute(ORACLES[name])
     columns = [c[0] for c in want.description]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    for unwanted in ("CartesianProduct", "NestedLoopJoin", "Python", "ArrowEval"):
+        assert unwanted not in plan
     assert comparable(got.columns, [tuple(r) for r in got.collect()]) == comparable(columns, want.fetchall())
