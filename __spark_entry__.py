@@ -122,7 +122,11 @@ def operation_types(spark, folder):
 
 
 def _pieces(read) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: _upper(spark, folder).select("sql_id", F.inline(read(F.col("u"))))
+    def query(spark, folder):
+        found = _upper(spark, folder).select("sql_id", read(F.col("u")).alias("found"))
+        return found.select("sql_id", F.inline_outer("found")).filter(F.col("table_name").isNotNull())
+
+    return query
 
 
 def real_table_names(spark, folder):

@@ -25,6 +25,11 @@ def _equals(classes: Classes) -> str:
     return f"{classes.space}*+={classes.space}*+"
 
 
+def _qualifies(upper: Column, table: Column) -> Column:
+    """Is there a ``TABLE.`` at all?  Asked before a regex is made for the table."""
+    return F.contains(upper, F.concat(table, F.lit(".")))
+
+
 def _empty() -> Column:
     return F.array().cast(_NO_STRINGS)
 
@@ -40,6 +45,9 @@ def statement_tables(upper: Column, strict: bool = False, classes: Classes = UNI
     By default neither the keyword nor the name has to stand alone, so ``UPDATE SET`` gives
     SET and ``EXTRACT(YEAR FROM d)`` gives D.  ``strict`` asks for whole keywords and leaves
     out words that cannot name a table.
+
+    (``array_sort`` and not ``sort_array``: it keeps the projection out of whole-stage code, where
+    all of it would be one method, too long for the JVM to compile.)
     """
     start = classes.word_start if strict else ""
     per_keyword = [
@@ -67,7 +75,8 @@ def operation(upper: Column) -> Column:
 
 def columns_of_table(upper: Column, table: Column, classes: Classes = UNICODE) -> Column:
     r"""Distinct words after ``TABLE.`` (``TABLE\.(\w+)``); any word ending in TABLE counts."""
-    return F.array_distinct(_all(upper, F.concat(table, F.lit(rf"\.({classes.word}++)")), 1))
+    regex = F.concat(table, F.lit(rf"\.({classes.word}++)"))
+    return F.when(_qualifies(upper, table), F.array_distinct(_all(upper, regex, 1))).otherwise(_empty())
 
 
 def related_tables(upper: Column, table: Column, classes: Classes = UNICODE) -> Column:
@@ -103,7 +112,7 @@ def join_columns(upper: Column, table: Column, classes: Classes = UNICODE) -> Co
         F.lit(rf"\.({classes.word}++)"),
     )
     return F.when(
-        F.contains(upper, F.lit("=")) & F.contains(upper, F.lit(".")),
+        F.contains(upper, F.lit("=")) & _qualifies(upper, table),
         F.concat(_non_blank(_all(upper, regex, 1)), _non_blank(_all(upper, regex, 2))),
     ).otherwise(_empty())
 

@@ -71,7 +71,11 @@ def _rows(kind: str, classes: Classes) -> Column:
 
 
 def statement_facts(labelled: DataFrame, kinds: Iterable[str]) -> DataFrame:
-    """(kind, a, b, c, d, n) over all statements; only the asked kinds are extracted."""
+    """(kind, a, b, c, d, n) over all statements; only the asked kinds are extracted.
+
+    ``inline_outer`` because for ``inline`` the optimizer infers a test for empty arrays, and pushing
+    it down would have every text read twice.
+    """
     kinds = list(kinds)
     empty = F.array().cast("array<struct<kind:string,a:string,b:string,c:string,d:string>>")
 
@@ -80,7 +84,9 @@ def statement_facts(labelled: DataFrame, kinds: Iterable[str]) -> DataFrame:
 
     return (
         labelled.select(F.upper("sql_fulltext").alias("_upper"), "tables", "operation", "purpose")
-        .select(F.inline(F.when(is_ascii(F.col("_upper")), facts(ASCII)).otherwise(facts(UNICODE))))
+        .select(F.when(is_ascii(F.col("_upper")), facts(ASCII)).otherwise(facts(UNICODE)).alias("_facts"))
+        .select(F.inline_outer("_facts"))
+        .filter(F.col("kind").isNotNull())
         .groupBy("kind", "a", "b", "c", "d")
         .agg(F.count("*").alias("n"))
     )

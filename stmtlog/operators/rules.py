@@ -100,14 +100,14 @@ def integrity_rules(sequences: DataFrame, profiles: DataFrame) -> DataFrame:
     return base.select(
         F.concat(
             F.lit("RULE_"), F.col("category"), F.lit("_"),
-            F.array_join(F.slice(F.array_sort("tables"), 1, 2), "_"),
+            F.array_join(F.slice(F.sort_array("tables"), 1, 2), "_"),
             F.lit("_"), F.substring("sequence_id", 1, 8),
         ).alias("rule_id"),
         F.concat(F.initcap(spaced), F.lit(" Rule")).alias("rule_name"),
         F.concat(
-            F.lit("Detects and fixes "), issue, F.lit(" in "), F.array_join(F.array_sort("tables"), ", ")
+            F.lit("Detects and fixes "), issue, F.lit(" in "), F.array_join(F.sort_array("tables"), ", ")
         ).alias("description"),
-        F.array_sort("tables").alias("affected_tables"),
+        F.sort_array("tables").alias("affected_tables"),
         "check_pattern",
         "fix_pattern",
         F.substring("check_sql", 1, 500).alias("example_check_sql"),

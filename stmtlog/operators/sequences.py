@@ -60,7 +60,7 @@ def issue_type(check_pattern: str, fix_pattern: str) -> Column:
 
 def _shared(left: Column, right: Column) -> Column:
     """Sorted tables of both keys."""
-    return F.array_sort(F.array_intersect(F.split(left, ","), F.split(right, ",")))
+    return F.sort_array(F.array_intersect(F.split(left, ","), F.split(right, ",")))
 
 
 # ---- the pairs ----------------------------------------------------------------------------
