@@ -88,10 +88,14 @@ def linear_forms(pattern: str) -> list[str]:
     return [_linear_alternative(alternative) for alternative in pattern.split("|")]
 
 
+# Words most statements have; looking for them first would not spare many regexes.
+_COMMON = {"SELECT", "FROM", "WHERE", "SET", "IN", "BY", "ON", "IS", "AS"}
+
+
 def required_words(pattern: str) -> list[str]:
-    """Literal words every match of one alternative contains, the later ones first."""
-    words = re.findall(r"[A-Z_]{2,}", re.sub(r"\\.", " ", pattern))
-    return list(dict.fromkeys(reversed(words)))
+    """Telling words that every match of one alternative contains, the later ones first."""
+    words = list(dict.fromkeys(reversed(re.findall(r"[A-Z_]{2,}", re.sub(r"\\.", " ", pattern)))))
+    return [w for w in words if w not in _COMMON] or words
 
 
 def found_sql(text: str, pattern: str) -> str:
