@@ -66,3 +66,27 @@ def test_texts_stay_out_of_the_pair_join(log):
     assert sum("sql_fulltext" in s for s in scans) == 2  # one per side, fetched by row number
     assert sum("us" in s for s in scans) == 2
     assert not any({"us", "sql_fulltext"} <= s for s in scans)
+
+
+def longest_method(data):
+    """Bytes of the longest method generated for the plan; the JVM leaves those over 8000 uncompiled."""
+    plan = data._jdf.queryExecution().executedPlan()
+    debug = getattr(getattr(data.sparkSession._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    stages = debug.codegenStringSeq(plan)
+    return max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.length()))
+
+
+def test_generated_code_stays_compilable(spark, log):
+    answers = log.select("sql_id", F.col("sql_fulltext").alias("response"))
+    spark.conf.set("spark.sql.adaptive.enabled", False)  # an adaptive plan has no code before it runs
+    try:
+        labelled = labels.label_statements(log)
+        for data in (
+            labelled,
+            S.activity(labelled),
+            K.statement_facts(labelled, K.PROFILE_KINDS + K.SCHEMA_KINDS),
+            labels.merge_labels(labelled, answers),
+        ):
+            assert 0 < longest_method(data) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", True)
