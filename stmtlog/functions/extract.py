@@ -1,8 +1,8 @@
 """Tables, columns and relationships read from statement text, as column expressions.
 
-All functions take the *upper-cased* text, and character classes that hold for it.  Possessive quantifiers, and a start only where a
-word starts, keep the scans linear on long unbroken words (hex or base64 literals); the
-matches are those of the plain patterns named in each function.
+All functions take the *upper-cased* text, and character classes that hold for it.  Possessive
+quantifiers, and a start only where a word starts, keep the scans linear on long unbroken words
+(hex or base64 literals); the matches are those of the plain patterns named in each function.
 """
 
 from __future__ import annotations

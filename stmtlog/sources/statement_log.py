@@ -13,7 +13,7 @@ LOG_COLUMNS = ["sql_id", "sql_fulltext", "parsing_schema_name", "last_load_time"
 LOG_SCHEMA = (
     "sql_id string, sql_fulltext string, parsing_schema_name string, last_load_time timestamp_ntz"
 )
-# Tried after the ISO spellings; the second is how the source of such exports prints its times.
+# Tried after the ISO spellings; the first is how databases often print the load time of a statement.
 TIME_FORMATS = ("yyyy-MM-dd/HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "dd-MMM-yyyy HH:mm:ss")
 
 
