@@ -7,6 +7,7 @@ both engines can be compared by value.
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -27,6 +28,13 @@ from stmtlog.plans.stage import stage  # noqa: E402
 from stmtlog.sources.events_log import events_log  # noqa: E402
 
 
+#: The operators for training data and their pipeline may be absent; the rest works without them.
+if importlib.util.find_spec("stmtlog.llm") and importlib.util.find_spec("corpus_pipeline"):
+    from stmtlog.llm import queries as llm_queries
+else:
+    llm_queries = None
+
+
 def _log(spark: SparkSession, folder: str, clock: str = "dense") -> DataFrame:
     return labels.label_statements(events_log(spark, folder, clock))
 
@@ -233,6 +241,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return _own_queries() | (llm_queries.queries() if llm_queries else {})
+
+
+def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "purpose_counts": lambda s, d: S.purpose_counts(_log(s, d)),
         "classified_log": classified_log,
@@ -293,4 +305,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    return oracles.oracle_sql() | (llm_queries.oracle_sql() if llm_queries else {})
