@@ -4,15 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stmtlog.llm import minhash
+from stmtlog.llm import minhash, packing, topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5, scale=256)
+
+
+OP1_SQL = """
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+        CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+    FROM whole q JOIN whole c ON q.vec_id <> c.vec_id
+    WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+    vec_id, score
+FROM scored
+QUALIFY rank <= 5
+"""
+
+
 def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"))
 
@@ -45,9 +70,18 @@ FROM documents d LEFT JOIN size ON d.doc_id = size.doc_id LEFT JOIN least ON d.d
 """
 
 
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(_table(spark, folder, "documents"), tokenizer, capacity=2048)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_near_duplicates": op2_near_duplicates}
+    return {
+        "op1_top_k": op1_top_k,
+        "op2_near_duplicates": op2_near_duplicates,
+        "op5_packing": op5_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_duplicates": OP2_SQL}
+    return {"op1_top_k": OP1_SQL, "op2_near_duplicates": OP2_SQL}
