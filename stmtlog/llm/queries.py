@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stmtlog.llm import minhash, packing, topk
+from stmtlog.llm import cluster, langid, minhash, mixing, packing, topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    cluster.ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -70,16 +72,35 @@ FROM documents d LEFT JOIN size ON d.doc_id = size.doc_id LEFT JOIN least ON d.d
 """
 
 
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, folder, "documents"), weights=(1, 2, 3), most=3)
+    taken = F.col("size") * F.size("drawn")
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(_table(spark, folder, "documents"), tokenizer, capacity=2048)
 
 
+def _remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    filters = langid.fit(documents.filter(_remainder(4) != 2))
+    keep = {"doc_id": F.col("doc_id"), "held_out": F.coalesce(_remainder(4) == 2, F.lit(False))}
+    return langid.identify(documents, filters, keep=keep)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_top_k": op1_top_k,
         "op2_near_duplicates": op2_near_duplicates,
+        "op4_mixing": op4_mixing,
         "op5_packing": op5_packing,
+        "op7_language": op7_language,
     }
 
 
