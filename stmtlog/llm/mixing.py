@@ -61,6 +61,17 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
         if size <= room:
             chosen.append(uid)
             room -= size
+    sizes = rows.set_index("uid")["size"]
+    for _ in range(3):  # exchange one for another as long as the room gets smaller
+        inside = sizes.loc[chosen].sort_values()
+        outside = sizes.drop(chosen)
+        at = np.searchsorted(inside.to_numpy(), outside.to_numpy() - room)
+        gain = np.where(at < len(inside), outside.to_numpy() - np.append(inside.to_numpy(), 0)[at], 0)
+        if not len(gain) or gain.max() <= 0:
+            break
+        best = int(gain.argmax())
+        chosen[chosen.index(inside.index[at[best]])] = outside.index[best]
+        room -= int(gain[best])
     return pd.DataFrame({"uid": chosen})
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtlog.llm import cluster, langid, minhash, mixing, packing, topk
+from stmtlog.llm import cluster, langid, minhash, mixing, packing, suffix, topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -94,6 +94,11 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(documents, filters, keep=keep)
 
 
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    return suffix.digests(suffix.with_spans(documents, length=200))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_top_k": op1_top_k,
@@ -101,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op5_packing": op5_packing,
         "op7_language": op7_language,
+        "op9_suffix_dedup": op9_suffix_dedup,
     }
 
 
