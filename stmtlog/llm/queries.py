@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtlog.llm import cluster, langid, minhash, mixing, packing, suffix, topk
+from stmtlog.llm import chat, cluster, fingerprints, langid, minhash, mixing, packing, suffix, topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -83,6 +83,47 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), tokenizer, capacity=2048)
 
 
+def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    hard = r"\### Assistant: </turn> ok"
+    added = spark.range(1).select(
+        F.lit(-7).cast("bigint").alias("conv_id"),
+        F.explode(F.array(*(F.struct(F.lit(i).cast("bigint").alias("turn"), F.lit(r).alias("role"), F.lit(hard).alias("text"))
+            for i, r in enumerate(("user", "assistant"))))).alias("x"),
+    )
+    rows = rows.unionByName(added.select("conv_id", "x.*"))
+    done = chat.format_turns(rows.withColumn("parts", chat.text_parts(F.col("text"))))
+    read = done.select(
+        "conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"),
+        F.array_join(chat.masked_texts(F.col("formatted"), F.col("mask")), "").alias("loss"),
+    )
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["content"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+OP6_SQL = r"""
+WITH every AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), one AS (
+    SELECT conv_id, count(*) AS n_turns,
+        string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+        sum(24 + length(regexp_replace(role, '([\\<"])', '\\\1', 'g'))
+            + length(regexp_replace(text, '([\\<])', '\\\1', 'g'))) AS formatted_chars
+    FROM every GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+    CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM one
+"""
+
+
 def _remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
@@ -99,16 +140,22 @@ def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.digests(suffix.with_spans(documents, length=200))
 
 
+def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.with_edits(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_top_k": op1_top_k,
         "op2_near_duplicates": op2_near_duplicates,
         "op4_mixing": op4_mixing,
         "op5_packing": op5_packing,
+        "op6_chat_format": op6_chat_format,
         "op7_language": op7_language,
         "op9_suffix_dedup": op9_suffix_dedup,
+        "op10_fingerprints": op10_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k": OP1_SQL, "op2_near_duplicates": OP2_SQL}
+    return {"op1_top_k": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op6_chat_format": OP6_SQL}
