@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtlog.llm import chat, cluster, fingerprints, langid, minhash, mixing, packing, suffix, topk
+from stmtlog.llm import chat, cluster, ctw, fingerprints, langid, minhash, mixing, packing, suffix, tokens, topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -72,6 +72,11 @@ FROM documents d LEFT JOIN size ON d.doc_id = size.doc_id LEFT JOIN least ON d.d
 """
 
 
+def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    fold = _remainder(10)
+    return ctw.score(_table(spark, folder, "documents"), train=fold != 0, held_out=fold == 0)
+
+
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, folder, "documents"), weights=(1, 2, 3), most=3)
     taken = F.col("size") * F.size("drawn")
@@ -135,6 +140,11 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(documents, filters, keep=keep)
 
 
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return tokens.token_counts(_table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, rule="most").drop("name")
+
+
 def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents").select("doc_id", "text")
     return suffix.digests(suffix.with_spans(documents, length=200))
@@ -148,10 +158,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_top_k": op1_top_k,
         "op2_near_duplicates": op2_near_duplicates,
+        "op3_lm_score": op3_lm_score,
         "op4_mixing": op4_mixing,
         "op5_packing": op5_packing,
         "op6_chat_format": op6_chat_format,
         "op7_language": op7_language,
+        "op8_token_counts": op8_token_counts,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_fingerprints": op10_fingerprints,
     }
