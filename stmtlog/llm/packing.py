@@ -26,7 +26,10 @@ from stmtlog.llm import text as T
 from stmtlog.plans.stage import stage
 
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+_KIND = np.zeros(256, np.uint8)  # 1: a letter, 2: punctuation but for the apostrophe, of ASCII
+_KIND[97:123] = 1
+_KIND[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 2
 END = 0
 
 
@@ -193,24 +196,37 @@ def _tokenizer(path: str) -> tuple[Tokenizer, dict[bytes, bytes]]:
 def encode(texts: pa.Array, path: str) -> Iterator[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers.
 
-    The tokenizer splits at white space and looks at nothing beyond it, so the words of all texts are encoded
-    once, those not remembered together, and the texts are put together from them.
+    The tokenizer ignores case, splits at white space and between letters and punctuation, and looks at nothing beyond
+    such a place.  So the pieces of all texts between these places are encoded once, those not remembered
+    together, and the texts are put together from them.  Texts in which a special token may stand are encoded
+    as they are.
     """
     data, offsets = T.utf8(texts)
-    data = data.tobytes()
     tokenizer, known = _tokenizer(path)
-    split = [data[i:j].split() for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
-    new = list({w for text in split for w in text}.difference(known))
-    if new:
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list({w for text in split for w in text})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            found = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found, strict=True))
-    for text in split:
-        yield b"".join(map(known.__getitem__, text))
+    plain = T.LOWER[data]
+    kind = _KIND[plain]
+    between = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+    ends = offsets + np.searchsorted(between, offsets, side="left")
+    whole, plain = data.tobytes(), np.insert(plain, between, 0x20).tobytes()
+    special = b"<|" in whole
+    split = [
+        None if special and b"<|" in whole[offsets[d] : offsets[d + 1]] else plain[i:j].split()
+        for d, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True))
+    ]
+    new = list({w for text in split if text for w in text}.difference(known))
+    if len(known) + len(new) > REMEMBERED:
+        known.clear()
+        new = list({w for text in split if text for w in text})
+    for at in range(0, len(new), 20_000):
+        some = new[at : at + 20_000]
+        found = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found, strict=True))
+    for d, text in enumerate(split):
+        if text is None:
+            ids = tokenizer.encode(whole[offsets[d] : offsets[d + 1]].decode(), add_special_tokens=False).ids
+            yield np.array(ids, "<u4").tobytes()
+        else:
+            yield b"".join(map(known.__getitem__, text))
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, task int, local long"
