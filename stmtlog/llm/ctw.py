@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from stmtlog.llm import text as T
 from stmtlog.plans.stage import stage
 
-DEPTH, END = 4, 0xFF
+DEPTH, END = 5, 0xFF
 #: Different strings and words of a task kept before they are handed on; rows answered at a time.
 KEPT, ANSWERED = 4_000_000, 500_000
 _LN2 = np.log(2.0)
@@ -136,84 +136,73 @@ def _asked(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
         yield out()
 
 
-def _blocks(codes: np.ndarray, counts: np.ndarray, depth: int):
-    """Strings by their context but for its first byte: places, rows of byte counts by first byte, row of each place."""
-    shift = 8 * depth
-    block = (codes >> 8) & ((1 << shift - 8) - 1)
-    order = np.lexsort((codes >> shift, block))
-    edges = np.flatnonzero(np.append(True, block[order][1:] != block[order][:-1]))
-    for start, stop in zip(edges, np.append(edges[1:], len(order)), strict=True):
-        place = order[start:stop]
-        first, row = np.unique(codes[place] >> shift, return_inverse=True)
-        table = np.zeros((len(first), 256))
-        np.add.at(table, (row, codes[place] & 0xFF), counts[place])
-        yield place, table, row
+#: Bytes of context above which contexts are few enough to be tables; strings of a shared context worked off at a time.
+TOP, PIECE = 2, 1_000_000
 
 
-def _ctw(codes: np.ndarray, counts: np.ndarray, depth: int, above: int):
-    """Weighting from depth down to ``above`` for strings that share their last ``above`` bytes of context.
+class Weighting:
+    """Context trees of strings that share their last TOP bytes of context, from ``depth`` up to TOP.
 
-    Gives the byte counts and the logarithms at the shared context's nodes as sums over its children, and a function
-    that turns what holds above them (a, b, stop: a + b * the longer context's, or stop) into each string's
-    log10 probability.
+    A decision node is a context and a place in the byte's binary tree, (context << 8) | node; only nodes that
+    occur are held.  ``counts`` and ``children`` are the byte counts and the children's logarithms of the shared context.
     """
-    level = []  # deepest contexts, by block
-    for place, table, row in _blocks(codes, counts, depth):
-        zeros, ones = decisions(table)
-        leaf = (ones + 0.5) / (zeros + ones + 1)
-        weighted = log_kt(zeros, ones)
-        own = decisions(table.sum(0)[None])
-        estimate, weight, log = weigh(*own, weighted.sum(0)[None])
-        level.append((place, table.sum(0), row, zeros + ones > 0, leaf, own[0] + own[1] > 0, estimate, weight, log))
-    # contexts shorter than the blocks' are merged pairwise up to ``above``
-    paths = [codes[x[0][0]] >> 8 & ((1 << 8 * (depth - 1)) - 1) for x in level]
-    nodes = {depth - 1: {p: (x[1], x[8]) for p, x in zip(paths, level, strict=True)}}
-    mixed: dict[int, dict] = {}
-    for d in range(depth - 2, above - 1, -1):
-        sums: dict = {}
-        for p, (n, log) in nodes[d + 1].items():
-            q = p & ((1 << 8 * d) - 1)
-            old = sums.get(q)
-            sums[q] = (n + old[0], log + old[1]) if old else (n, log)
-        if d == above:
-            total = next(iter(sums.values()))
-            break
-        nodes[d], mixed[d] = {}, {}
-        for q, (n, children) in sums.items():
-            own = decisions(n[None])
-            estimate, weight, log = weigh(*own, children)
-            nodes[d][q] = (n, log)
-            mixed[d][q] = (own[0] + own[1] > 0, estimate, weight)
-
-    def scores(a: np.ndarray, b: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(codes))
-        for p, (place, _, row, seen, leaf, some, estimate, weight, _log) in zip(paths, level, strict=True):
-            aa, bb, ss = a, b, stop
-            for d in range(above + 1, depth - 1):
-                has, est, w = mixed[d][p & ((1 << 8 * d) - 1)]
-                ss = np.where(has, aa + bb * est, ss)
-                aa, bb = np.where(has, aa + bb * w * est, aa), np.where(has, bb * (1 - w), bb)
-            one = np.where(seen, weight * estimate + (1 - weight) * leaf, estimate)
-            one = np.where(some, aa + bb * one, ss)
-            symbol = codes[place] & 0xFF
-            total_ = np.zeros(len(place))
-            for bit in range(8):
-                node = (1 << bit) + (symbol >> (8 - bit))
-                p1 = one[row, node]
-                total_ += np.log10(np.where((symbol >> (7 - bit)) & 1, p1, 1 - p1))
-            out[place] = total_
-        return out
-
-    return total[0], total[1], scores
-
-
-TOP = 2  # bytes of context above which contexts are few enough to be tables
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, depth: int):
+        symbol, context = codes & 0xFF, codes >> 8
+        self.bits = [(symbol >> (7 - i)) & 1 for i in range(8)]
+        nodes = np.concatenate([(context << 8) | ((1 << i) + (symbol >> (8 - i))) for i in range(8)])
+        ones = np.concatenate([counts * b for b in self.bits])
+        key, self.place = np.unique(nodes, return_inverse=True)
+        zeros = np.bincount(self.place, weights=np.tile(counts, 8) - ones, minlength=len(key))
+        ones = np.bincount(self.place, weights=ones, minlength=len(key))
+        self.levels = [(zeros + ones > 0, (ones + 0.5) / (zeros + ones + 1), np.zeros(len(key)))]  # a leaf's rest has weight 0
+        log, self.parents = log_kt(zeros, ones), []
+        for d in range(depth - 1, TOP - 1, -1):
+            up, parent = np.unique(key & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
+            zeros, ones, log = (np.bincount(parent, weights=x, minlength=len(up)) for x in (zeros, ones, log))
+            self.parents.append(parent)
+            key = up
+            if d > TOP:
+                estimate, weight, log = weigh(zeros, ones, log)
+                self.levels.append((zeros + ones > 0, estimate, weight))
+        self.nodes = key & 0xFF
+        self.counts = np.bincount(symbol, weights=counts, minlength=256)
+        self.children = np.bincount(self.nodes, weights=log, minlength=256)
+
+    def scores(self, a: np.ndarray, b: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """log10 probabilities of the strings' last bytes, from what holds at the shared context's nodes:
+        a + b * the longer contexts' estimate, or ``stop`` where they have none."""
+        a, b, stop = a[self.nodes], b[self.nodes], stop[self.nodes]
+        for level in range(len(self.levels) - 1, -1, -1):
+            parent, (seen, estimate, weight) = self.parents[level], self.levels[level]
+            a, b, stop = a[parent], b[parent], stop[parent]
+            stop = np.where(seen, a + b * estimate, stop)
+            a, b = np.where(seen, a + b * weight * estimate, a), np.where(seen, b * (1 - weight), b)
+        one = stop[self.place].reshape(8, -1)
+        return sum(np.log10(np.where(bit, p, 1 - p)) for bit, p in zip(self.bits, one, strict=True))
+
+
+def _pieces(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The strings of a shared context and their counts, in pieces that don't cut the next longer contexts."""
+    codes, counts = table.column("key").to_numpy(), table.column("n").to_numpy()
+    longer = (codes >> 8 * (TOP + 1)) & 0xFF
+    order = np.argsort(longer, kind="stable")
+    ends = np.searchsorted(longer[order], np.arange(256), side="right")
+    start = 0
+    for end in ends:
+        if end - start >= PIECE or (end == len(codes) and end > start):
+            yield codes[order[start:end]], counts[order[start:end]]
+            start = end
 
 
 def _summary(key: tuple[pa.Scalar, ...], table: pa.Table, depth: int) -> pa.Table:
-    counts, log, _ = _ctw(table.column("key").to_numpy(), table.column("n").to_numpy(), depth, TOP)
-    log = np.broadcast_to(log, (1, 256))[0]
-    return pa.table({"suffix": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([counts.tolist()]), "children": pa.array([log.tolist()])})
+    counts, children = np.zeros(256), np.zeros(256)
+    for codes, n in _pieces(table):
+        trees = Weighting(codes, n, depth)
+        counts, children = counts + trees.counts, children + trees.children
+    return pa.table(
+        {"suffix": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([counts.tolist()]), "children": pa.array([children.tolist()])}
+    )
 
 
 def _upper_rows(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -225,7 +214,6 @@ def _upper_rows(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 
 def _scored(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table, depth: int, short: dict) -> pa.Table:
-    codes, counts = left.column("key").to_numpy(), left.column("n").to_numpy()
     own = np.array(right.column("counts")[0].as_py())
     children = np.array(right.column("children")[0].as_py())
     a, b, stop = short[key[0].as_py() & 0xFF]
@@ -234,8 +222,10 @@ def _scored(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table, depth:
     has = zeros + ones > 0
     stop = np.where(has, a + b * estimate, stop)
     a, b = np.where(has, a + b * weight * estimate, a), np.where(has, b * (1 - weight), b)
-    _, _, scores = _ctw(codes, counts, depth, TOP)
-    return pa.table({"key": pa.array(codes), "bundle": pa.array(np.full(len(codes), -1)), "n": pa.array(np.zeros(len(codes), np.int64)), "value": pa.array(scores(a, b, stop))})
+    found = [(codes, Weighting(codes, n, depth).scores(a, b, stop)) for codes, n in _pieces(left)]
+    codes, value = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+    none = pa.array(np.zeros(len(codes), np.int64))
+    return pa.table({"key": pa.array(codes), "bundle": pa.array(np.full(len(codes), -1)), "n": none, "value": pa.array(value)})
 
 
 ANSWERS = "bundle long, keys binary, vals binary, known long"
