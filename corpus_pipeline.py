@@ -1,11 +1,79 @@
-"""From raw documents to packed sequences: each stage is written as Parquet and read again by the next."""
+"""From raw documents to packed sequences.
+
+Each stage works on all rows of the one before, returns the columns of ``documents`` (the last one: pieces of
+sequences), and is written as Parquet and read again before the next.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtlog.llm import minhash
+from stmtlog.llm import cluster, langid, minhash, mixing, packing, suffix
 from stmtlog.plans.stage import stage
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A language's share of the evidence below which a text counts as written in none.
+LEAST_SCORE = 0.3
+WEIGHTS, MOST, LENGTH, CAPACITY = (1, 2, 3), 3, 200, 2048
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones have; texts without letters or evidence go.
+
+    A null lang becomes the one found.  A corpus without any labelled text is left as it is, as nothing can be learned.
+    """
+    cluster.ship(spark)
+    filters = langid.fit(docs)
+    if not filters.languages:
+        return docs
+    found = langid.identify(docs, filters, keep={f"d_{i}": F.col(c) for i, c in enumerate(docs.columns)})
+    found = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    names = {c: F.col(f"d_{i}") for i, c in enumerate(docs.columns)}
+    names["lang"] = F.coalesce(names["lang"], F.col("lang_pred"))
+    return found.select(*(c.alias(n) for n, c in names.items()))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id."""
+    cluster.ship(spark)
+    return minhash.one_of_each(docs, minhash.near_duplicates(docs, percent=80))
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the passages of 200 bytes and more that occur twice."""
+    cluster.ship(spark)
+    cut = suffix.cut(suffix.with_spans(docs, length=LENGTH))
+    return cut.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast("bigint"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The copies of documents that bring the sources to their weights, shard by shard."""
+    cluster.ship(spark)
+    return mixing.take(docs, mixing.mix(docs, weights=WEIGHTS, most=MOST))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of each piece of each document in sequences of at most 2048 tokens."""
+    cluster.ship(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=CAPACITY)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", remove_repeated_passages),
+    ("mixture", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Sketches, hashed draws and tokenizers have no counterpart in SQL; see tests/llm/test_pipeline.py.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, function in STAGES:
+        docs = stage(function(spark, docs, sf_dir), name)
+    return docs

@@ -104,8 +104,8 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
             node[d] = int.from_bytes(hashlib.blake2b(same, digest_size=8).digest(), "big", signed=True)
             rows[d] = sketches[at].tobytes()
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(n), pa.array(node, pa.int64()), pa.array(rows, pa.binary())],
-            ["doc_id", "n_shingles", "node", "registers"],
+            [part.column("row"), part.column("doc_id"), pa.array(n), pa.array(node, pa.int64()), pa.array(rows, pa.binary())],
+            ["row", "doc_id", "n_shingles", "node", "registers"],
         )
 
 
@@ -233,20 +233,22 @@ def _settle(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Itera
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 85
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
+    """(doc_id, n_shingles, component_id, kept, row, component) for each row of ``docs``.
 
     Two rows are linked when 100 * intersection >= percent * union of their sets of distinct ``shingle``-word
     shingles (A-Z in lower case; fewer words: the whole sequence as one).  component_id is the smallest doc_id
-    that can be reached over links, kept says that it is the row's own.
+    that can be reached over links, kept says that it is the row's own.  row is monotonically_increasing_id() over
+    ``docs``, component a number of the component, null for an empty set; see one_of_each().
 
     A null or blank text has an empty set, is linked with nothing and keeps its own id.  Repeated rows, also of
     one doc_id, are linked as any others.  A row without doc_id has its component's id, or null, and is kept
     only where that is null.  Other columns are not looked at.  Texts are told apart by 64-bit hashes of their
     words, shingles by 64-bit hashes within a comparison.
     """
-    docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    spark, limit = docs.sparkSession, percent / 100
-    schema = "doc_id long, n_shingles long, node long, registers binary"
+    row = F.monotonically_increasing_id().alias("row")
+    docs = docs.select(row, F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    limit = percent / 100
+    schema = "row long, doc_id long, n_shingles long, node long, registers binary"
     signed = stage(docs.mapInArrow(partial(_signatures, size=shingle), schema), "signatures")
 
     sets = signed.filter("node is not null").groupBy("node").agg(
@@ -272,7 +274,7 @@ def near_duplicates(
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     member = member.select("node", "coarse", "blocks", block.alias("block"))
     member = member.join(sets.select("node", "least_id"), "node")
-    known = docs.mapInArrow(_named, "doc_id long, node long, text string")
+    known = docs.drop("row").mapInArrow(_named, "doc_id long, node long, text string")
     cells = known.join(member, (known.node == member.node) & known.doc_id.eqNullSafe(member.least_id))
     cells = cells.select(member.node, "text", "coarse", "blocks", "block")
     cells = cells.dropDuplicates(["node"]).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -287,11 +289,23 @@ def near_duplicates(
     named = linked.join(sets.select("node", "least_id"), "node")
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_node = sets.select("node", "least_id").join(linked, "node", "left").join(least, "root", "left")
-    of_node = of_node.select("node", F.coalesce("component_id", "least_id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    of_node = of_node.select(
+        "node", F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("root", "node").alias("component")
+    )
+    out = signed.drop("registers").join(of_node, "node", "left")
+    least_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    kept = F.col("doc_id").eqNullSafe(least_id)
+    return out.select("doc_id", "n_shingles", least_id.alias("component_id"), kept.alias("kept"), "row", "component")
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of ``docs``, one row of each component of ``groups``, made from it: the one with the smallest doc_id, of several
+    the first.  Rows with an empty set stay.  ``docs`` must be a table read from files, as rows are matched by number.
+    """
+    kept = groups.filter("kept")
+    first = kept.filter("component is not null").groupBy("component").agg(F.min("row").alias("__row")).select("__row")
+    chosen = first.union(kept.filter("component is null").select("row"))
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(chosen, "__row", "left_semi").select(*docs.columns)
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

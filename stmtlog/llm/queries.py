@@ -41,7 +41,7 @@ QUALIFY rank <= 5
 
 
 def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, folder, "documents"))
+    return minhash.near_duplicates(_table(spark, folder, "documents")).drop("row", "component")
 
 
 #: Brute force on all pairs that share a shingle.
