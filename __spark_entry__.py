@@ -30,9 +30,10 @@ from stmtlog.sources.events_log import events_log  # noqa: E402
 
 #: The operators for training data and their pipeline may be absent; the rest works without them.
 if importlib.util.find_spec("stmtlog.llm") and importlib.util.find_spec("corpus_pipeline"):
+    import corpus_pipeline
     from stmtlog.llm import queries as llm_queries
 else:
-    llm_queries = None
+    corpus_pipeline = llm_queries = None
 
 
 def _log(spark: SparkSession, folder: str, clock: str = "dense") -> DataFrame:
@@ -241,7 +242,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _own_queries() | (llm_queries.queries() if llm_queries else {})
+    trained = llm_queries.queries() | {"pipeline": corpus_pipeline.run} if llm_queries else {}
+    return _own_queries() | trained
 
 
 def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -305,4 +307,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql() | (llm_queries.oracle_sql() if llm_queries else {})
+    trained = llm_queries.oracle_sql() if llm_queries else {}
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        trained["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return oracles.oracle_sql() | trained
