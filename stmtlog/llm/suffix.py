@@ -272,7 +272,7 @@ class Queue:
                 if not len(keep):
                     break
                 cuts = np.append(0, keep[:-1] + 1)
-                queue, shared = queue[keep], np.minimum.reduceat(shared, cuts)
+                queue, shared = queue[keep], np.minimum.reduceat(shared[: keep[-1] + 1], cuts)
         row, left = (np.concatenate([h[i] for h in hits] or [np.zeros(0, np.int64)]) for i in (0, 1))
         place = np.lexsort((-left, row))
         row, window = row[place], (first[row] + before[row] - left)[place]
@@ -376,8 +376,11 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("size"), spans], ["key", "size", "spans"])
 
 
-def with_spans(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with ``spans``: the spans of bytes of the text to remove, in order, null if none.
+def with_spans(
+    docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str = "text", spans: str = "spans"
+) -> DataFrame:
+    """The rows of ``docs`` with the column ``spans``, whose name none of theirs may have: the bytes of the text to remove, in
+    order, null if none.
 
     A byte is removed if a string of ``length`` bytes that covers it also starts at another place of any text,
     the same one included; matches do not cross texts, and are judged on the input.  A null or short text has
@@ -385,10 +388,13 @@ def with_spans(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text:
     and not looked at.  No rows give no rows.  Texts are told apart by 64-bit hashes and their sizes, k-grams
     and hulls by 64-bit hashes; windows are compared byte by byte.
     """
-    keyed = _with_key(docs, text)
-    spans = repeated_spans(docs, length, doc_id, text)
-    same = (keyed["__key"] == spans["key"]) & (keyed["__size"] == spans["size"])
-    return keyed.join(spans, same, "left").select(*(keyed[c] for c in docs.columns), spans["spans"])
+    names = {f"c{i}": c for i, c in enumerate(docs.columns)}  # so that no name can clash
+    safe = {c: n for n, c in names.items()}
+    keyed = _with_key(docs.select(*(F.col(f"`{c}`").alias(n) for n, c in names.items())), safe[text])
+    found = repeated_spans(docs, length, doc_id, text)
+    same = (keyed["__key"] == found["key"]) & (keyed["__size"] == found["size"])
+    joined = keyed.join(found, same, "left")
+    return joined.select(*(keyed[n].alias(c) for n, c in names.items()), found["spans"].alias(spans))
 
 
 def kept_parts(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
