@@ -84,9 +84,9 @@ def _exactly(queries: np.ndarray, own: np.ndarray, found: np.ndarray, ids: np.nd
     queries, found = (np.array([[int(x) for x in row] for row in m], object) for m in (queries, found))
     for q in range(len(queries)):
         alive = np.flatnonzero(ids != own[q])
-        scores = [int((queries[q] * found[c]).sum()) for c in alive]
+        scores = [min(max(int((queries[q] * found[c]).sum()), -LONG - 1), LONG) for c in alive]
         top = sorted(range(len(alive)), key=lambda i: (-scores[i], ids[alive[i]]))[:k]
-        yield alive[top], [min(max(scores[i], -LONG - 1), LONG) for i in top]
+        yield alive[top], [scores[i] for i in top]
 
 
 def _cell(left: pa.Table, right: pa.Table, scale: int, k: int) -> pa.Table:
@@ -114,8 +114,8 @@ def top_k(
     The score is the inner product of floor(scale * x), x as double; ties go to smaller vec_id.  Rows with the
     query's id are no candidates of it.  Rows without id, with a null vector or with a null or non-finite
     component take no part.  Missing components of a shorter vector count as zero.  A repeated row is a candidate
-    as often as it occurs, and a repeated query is answered as often.  A score beyond the range of long is
-    reported as the end of that range; its rank is exact.  Other columns are not looked at.
+    as often as it occurs, and a repeated query is answered as often.  A score beyond the range of long counts as
+    the end of that range.  Other columns are not looked at.
     """
 
     def usable(data: DataFrame) -> DataFrame:
