@@ -13,22 +13,30 @@ from pyspark.sql import functions as F
 from stmtlog.llm import cluster, langid, minhash, mixing, packing, suffix
 from stmtlog.plans.stage import stage
 
-#: A language's share of the evidence below which a text counts as written in none.
-LEAST_SCORE = 0.3
 WEIGHTS, MOST, LENGTH, CAPACITY = (1, 2, 3), 3, 200, 2048
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The columns of documents; any others are left behind, so their names can't clash with those made here."""
+    cluster.ship(spark)
+    return docs.select(*COLUMNS)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones have; texts without letters or evidence go.
+    """Documents in a language that the labelled ones have; texts without letters, or with none of the n-grams of
+    any language, go.
 
     A null lang becomes the one found.  A corpus without any labelled text is left as it is, as nothing can be learned.
     """
-    cluster.ship(spark)
+    docs = _documents(spark, docs)
     filters = langid.fit(docs)
     if not filters.languages:
         return docs
     found = langid.identify(docs, filters, keep={f"d_{i}": F.col(c) for i, c in enumerate(docs.columns)})
-    found = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    found = found.filter((F.col("lang_pred") != "und") & (F.col("score") > 0))
     names = {c: F.col(f"d_{i}") for i, c in enumerate(docs.columns)}
     names["lang"] = F.coalesce(names["lang"], F.col("lang_pred"))
     return found.select(*(c.alias(n) for n, c in names.items()))
@@ -36,26 +44,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id."""
-    cluster.ship(spark)
+    docs = _documents(spark, docs)
     return minhash.one_of_each(docs, minhash.near_duplicates(docs, percent=80))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the passages of 200 bytes and more that occur twice."""
-    cluster.ship(spark)
+    docs = _documents(spark, docs)
     cut = suffix.cut(suffix.with_spans(docs, length=LENGTH))
     return cut.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast("bigint"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The copies of documents that bring the sources to their weights, shard by shard."""
-    cluster.ship(spark)
+    docs = _documents(spark, docs)
     return mixing.take(docs, mixing.mix(docs, weights=WEIGHTS, most=MOST))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of each piece of each document in sequences of at most 2048 tokens."""
-    cluster.ship(spark)
+    docs = _documents(spark, docs)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=CAPACITY)
 
 

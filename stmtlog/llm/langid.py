@@ -3,8 +3,7 @@
 All languages share one bit-sliced Bloom filter: a slot holds a bit for each language, an n-gram sets its
 languages' bits in a few slots, and the AND of an n-gram's slots gives all languages that contain it at once.
 For a text, the bits of its n-grams are counted per language and corrected for false positives: with a share f
-of wrong answers, c of n n-grams stand for (c / n - f) / (1 - f).  N-grams that all languages contain say
-nothing and are left out of the vote.
+of wrong answers, c of n n-grams stand for (c / n - f) / (1 - f).  The language with the largest share is it.
 """
 
 from __future__ import annotations
@@ -95,21 +94,19 @@ class Filters:
             self.table = np.zeros((-(-k // 62), 2**SLOT_BITS), np.int64)
             self.table[self.filled[:, 1], self.filled[:, 0]] = self.filled[:, 2]
             bits = [(self.table[i // 62] >> (i % 62)) & 1 for i in range(k)]
-            self.wrong = np.array([min(b.mean() ** HASHES, 0.999) for b in bits])
+            self.wrong = np.array([b.mean() ** HASHES for b in bits])
         lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
         codes, owner = ngrams(texts)
         at = slots(codes)
         masks = np.bitwise_and.reduce(self.table[:, at], axis=1)
         contained = np.array([(masks[i // 62] >> (i % 62)) & 1 for i in range(k)]).reshape(k, -1)
-        several = contained.sum(0)
-        telling = (several > 0) & ((several < k) | (k == 1))
-        of, contained = owner[telling], contained[:, telling]
-        total = np.bincount(of, minlength=n)
-        count = np.array([np.bincount(of, weights=c, minlength=n) for c in contained]).reshape(k, n)
-        share = np.clip((count / np.maximum(total, 1) - self.wrong[:, None]) / (1 - self.wrong[:, None]), 0, 1)
+        total = np.maximum(np.bincount(owner, minlength=n), 1)
+        count = np.array([np.bincount(owner, weights=c, minlength=n) for c in contained]).reshape(k, n)
+        right = np.maximum(1 - self.wrong, 0.05)  # a filter that is all but full says little
+        share = np.clip((count / total - self.wrong[:, None]) / right[:, None], 0, 1)
         best = share.argmax(0) if k else np.zeros(n, int)
-        every = share.sum(0)
-        score = np.where(every > 0, share.max(0, initial=0) / np.maximum(every, 1e-12), 0.0)
+        every = np.sort(share, 0)[-2:].sum(0) if k else np.zeros(n)
+        score = np.where(every > 0, share.max(0, initial=0) / np.maximum(every if k > 1 else 1.0, 1e-12), 0.0)
         names = [
             "und" if not lettered[d] or not k else self.languages[best[d]] if every[d] > 0 else self.usual for d in range(n)
         ]
@@ -155,7 +152,8 @@ def _predicted(batches: Iterator[pa.RecordBatch], filters: Filters, kept: list[s
 
 
 def identify(docs: DataFrame, filters: Filters, text: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
-    """The columns ``keep`` of each row, by default all, with lang_pred and score (0 to 1, the best language's share).
+    """The columns ``keep`` of each row, by default all, with lang_pred and score: the best language's share
+    over its sum with the second's, 0.5 to 1 (of a single language, its share).
 
     ``und`` with score 0 is for null texts, texts without letters, and when nothing was learned.  A text with letters none of whose
     n-grams are known gets the most frequent language with score 0.  Prediction looks at the text alone.
