@@ -7,8 +7,7 @@ uniform b, all drawn from a hash of the word, give the sample
 
 and the word with the least a is sampled, together with k.  Two weighted sets draw the same (word, k) with a
 probability equal to their generalised Jaccard similarity, the sum of the smaller weights over the sum of the
-larger ones.  Words are dealt to BINS bins by their hash and each bin draws one sample, so a word is drawn for once;
-the likeness of two fingerprints is the share of equal samples among the bins that either has.
+larger ones.  A fingerprint holds DRAWS such samples; the likeness of two fingerprints is the share of equal ones.
 """
 
 from __future__ import annotations
@@ -20,66 +19,71 @@ from pyspark.sql import functions as F
 
 from stmtlog.plans.stage import stage
 
-#: Samples of a fingerprint; bits of a sample.
-BINS, BITS = 128, 16
+#: Samples of a fingerprint, and bits of a sample.
+DRAWS, BITS = 32, 24
 #: Ids in a range that one window task sorts, about.
 RANGE_ROWS = 100_000
 _LEAST = -(2**63)
 
 
-def _uniform(word: Column, seed: int) -> Column:
-    """A number in (0, 1) from a word's hash."""
-    return (F.shiftrightunsigned(F.xxhash64(word, F.lit(seed)), 11) + F.lit(0.5)) * F.lit(2.0**-53)
+def _halves(word: Column, seed: int) -> tuple[Column, Column]:
+    """Two numbers in (0, 1) from a word's hash."""
+    h, unit = F.xxhash64(word, F.lit(seed)), F.lit(2.0**-32)
+    return (F.shiftrightunsigned(h, 32) + F.lit(0.5)) * unit, (h.bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(0.5)) * unit
 
 
-def word_weights(texts: DataFrame, text: str, *keys: str) -> DataFrame:
-    """(keys, word, weight): the words of each text by hash, with their counts.
+def _drawn(draw: int) -> Column:
+    """a and the sample of a word in one long: a's order in the upper bits, so that the minimum needs no sort."""
+    word = F.col("word")
+    (r1, r2), (c1, c2), (b, _) = (_halves(word, 3 * draw + i) for i in range(3))
+    r = -F.ln(r1 * r2)
+    k = F.floor(F.ln("w") / r + b)
+    least = F.ln(-F.ln(c1 * c2)) - r * (k - b) - r
+    place = F.floor((F.least(F.greatest(least, F.lit(-128.0)), F.lit(127.0)) + 128) * F.lit(2.0**30)).cast("bigint")
+    sampled = F.xxhash64(word, k).bitwiseAND(F.lit((1 << BITS) - 1))
+    return F.shiftleft(place, BITS).bitwiseOR(sampled)
 
-    Words are runs of characters other than 0x20 and 0x09-0x0D.
-    """
-    words = texts.select(*keys, F.explode(F.split(text, r"[ \t\n\x0B\f\r]+")).alias("w")).filter("w <> ''")
-    return words.groupBy(*keys, F.xxhash64("w").alias("word")).agg(F.count("*").alias("weight"))
 
+def word_weights(texts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, word, columns): the words of the texts in ``columns`` by hash, with how often each text has them.
 
-def samples(weights: DataFrame, *keys: str) -> DataFrame:
-    """Of ``weights`` (keys, word, weight): (keys, samples), an array of bin * 2**BITS + sample, in order."""
-    word = F.col("word")
-    gamma = lambda seed: -F.ln(_uniform(word, seed) * _uniform(word, seed + 1))
-    drawn = weights.withColumns({"r": gamma(1), "c": gamma(3), "b": _uniform(word, 5)})
-    drawn = drawn.withColumn("k", F.floor(F.ln("weight") / F.col("r") + F.col("b")))
-    least = F.ln("c") - F.col("r") * (F.col("k") - F.col("b")) - F.col("r")
-    # the order of a in the upper bits, what is sampled in the lower ones: the minimum of one long needs no sort
-    place = F.floor((F.least(F.greatest(least, F.lit(-128.0)), F.lit(127.0)) + 128) * F.lit(2.0**38)).cast("bigint")
-    sampled = F.xxhash64(word, "k").bitwiseAND(F.lit((1 << BITS) - 1))
-    packed = F.shiftleft(place, BITS).bitwiseOR(sampled)
-    drawn = drawn.select(*keys, F.pmod(F.xxhash64(word, F.lit(7)), F.lit(BINS)).alias("bin"), packed.alias("s"))
-    drawn = drawn.groupBy(*keys, "bin").agg(F.min("s").alias("s"))
-    sample = F.shiftleft("bin", BITS).bitwiseOR(F.col("s").bitwiseAND(F.lit((1 << BITS) - 1))).cast("int")
-    return drawn.groupBy(*keys).agg(F.array_sort(F.collect_list(sample)).alias("samples"))
+    Words are runs of characters other than 0x20 and 0x09-0x0D.  Rows partitioned by their keys stay where they are.
+    """
+    words = texts.select(*keys, F.posexplode(F.array(*columns)).alias("of", "text"))
+    words = words.select(*keys, "of", F.explode(F.split("text", r"[ \t\n\x0B\f\r]+")).alias("w")).filter("w <> ''")
+    counts = (F.count_if(F.col("of") == i).alias(c) for i, c in enumerate(columns))
+    return words.groupBy(*keys, F.xxhash64("w").alias("word")).agg(*counts)
 
 
-def fingerprint(drawn: Column) -> Column:
-    """Samples as text, six hex digits each: bin and sample.  No samples give an empty text."""
-    return F.array_join(F.transform(drawn, lambda x: F.lower(F.lpad(F.hex(x), 6, "0"))), "")
+def samples(weights: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, columns) of ``weights`` (keys, word, columns): for each column of weights, the array of samples.
 
+    A word with the same weight in several columns is drawn for once.  Weights of 0 don't count; a column without
+    words has nulls.
+    """
+    distinct = F.explode(F.array_distinct(F.array(*(F.col(c).cast("double") for c in columns))))
+    drawn = weights.select(*keys, "word", *columns, distinct.alias("w")).filter("w > 0")
+    drawn = drawn.select(*keys, *columns, "w", *(_drawn(d).alias(f"s{d}") for d in range(DRAWS)))
+    least = [F.min(F.when(F.col(c) == F.col("w"), F.col(f"s{d}"))).alias(f"{c}{d}") for c in columns for d in range(DRAWS)]
+    low = F.lit((1 << BITS) - 1)
+    each = {c: F.array(*(F.col(f"{c}{d}").bitwiseAND(low).cast("int") for d in range(DRAWS))) for c in columns}
+    return drawn.groupBy(*keys).agg(*least).select(*keys, *(x.alias(c) for c, x in each.items()))
 
-def likeness(one: Column, other: Column) -> Column:
-    """The share of equal samples among the bins that either has, 0 to 1; two without samples are alike."""
-    bins = [F.transform(x, lambda v: F.shiftright(v, BITS)) for x in (one, other)]
-    either = F.size(F.array_union(*bins))
-    return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(one, other)) / either)
 
+def fingerprint(drawn: Column) -> Column:
+    """Samples as text, six hex digits each.  No samples give an empty text."""
+    text = F.array_join(F.transform(drawn, lambda x: F.lower(F.lpad(F.hex(x), BITS // 4, "0"))), "")
+    return F.when(drawn[0].isNull(), F.lit("")).otherwise(text)
 
-def fingerprints(texts: DataFrame, text: str, *keys: str) -> DataFrame:
-    """(keys, samples) for each row of ``texts`` with words; the keys tell rows apart.
 
-    Equal texts have equal samples.  Rows partitioned by their keys are not shuffled again.
-    """
-    return samples(word_weights(texts, text, *keys), *keys)
+def likeness(one: Column, other: Column) -> Column:
+    """The share of equal samples, 0 to 1; two without samples are alike, and one without is like no other."""
+    same = F.size(F.filter(F.zip_with(one, other, lambda x, y: x == y), lambda x: x)) / F.lit(float(DRAWS))
+    return F.when(one[0].isNull() & other[0].isNull(), F.lit(1.0)).otherwise(same)
 
 
 def _followers(ids: DataFrame) -> DataFrame:
-    """(id, h, next_id, next_h, n): each key with the next one in order, the first after the last.
+    """Rows of ``ids`` (id, h, doc_id, n, rows) with the next key in order, the first after the last.
 
     The keys are dealt to ranges; within a range a window finds the next, and a table of one row per range, the
     first of the range after.
@@ -93,7 +97,7 @@ def _followers(ids: DataFrame) -> DataFrame:
     after = F.coalesce(F.lead("first").over(every), F.first("first").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     first = first.select("part", after.alias("after"))
     ids = ids.join(first, "part").withColumn("next", F.coalesce("next", "after"))
-    return ids.select("id", "h", F.col("next.id").alias("next_id"), F.col("next.h").alias("next_h"), "n")
+    return ids.select("id", "h", F.col("next.id").alias("next_id"), F.col("next.h").alias("next_h"), "doc_id", "n", "rows")
 
 
 def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -108,11 +112,11 @@ def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = docs.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("id"), F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text")
-    ids = docs.select("id", "h", F.length("text").alias("n")).distinct()
-    links = stage(_followers(ids), "followers")
-    docs = docs.groupBy("id", "h").agg(
-        F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("rows")
+    ids = docs.groupBy("id", "h").agg(
+        F.max("doc_id").alias("doc_id"), F.max(F.length("text")).alias("n"), F.count("*").alias("rows")
     )
+    links = stage(_followers(ids), "followers")
+    docs = docs.groupBy("id", "h").agg(F.first("text").alias("text"))
     # what each document gives to the one before it: the first code points of its text
     asked = links.select(
         F.col("next_id").alias("id"), F.col("next_h").alias("h"), F.col("id").alias("to_id"), F.col("h").alias("to_h"),
@@ -123,20 +127,14 @@ def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     )
     both = docs.join(given, ["id", "h"])
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - F.col("asked")), "given")
-    both = both.withColumn("edited", edited)
-    texts = both.select(
-        "id", "h", F.posexplode(F.array("text", "edited")).alias("kind", "t")
-    )
-    drawn = fingerprints(texts, "t", "id", "h", "kind")
-    drawn = drawn.groupBy("id", "h").agg(
-        *(F.first(F.when(F.col("kind") == k, F.col("samples")), ignorenulls=True).alias(n) for k, n in enumerate(("own", "edit")))
-    )
-    facts = both.select("id", "h", "doc_id", "rows", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    none = F.array().cast("array<int>")
+    both = both.select("id", "h", F.col("text").alias("own"), edited.alias("edit"))
+    drawn = samples(word_weights(both, ["id", "h"], ["own", "edit"]), ["id", "h"], ["own", "edit"])
+    facts = both.select("id", "h", F.length("own").cast("bigint").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"))
+    none = F.array_repeat(F.lit(None).cast("int"), DRAWS)
     marked = facts.join(drawn, ["id", "h"], "left").withColumns({c: F.coalesce(c, none) for c in ("own", "edit")})
     marked = stage(marked, "fingerprints")
     following = marked.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("own").alias("next_own"))
-    out = marked.join(links.drop("n"), ["id", "h"]).join(following, ["next_id", "next_h"])
+    out = marked.join(links, ["id", "h"]).join(following, ["next_id", "next_h"])
     out = out.withColumn("row", F.explode(F.sequence(F.lit(1), "rows")))
     return out.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"),
