@@ -99,7 +99,7 @@ class Filters:
         codes, owner = ngrams(texts)
         at = slots(codes)
         masks = np.bitwise_and.reduce(self.table[:, at], axis=1)
-        contained = np.array([(masks[i // 62] >> (i % 62)) & 1 for i in range(k)]).reshape(k, -1)
+        contained = np.array([(masks[i // 62] >> (i % 62)) & 1 for i in range(k)]).reshape(k, len(owner))
         total = np.maximum(np.bincount(owner, minlength=n), 1)
         count = np.array([np.bincount(owner, weights=c, minlength=n) for c in contained]).reshape(k, n)
         right = np.maximum(1 - self.wrong, 0.05)  # a filter that is all but full says little
