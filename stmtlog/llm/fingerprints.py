@@ -20,30 +20,18 @@ from pyspark.sql import functions as F
 from stmtlog.plans.stage import stage
 
 #: Samples of a fingerprint, and bits of a sample.
-DRAWS, BITS = 32, 24
+DRAWS, BITS = 24, 24
 #: Ids in a range that one window task sorts, about.
 RANGE_ROWS = 100_000
 _LEAST = -(2**63)
 
 
-def _halves(word: Column, seed: int) -> tuple[Column, Column]:
-    """Two numbers in (0, 1) from a word's hash."""
-    h, unit = F.xxhash64(word, F.lit(seed)), F.lit(2.0**-32)
+def _halves(h: Column) -> tuple[Column, Column]:
+    """Two numbers in (0, 1) from a hash."""
+    unit = F.lit(2.0**-32)
     return (F.shiftrightunsigned(h, 32) + F.lit(0.5)) * unit, (h.bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(0.5)) * unit
 
 
-def _drawn(draw: int) -> Column:
-    """a and the sample of a word in one long: a's order in the upper bits, so that the minimum needs no sort."""
-    word = F.col("word")
-    (r1, r2), (c1, c2), (b, _) = (_halves(word, 3 * draw + i) for i in range(3))
-    r = -F.ln(r1 * r2)
-    k = F.floor(F.ln("w") / r + b)
-    least = F.ln(-F.ln(c1 * c2)) - r * (k - b) - r
-    place = F.floor((F.least(F.greatest(least, F.lit(-128.0)), F.lit(127.0)) + 128) * F.lit(2.0**30)).cast("bigint")
-    sampled = F.xxhash64(word, k).bitwiseAND(F.lit((1 << BITS) - 1))
-    return F.shiftleft(place, BITS).bitwiseOR(sampled)
-
-
 def word_weights(texts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """(keys, word, columns): the words of the texts in ``columns`` by hash, with how often each text has them.
 
@@ -63,11 +51,21 @@ def samples(weights: DataFrame, keys: list[str], columns: list[str]) -> DataFram
     """
     distinct = F.explode(F.array_distinct(F.array(*(F.col(c).cast("double") for c in columns))))
     drawn = weights.select(*keys, "word", *columns, distinct.alias("w")).filter("w > 0")
-    drawn = drawn.select(*keys, *columns, "w", *(_drawn(d).alias(f"s{d}") for d in range(DRAWS)))
-    least = [F.min(F.when(F.col(c) == F.col("w"), F.col(f"s{d}"))).alias(f"{c}{d}") for c in columns for d in range(DRAWS)]
+    drawn = drawn.withColumn("ln_w", F.ln("w")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
+    for name, h in (("h1", F.xxhash64("word", "draw")), ("h2", F.xxhash64("h1")), ("h3", F.xxhash64("h2"))):
+        drawn = drawn.withColumn(name, h)
+    (r1, r2), (c1, c2), (b, _) = (_halves(F.col(h)) for h in ("h1", "h2", "h3"))
+    drawn = drawn.withColumns({"r": -F.ln(r1 * r2), "ln_c": F.ln(-F.ln(c1 * c2)), "b": b})
+    drawn = drawn.withColumn("k", F.floor(F.col("ln_w") / F.col("r") + F.col("b")))
+    least = F.col("ln_c") - F.col("r") * (F.col("k") - F.col("b")) - F.col("r")
+    # a's order in the upper bits, what is sampled in the lower ones: the minimum of one long needs no sort
+    place = F.floor((F.least(F.greatest(least, F.lit(-128.0)), F.lit(127.0)) + 128) * F.lit(2.0**30)).cast("bigint")
     low = F.lit((1 << BITS) - 1)
-    each = {c: F.array(*(F.col(f"{c}{d}").bitwiseAND(low).cast("int") for d in range(DRAWS))) for c in columns}
-    return drawn.groupBy(*keys).agg(*least).select(*keys, *(x.alias(c) for c, x in each.items()))
+    drawn = drawn.withColumn("s", F.shiftleft(place, BITS).bitwiseOR(F.xxhash64("h3", "k").bitwiseAND(low)))
+    drawn = drawn.groupBy(*keys, "draw").agg(*(F.min(F.when(F.col(c) == F.col("w"), F.col("s"))).alias(c) for c in columns))
+    drawn = drawn.select(*keys, F.struct("draw", *(F.col(c).bitwiseAND(low).cast("int").alias(c) for c in columns)).alias("x"))
+    drawn = drawn.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return drawn.select(*keys, *(F.col(f"x.{c}").alias(c) for c in columns))
 
 
 def fingerprint(drawn: Column) -> Column:
