@@ -29,8 +29,9 @@ from stmtlog.llm import text as T
 from stmtlog.plans.stage import stage
 
 DEPTH, END = 5, 0xFF
-#: Different strings and words of a task kept before they are handed on; rows answered at a time.
-KEPT, ANSWERED = 4_000_000, 500_000
+#: Bytes of text worked on at a time; strings and words added before they are summed, and kept before they are handed on;
+#: rows answered at a time.
+SLICE, ADDED, KEPT, ANSWERED = 1 << 20, 1_000_000, 4_000_000, 300_000
 _LN2 = np.log(2.0)
 _HALVES = np.append(0.0, np.cumsum(np.log(np.arange(1, 4097) - 0.5)))  # ln gamma(n + 1/2) - ln gamma(1/2)
 _WHOLES = np.append(0.0, np.cumsum(np.log(np.arange(1, 8193))))  # ln n!
@@ -116,7 +117,7 @@ def _asked(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), bundle)), pa.array(n)], ["key", "bundle", "n"])
 
     fresh = 0
-    for part in T.slices(batches, "text"):
+    for part in T.slices(batches, "text", SLICE):
         data, offsets = T.utf8(part.column("text"))
         bundle = int(part.column("bundle")[0].as_py())
         train = part.column("train").to_numpy(zero_copy_only=False).astype(bool)
@@ -127,7 +128,7 @@ def _asked(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
                 keys.append(key)
                 counts.append(n * weight)
                 fresh += len(key)
-        if fresh > KEPT:
+        if fresh > ADDED:
             key, n = _summed(keys, counts)
             keys[:], counts[:], fresh = [key], [n], 0
             if len(key) > KEPT:
@@ -137,7 +138,7 @@ def _asked(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
 
 
 #: Bytes of context above which contexts are few enough to be tables; strings of a shared context worked off at a time.
-TOP, PIECE = 2, 1_000_000
+TOP, PIECE = 2, 200_000
 
 
 class Weighting:
@@ -321,7 +322,7 @@ def _scores(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Record
                 continue
             if lookup is None:
                 lookup, keys, values = Lookup(np.concatenate(keys), np.concatenate(values)), [], []
-            for part in T.slices(iter([texts]), "text"):
+            for part in T.slices(iter([texts]), "text", SLICE):
                 data, offsets = T.utf8(part.column("text"))
                 codes, begin = _codes(data, offsets, depth)
                 owner = np.repeat(np.arange(part.num_rows), np.diff(begin))

@@ -38,7 +38,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 ... base**(n - 1) modulo 2**64; kept for slices of the usual size."""
     known = _powers.get(int(base))
     if known is None or len(known) < n:
-        size = n if n > 2 * SLICE_BYTES else 2 * SLICE_BYTES
+        size = n if n > 2 * SLICE_BYTES else 1 << n.bit_length()
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
         known = np.cumprod(steps, dtype=np.uint64)
