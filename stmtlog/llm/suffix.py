@@ -74,10 +74,12 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     return doc[first], first, count, a - first, hashed[a], T.mix(hull + shape * np.uint64(0x9E3779B97F4A7C15))
 
 
-RUNS = "gram long, hull long, key long, size long, first long, windows int, before int"
+RUNS = "gram long, hull long, key long, size long, first long, windows int, before int, copies int"
 
 
 def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """The runs of all texts.  Of runs with one hull in a slice the first stands for all (copies: 1, or 2 for more); the
+    others, copies 0, are known to be repeated and need not meet the rest, however common their k-gram is."""
     names = [c.split()[0] for c in RUNS.split(", ")]
     most = 1 << (PLACES - 1)
     for part in T.slices(batches, "text"):
@@ -96,9 +98,12 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator
             if end - begin < length:
                 continue
             doc, first, count, before, grams, hull = runs(data[begin:end], cut, length, gram)
+            _, one, many = np.unique(hull, return_index=True, return_counts=True)
+            copies = np.zeros(len(hull), np.int32)
+            copies[one] = np.minimum(many, 2)
             columns = [
                 grams.view(np.int64), hull.view(np.int64), key[doc], sizes[doc], first + begin - offsets[doc],
-                count.astype(np.int32), before.astype(np.int32),
+                count.astype(np.int32), before.astype(np.int32), copies,
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
@@ -110,19 +115,26 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From runs sorted by k-gram, hull, key and place: those whose hull is repeated (met), and one run of each hull
     of a k-gram with several hulls (not met; whole: its hull is repeated).  Keeps back one run."""
     names = ["gram", "hull", "key", "size", "first", "windows", "before"]
+    fields = [c.split()[0] for c in FOUND.split(", ")]
     held, held_count, held_met, earlier = None, 0, False, False
     for batch in _with_end(batches):
         last = batch is None
-        rows = [] if last else [batch.column(c).to_numpy() for c in names]
         if last and held is None:
             return
-        if not last and not batch.num_rows:
-            continue
+        rows, copies = [], np.zeros(0, np.int64)
+        if not last:
+            copies = batch.column("copies").to_numpy().astype(np.int64)
+            rows = [batch.column(c).to_numpy() for c in names]
+            known = copies == 0
+            if known.any():
+                yes = pa.array(np.ones(int(known.sum()), bool))
+                yield pa.RecordBatch.from_arrays([yes, *(pa.array(rows[i][known]) for i in (0, 2, 3, 4, 5, 6)), yes], fields)
+                rows, copies = [r[~known] for r in rows], copies[~known]
+            if not len(copies):
+                continue
         if held is not None:
             rows = [np.array([h]) for h in held] if last else [np.append(h, r) for h, r in zip(held, rows, strict=True)]
-        many = np.ones(len(rows[0]), np.int64)
-        if held is not None:
-            many[0] = held_count
+        many = copies if held is None else np.append(held_count, copies)
         change = np.ones(len(many), bool)
         change[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
         start = np.flatnonzero(change)
@@ -144,7 +156,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.append(np.flatnonzero(met), told)
         columns = [pa.array(rows[i][at]) for i in (0, 2, 3, 4, 5, 6)]
         kind = pa.array(np.append(np.ones(int(met.sum()), bool), np.zeros(len(told), bool)))
-        yield pa.RecordBatch.from_arrays([kind, *columns, pa.array(count[run[at]] > 1)], [c.split()[0] for c in FOUND.split(", ")])
+        yield pa.RecordBatch.from_arrays([kind, *columns, pa.array(count[run[at]] > 1)], fields)
         held, held_count = [r[start[-1]] for r in rows], int(count[-1])
         held_met = held_count > 1
         earlier = bool(hulls[group[-1]] > 1)
@@ -334,7 +346,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", t
     gram = length // 2
     docs = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
     met = docs.select("text").mapInArrow(partial(_runs, length=length, gram=gram), RUNS)
-    met = met.repartition("gram").sortWithinPartitions("gram", "hull", "key", "size", "first")
+    deal = F.when(F.col("copies") > 0, F.col("gram")).otherwise(F.xxhash64("key", "first"))
+    met = met.repartition(deal).sortWithinPartitions("gram", "hull", "key", "size", "first")
     met = stage(met.mapInArrow(_meet, FOUND), "runs")
     listed = met.filter("not met").select("key", "size", F.struct("gram", "first", "windows", "before", "whole").alias("run"))
     listed = listed.groupBy("key", "size").agg(F.collect_list("run").alias("runs"))
