@@ -24,8 +24,10 @@ from stmtlog.operators import insights, labels, monitor, profiles, remediation
 from stmtlog.operators import rules as R  # noqa: E402
 from stmtlog.operators import schema, sequences  # noqa: E402
 from stmtlog.operators import statistics as S  # noqa: E402
-from stmtlog.plans.stage import stage  # noqa: E402
+from stmtlog.plans import reports  # noqa: E402
+from stmtlog.plans.stage import new_folder, stage  # noqa: E402
 from stmtlog.sources.events_log import events_log  # noqa: E402
+from stmtlog.sources.statement_log import read_csv  # noqa: E402
 
 
 #: The operators for training data and their pipeline may be absent; the rest works without them.
@@ -54,7 +56,7 @@ def _facts(spark: SparkSession, folder: str, *kinds: str) -> DataFrame:
 
 def _sequences(spark: SparkSession, folder: str) -> DataFrame:
     log = events_log(spark, folder)
-    return sequences.fold_sequences(labels.label_statements(log), seen_in=log)
+    return sequences.fold_sequences(labels.label_statements(log), seen_in=log, texts_from=log)
 
 
 def _profiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,7 +94,7 @@ def classified_log(spark, folder):
 
 
 def label_requests(spark, folder):
-    return labels.label_requests(_log(spark, folder), min_length=30)
+    return labels.label_requests(_log(spark, folder))
 
 
 def _label_responses(labelled: DataFrame) -> DataFrame:
@@ -112,13 +114,13 @@ def _label_responses(labelled: DataFrame) -> DataFrame:
         .when(kind == 2, F.lit('{"purpose": "maintenance"}'))
         .when(kind == 3, F.lit("{}"))
     )
-    asking = labelled.filter(labels.wants_external_label(30))
+    asking = labelled.filter(labels.wants_external_label())
     return asking.select("sql_id", response.alias("response")).filter(F.col("response").isNotNull())
 
 
 def label_merge(spark, folder):
     labelled = _log(spark, folder)
-    merged = labels.merge_labels(labelled, _label_responses(labelled), min_length=30)
+    merged = labels.merge_labels(labelled, _label_responses(labelled))
     return _joined(merged.select("sql_id", "purpose", "sub_type", "confidence", "indicators"), "indicators")
 
 
@@ -149,6 +151,37 @@ def integrity_sequences(spark, folder):
     )
 
 
+def csv_log(spark, folder):
+    """The log written as CSV with a quoted text over lines, and read back."""
+    path = new_folder(spark, "csv").path
+    log = _as_text(events_log(spark, folder), "yyyy-MM-dd/HH:mm:ss", "last_load_time")
+    log.toDF("SQL_ID", "SQL_FULLTEXT", "PARSING_SCHEMA_NAME", "LAST_LOAD_TIME").write.csv(
+        path, header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    return _as_text(read_csv(spark, path), SECONDS, "last_load_time")
+
+
+def _written(spark: SparkSession, section: DataFrame, name: str) -> DataFrame:
+    """A report section as it is read back from its JSON files."""
+    path = new_folder(spark, "reports").path
+    reports.write_sections({name: section}, path, created="2024-05-01 00:00:00")
+    return spark.read.schema(section.withColumn("created", F.lit("")).schema).json(f"{path}/{name}")
+
+
+def written_rule_report(spark, folder):
+    return _joined(_written(spark, R.rule_report(_rules(spark, folder)), "discovered_rules"), "tables")
+
+
+def written_issue_totals(spark, folder):
+    return _written(spark, sequences.issue_type_totals(_sequences(spark, folder)), "issue_types")
+
+
+def overall_insight(spark, folder):
+    top = sequences.top_issue_types(_sequences(spark, folder), k=1)
+    answer = F.to_json(F.struct(F.array("issue_type").alias("common_issues")))
+    return insights.overall_insight(top.select(answer.alias("response")))
+
+
 def first_sequences(spark, folder):
     return _joined(sequences.first_discovered(_sequences(spark, folder), 50), "tables").select(
         "sequence_id", "issue_type", "tables", F.col("occurrence_count").alias("occurrences"), "confidence",
@@ -159,20 +192,19 @@ def first_sequences(spark, folder):
 def analysis_summary(spark, folder):
     log = _log(spark, folder)
     activity = stage(S.activity(log), "activity")
-    summary = S.analysis_summary(activity, sequences.fold_sequences(log, seen_in=activity))
+    summary = S.analysis_summary(activity, sequences.fold_sequences(log, seen_in=activity, texts_from=events_log(spark, folder)))
     return _as_text(summary, MICROS, "start_time", "end_time")
 
 
 def integrity_counts(spark, folder):
     log = _log(spark, folder)
     activity = stage(S.activity(log), "activity")
-    return S.integrity_counts(activity, sequences.fold_sequences(log, seen_in=activity))
+    return S.integrity_counts(activity, sequences.fold_sequences(log, seen_in=activity, texts_from=events_log(spark, folder)))
 
 
 def statement_samples(spark, folder):
     log = _log(spark, folder)
-    both = [S.sample_statements(log, purpose, 100, seed=7) for purpose in (labels.CHECK, labels.FIX)]
-    return both[0].unionByName(both[1]).drop("last_load_time")
+    return S.sample_statements(log, [labels.CHECK, labels.FIX], 100, seed=7).drop("last_load_time")
 
 
 def table_operations(spark, folder):
@@ -262,8 +294,13 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "related_tables": lambda s, d: profiles.related_tables(_facts(s, d, K.RELATED)),
         "join_columns": lambda s, d: profiles.join_columns(_facts(s, d, K.JOIN_COLUMN)),
         "check_fix_pairs": lambda s, d: _joined(sequences.check_fix_pairs(_log(s, d)), "tables"),
+        "pair_counts": lambda s, d: _as_text(_joined(sequences.pair_counts(_log(s, d)), "tables"), "yyyy-MM-dd", "day"),
         "integrity_sequences": integrity_sequences,
         "first_sequences": first_sequences,
+        "csv_log": csv_log,
+        "written_rule_report": written_rule_report,
+        "written_issue_totals": written_issue_totals,
+        "overall_insight": overall_insight,
         "issue_type_totals": lambda s, d: sequences.issue_type_totals(_sequences(s, d)),
         "top_issue_types": lambda s, d: _joined(sequences.top_issue_types(_sequences(s, d)), "tables", "patterns"),
         "schema_counts": lambda s, d: S.schema_counts(events_log(s, d)),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from stmtlog.functions import patterns as P
 from stmtlog.operators import insights, labels
 from stmtlog.operators.remediation import PLAN_LISTS
-from stmtlog.sources.events_log import TEMPLATES
+from stmtlog.sources.events_log import TEMPLATES, VARIED
 
 
 def _q(text: str) -> str:
@@ -41,11 +41,14 @@ _OPERATION = _case([(f"starts_with(s, {_q(o)})", _q(o)) for o in P.OPERATIONS],
 def log_ctes(clock: str = "dense") -> str:
     time = "TIMESTAMP '2024-01-01' + to_seconds(20 * event_id)" if clock == "dense" else "ts::TIMESTAMP"
     rows = ", ".join(f"({i}, {_q(t)})" for i, t in enumerate(TEMPLATES))
+    text = "t"
+    for table in VARIED:
+        text = f"replace({text}, '{table}', '{table}' || CASE WHEN user_id % 3 = 0 THEN '' ELSE '_' || (user_id % 3)::VARCHAR END)"
     return rf"""
     templates(i, t) AS (VALUES {rows}),
     log AS (
-      SELECT 'S' || lpad(event_id::VARCHAR, 12, '0') AS sql_id, t AS sql_fulltext,
-             'APP' || (user_id % 4)::VARCHAR AS sch, {time} AS tm
+      SELECT 'S' || lpad(event_id::VARCHAR, 12, '0') AS sql_id, {text} AS sql_fulltext,
+             CASE WHEN event_id % 97 <> 5 THEN 'APP' || (user_id % 4)::VARCHAR END AS sch, {time} AS tm
       FROM events JOIN templates ON i = (2 * event_id) % {len(TEMPLATES)}),
     folded AS (SELECT *, upper(sql_fulltext) AS u, regexp_replace(upper(sql_fulltext), '^\s+|\s+$', '', 'g') AS s FROM log),
     numbered AS (SELECT *, {_RULE} AS rule, {_tables()} AS tables, {_OPERATION} AS operation FROM folded),
@@ -159,7 +162,7 @@ RULES = SEQUENCES + PROFILES + f""",
       SELECT *, 'RULE_' || category || '_' || array_to_string(tables[1:2], '_') || '_' || sequence_id[1:8] AS rule_id,
              {_TITLE} || ' Rule' AS rule_name,
              'Detects and fixes ' || issue_type || ' in ' || array_to_string(tables, ', ') AS description,
-             check_sql[1:500] AS example_check_sql, fix_sql[1:500] AS example_fix_sql,
+             check_sql AS example_check_sql, fix_sql AS example_fix_sql,
              {_IMPACT} AS business_impact, {_PRIORITY} AS priority_score
       FROM rated)"""
 
@@ -176,10 +179,10 @@ def _real(select: str) -> str:
     return f"WITH {log_ctes('real')}\n{select}"
 
 
-_REPORT = f"""rule_id, rule_name AS name, description, severity, {_T} AS tables, frequency,
+_REPORT = f"""rule_id, sequence_id, {_T} AS tables_key, rule_name AS name, description, severity, {_T} AS tables, frequency,
     fix_pattern <> '' AS has_automated_fix, business_impact"""
 
-_REQUEST = f"""{_q(labels.LABEL_REQUEST_HEAD)} || sql_fulltext[1:1000] || {_q(labels.LABEL_REQUEST_TAIL)}"""
+_REQUEST = f"""{_q(labels.LABEL_REQUEST_HEAD)} || sql_fulltext || {_q(labels.LABEL_REQUEST_TAIL)}"""
 
 # the responses that __spark_entry__ derives for the asking statements
 _RESPONSE = "CAST(substr(sql_id, 2) AS BIGINT) % 5"
@@ -214,7 +217,6 @@ PARTS = r""",
 
 _PER_SCHEMA = PARTS + SCHEMA
 _LIST_NAME = _case([(f"list = {i}", _q(v[0])) for i, v in PLAN_LISTS.items()], "''")
-_MOST = _case([(f"list = {i}", v[1]) for i, v in PLAN_LISTS.items()], 0)
 
 LISTED = """,
     listed AS (
@@ -244,7 +246,7 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN sub_type = '' THEN '' ELSE 'Pattern: ' || sub_type END AS indicators FROM labelled"""
         ),
         "label_requests": _dense(
-            f"SELECT sql_id, {_REQUEST} AS request FROM labelled WHERE purpose = 'unknown' AND length(sql_fulltext) > 30"
+            f"SELECT sql_id, {_REQUEST} AS request FROM labelled WHERE purpose = 'unknown'"
         ),
         "label_merge": _dense(
             f"""SELECT sql_id,
@@ -253,7 +255,7 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN NOT asks OR k = 4 THEN confidence WHEN k = 0 THEN 0.9 WHEN k = 2 THEN 0.5 WHEN k = 3 THEN 0.5 ELSE 0.0 END::DOUBLE AS confidence,
                 CASE WHEN NOT asks OR k = 4 OR k = 1 THEN CASE WHEN sub_type = '' THEN '' ELSE 'Pattern: ' || sub_type END
                      WHEN k = 0 THEN 'about ' || sql_id ELSE '' END AS indicators
-                FROM (SELECT *, purpose = 'unknown' AND length(sql_fulltext) > 30 AS asks, {_RESPONSE} AS k FROM labelled)"""
+                FROM (SELECT *, purpose = 'unknown' AS asks, {_RESPONSE} AS k FROM labelled)"""
         ),
         "statement_tables": _dense(f"SELECT sql_id, {_T} AS tables FROM labelled"),
         "operation_types": _dense("SELECT sql_id, operation FROM labelled"),
@@ -273,8 +275,13 @@ def oracle_sql() -> dict[str, str]:
             "SELECT t AS table_name, c AS column_name, count(*) AS uses FROM used_joins GROUP BY t, c", PER_TABLE
         ),
         "check_fix_pairs": _dense(
-            f"""SELECT sequence_id, sch AS parsing_schema_name, check_sql, fix_sql, check_pattern, fix_pattern,
-                {_T} AS tables, issue_type, confidence, 1 AS occurrence_count FROM pairs""",
+            f"""SELECT sequence_id, sch AS parsing_schema_name, check_id AS check_sql_id, fix_id AS fix_sql_id,
+                check_pattern, fix_pattern, {_T} AS tables, issue_type, confidence, 1 AS occurrence_count FROM pairs""",
+            PAIRS,
+        ),
+        "pair_counts": _dense(
+            f"""SELECT sch AS parsing_schema_name, strftime(check_tm, '%Y-%m-%d') AS day, check_pattern, fix_pattern,
+                {_T} AS tables, count(*) AS pairs FROM pairs GROUP BY ALL""",
             PAIRS,
         ),
         "integrity_sequences": _dense(
@@ -282,6 +289,22 @@ def oracle_sql() -> dict[str, str]:
                 confidence, occurrence_count FROM sequences""",
             SEQUENCES,
         ),
+        "csv_log": _dense(
+            f"""SELECT sql_id, sql_fulltext, sch AS parsing_schema_name, {_TIME.format('tm')} AS last_load_time FROM log"""
+        ),
+        "written_rule_report": _dense(
+            f"SELECT {_REPORT}, '2024-05-01 00:00:00' AS created FROM rules ORDER BY {RULE_ORDER} LIMIT 50", RULES
+        ),
+        "written_issue_totals": _dense(
+            """SELECT issue_type, sum(occurrence_count)::BIGINT AS occurrences, '2024-05-01 00:00:00' AS created
+               FROM sequences GROUP BY issue_type""",
+            SEQUENCES,
+        ),
+        "overall_insight": _dense(
+            """SELECT '["' || issue_type || '"]' AS common_issues, NULL AS root_causes, NULL AS prevention_recommendations,
+               NULL AS priority_order FROM (SELECT issue_type FROM sequences GROUP BY 1 ORDER BY sum(occurrence_count) DESC, 1 LIMIT 1)""",
+            SEQUENCES,
+        ),
         "first_sequences": _dense(
             f"""SELECT sequence_id, issue_type, {_T} AS tables, occurrence_count AS occurrences, confidence,
                 check_pattern, fix_pattern FROM sequences ORDER BY {DISCOVERY} LIMIT 50""",
@@ -294,8 +317,7 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT issue_type, sum(occurrence_count)::BIGINT AS occurrences,
                 array_to_string(list_sort(list_distinct(flatten(list(tables)))), ',') AS tables,
                 array_to_string(list_sort(list_distinct(list(check_pattern))), ',') AS patterns
-                FROM (SELECT * FROM sequences ORDER BY {DISCOVERY} LIMIT 50)
-                GROUP BY issue_type ORDER BY occurrences DESC, issue_type LIMIT 5""",
+                FROM sequences GROUP BY issue_type ORDER BY occurrences DESC, issue_type LIMIT 5""",
             SEQUENCES,
         ),
         "schema_counts": _dense(
@@ -334,7 +356,7 @@ def oracle_sql() -> dict[str, str]:
         "statement_samples": _dense(
             """SELECT sql_id, sql_fulltext, sch AS parsing_schema_name, sub_type FROM (
                  SELECT *, row_number() OVER (PARTITION BY purpose ORDER BY
-                   md5('7|' || sql_id || '|' || sch || '|' || strftime(tm, '%Y-%m-%d %H:%M:%S')), sql_fulltext) AS place
+                   md5(concat_ws('|', '7', sql_id, sch, strftime(tm, '%Y-%m-%d %H:%M:%S'))), sql_fulltext) AS place
                  FROM labelled WHERE purpose IN ('integrity_check', 'integrity_fix')) WHERE place <= 100"""
         ),
         "table_usage": _dense("SELECT table_name, count(*) AS usage_count FROM named GROUP BY table_name", _PER_SCHEMA),
@@ -380,7 +402,7 @@ def oracle_sql() -> dict[str, str]:
                   || 'Its fix:' || chr(10) || arg_min(example_fix_sql, place) || {_q(insights.RULE_REQUEST_TAIL)} AS request
                 FROM (SELECT *, row_number() OVER (PARTITION BY check_pattern ORDER BY {DISCOVERY}) AS place,
                              (sum(frequency) OVER (PARTITION BY check_pattern))::BIGINT AS occurrences FROM rules)
-                WHERE place <= 3 GROUP BY check_pattern, occurrences ORDER BY occurrences DESC, check_pattern LIMIT 10""",
+                WHERE place <= 3 GROUP BY check_pattern, occurrences""",
             RULES,
         ),
         "rule_insight_merge": _dense(
@@ -405,9 +427,7 @@ def oracle_sql() -> dict[str, str]:
             RULES + LISTED,
         ),
         "plan_items": _dense(
-            f"""SELECT list, {_LIST_NAME} AS list_name, rank::INTEGER AS rank, {_REPORT} FROM (
-                  SELECT *, row_number() OVER (PARTITION BY list ORDER BY {RULE_ORDER}) AS rank FROM listed)
-                WHERE rank <= {_MOST}""",
+            f"SELECT list, {_LIST_NAME} AS list_name, {_REPORT} FROM listed",
             RULES + LISTED,
         ),
         "monitor_overview": _dense(

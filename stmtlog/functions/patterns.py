@@ -73,6 +73,12 @@ SEVERITY_SCORE = {"critical": 4, "high": 3, "medium": 2, "low": 1}
 EFFORT_DAYS = {"critical": 2.0, "high": 1.5, "medium": 1.0, "low": 0.5}
 WINDOW_MINUTES = 5
 
+# ---- fixed values: wording of rules (category, tables, sequence; issue; issue, tables) ----
+RULE_ID = "RULE_%s_%s_%s"
+RULE_NAME = "%s Rule"
+RULE_DESCRIPTION = "Detects and fixes %s in %s"
+NO_FIX = "No fix SQL available"
+
 # ---- fixed values: measures given when no usable response exists -------------------------
 FALLBACK_MEASURES = [
     "Implement foreign key constraints on all reference columns",

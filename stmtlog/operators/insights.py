@@ -33,8 +33,8 @@ MEASURES_REQUEST_TAIL = (
 )
 
 
-def rule_insight_requests(rules: DataFrame, k: int = 10, samples: int = 3) -> DataFrame:
-    """A request for each of the ``k`` check patterns with the most occurrences.
+def rule_insight_requests(rules: DataFrame, k: int | None = None, samples: int = 3) -> DataFrame:
+    """A request for each check pattern, or for the ``k`` with the most occurrences.
 
     It names the tables of the pattern's first ``samples`` rules and quotes the first rule.
     ``rules`` are taken in discovery order, as before prioritising.
@@ -42,9 +42,9 @@ def rule_insight_requests(rules: DataFrame, k: int = 10, samples: int = 3) -> Da
     top = (
         rules.groupBy("check_pattern")
         .agg(F.sum("frequency").alias("occurrences"))
-        .orderBy(F.desc("occurrences"), "check_pattern")
-        .limit(k)
     )
+    if k is not None:
+        top = top.orderBy(F.desc("occurrences"), "check_pattern").limit(k)
     order = Window.partitionBy("check_pattern").orderBy(*DISCOVERY_ORDER)
     sample = (
         rules.withColumn("rank", F.row_number().over(order))
@@ -62,7 +62,7 @@ def rule_insight_requests(rules: DataFrame, k: int = 10, samples: int = 3) -> Da
             F.lit("Check pattern: "), F.col("check_pattern"),
             F.lit("\nTables: "), F.array_join("tables", ", "),
             F.lit("\n\nA check:\n"), F.col("first.example_check_sql"),
-            F.lit("\n\nIts fix:\n"), F.coalesce("first.example_fix_sql", F.lit("No fix SQL available")),
+            F.lit("\n\nIts fix:\n"), F.coalesce("first.example_fix_sql", F.lit(P.NO_FIX)),
             F.lit(RULE_REQUEST_TAIL),
         ).alias("request"),
     )
@@ -77,9 +77,9 @@ def _in_one_text(rows: DataFrame, order: list[str], line, head: str, tail: str,
     )
 
 
-def overall_insight_request(sequences: DataFrame, discovered: int = 20, quoted: int = 10) -> DataFrame:
-    """One request quoting the first of the first discovered sequences; none without sequences."""
-    few = first_discovered(sequences, min(discovered, quoted))
+def overall_insight_request(sequences: DataFrame, quoted: int = 10) -> DataFrame:
+    """One request quoting the first discovered sequences; none without sequences."""
+    few = first_discovered(sequences, quoted)
     line = F.concat(
         F.lit("Issue type: "), F.col("issue_type"),
         F.lit("\nTables: "), F.array_join("tables", ", "),

@@ -12,7 +12,7 @@ from stmtlog.functions.values import json_object
 CHECK = "integrity_check"
 FIX = "integrity_fix"
 
-LABEL_REQUEST_HEAD = "Tell what the following SQL statement is for.\n\nStatement (at most its first 1000 characters):\n"
+LABEL_REQUEST_HEAD = "Tell what the following SQL statement is for.\n\nStatement:\n"
 LABEL_REQUEST_TAIL = (
     "\n\nChoose one purpose: integrity_check (looks for bad data), integrity_fix (repairs bad data), "
     "normal_usage (everyday reads and writes), reporting (analysis) or maintenance (upkeep).\n"
@@ -42,17 +42,20 @@ def label_statements(log: DataFrame, strict_tables: bool = False) -> DataFrame:
     )
 
 
-def wants_external_label(min_length: int = 200) -> Column:
-    return (F.col("purpose") == "unknown") & (F.length("sql_fulltext") > min_length)
+def wants_external_label(min_length: int | None = None) -> Column:
+    """Whether no rule recognised a statement and, if asked for, its text is longer than ``min_length``."""
+    unknown = F.col("purpose") == "unknown"
+    return unknown if min_length is None else unknown & (F.length("sql_fulltext") > min_length)
 
 
-def label_requests(labelled: DataFrame, min_length: int = 200) -> DataFrame:
-    """One request per statement that no rule recognised and that is longer than ``min_length``."""
+def label_requests(labelled: DataFrame, min_length: int | None = None, most_chars: int | None = None) -> DataFrame:
+    """One request with the whole text per statement that wants an external label.
+
+    ``min_length`` leaves out short statements; ``most_chars`` cuts the quoted text.
+    """
+    text = F.col("sql_fulltext") if most_chars is None else F.substring("sql_fulltext", 1, most_chars)
     return labelled.filter(wants_external_label(min_length)).select(
-        "sql_id",
-        F.concat(
-            F.lit(LABEL_REQUEST_HEAD), F.substring("sql_fulltext", 1, 1000), F.lit(LABEL_REQUEST_TAIL)
-        ).alias("request"),
+        "sql_id", F.concat(F.lit(LABEL_REQUEST_HEAD), text, F.lit(LABEL_REQUEST_TAIL)).alias("request")
     )
 
 
@@ -60,7 +63,7 @@ def one_response_per(responses: DataFrame, key: str) -> DataFrame:
     return responses.groupBy(key).agg(F.min("response").alias("response"))
 
 
-def merge_labels(labelled: DataFrame, responses: DataFrame, min_length: int = 200) -> DataFrame:
+def merge_labels(labelled: DataFrame, responses: DataFrame, min_length: int | None = None) -> DataFrame:
     """Take labels from ``responses(sql_id, response)`` for the statements that asked for one.
 
     A response that is not a JSON object gives unknown with confidence 0.0; a missing key gives

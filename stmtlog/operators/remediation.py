@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from stmtlog.operators import rules as R
 
 # ---- fixed values: lists of the plan -----------------------------------------------------
-# list number: (name, most rules listed, days per rule)
+# list number: (name, days per rule)
 PLAN_LISTS = {
-    1: ("Critical Issue Remediation", 10, 2.0),
-    2: ("High Frequency Issue Resolution", 15, 1.5),
-    3: ("Quick Wins", 10, None),
+    1: ("Critical Issue Remediation", 2.0),
+    2: ("High Frequency Issue Resolution", 1.5),
+    3: ("Quick Wins", None),
 }
+# most rules of each list in a short plan
+SHORT_PLAN = {1: 10, 2: 15, 3: 10}
 
 
 def _listed(rules: DataFrame) -> DataFrame:
@@ -56,22 +58,26 @@ def plan_phases(rules: DataFrame) -> DataFrame:
             F.col("list").alias("phase"),
             _value(0).alias("name"),
             "n_rules",
-            (F.col("n_rules") * _value(2)).alias("duration_days"),
+            (F.col("n_rules") * _value(1)).alias("duration_days"),
         )
     )
 
 
-def plan_items(rules: DataFrame) -> DataFrame:
-    """The rules listed per phase (1, 2) and as quick wins (3), best first.
+def plan_items(rules: DataFrame, most: dict[int, int] | None = None) -> DataFrame:
+    """The rules listed per phase (1, 2) and as quick wins (3), best first: all, or the best ``most`` of each list.
 
-    The bound on the rank lets every task drop all but its own best rows before the shuffle.
+    With ``most``, e.g. SHORT_PLAN, rows carry their rank; its bound lets every task drop all but its own best
+    rows before the shuffle.
     """
-    most = max(values[1] for values in PLAN_LISTS.values())
+    listed = _listed(rules)
+    if most is None:
+        ordered = listed.orderBy("list", *R.rule_order())
+        return ordered.select("list", _value(0).alias("list_name"), *R.report_columns())
     rank = F.row_number().over(Window.partitionBy("list").orderBy(*R.rule_order()))
+    bound = F.element_at(F.create_map(*(F.lit(x) for item in most.items() for x in item)), F.col("list"))
     return (
-        _listed(rules)
-        .withColumn("rank", rank)
-        .filter(F.col("rank") <= most)
-        .filter(F.col("rank") <= _value(1))
+        listed.withColumn("rank", rank)
+        .filter(F.col("rank") <= max(most.values()))
+        .filter(F.col("rank") <= bound)
         .select("list", _value(0).alias("list_name"), "rank", *R.report_columns())
     )

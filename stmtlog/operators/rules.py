@@ -12,8 +12,6 @@ from stmtlog.operators.labels import one_response_per
 from stmtlog.operators.sequences import DISCOVERY_ORDER
 
 
-
-
 def rule_order() -> list[Column]:
     return [F.desc("priority_score"), *[F.col(c) for c in DISCOVERY_ORDER]]
 
@@ -84,8 +82,16 @@ def mean_importance(sequences: DataFrame, profiles: DataFrame) -> DataFrame:
     return sequences.join(means, key, "left")
 
 
-def integrity_rules(sequences: DataFrame, profiles: DataFrame) -> DataFrame:
-    """One rule per sequence; ``profiles`` holds (table_name, importance)."""
+def integrity_rules(sequences: DataFrame, profiles: DataFrame, example_chars: int | None = None) -> DataFrame:
+    """One rule per sequence; ``profiles`` holds (table_name, importance).
+
+    ``sequence_id`` and ``tables_key`` tell rules apart, which ``rule_id`` need not.  The examples are whole texts
+    unless ``example_chars`` cuts them.
+    """
+
+    def example(text: str) -> Column:
+        return F.col(text) if example_chars is None else F.substring(text, 1, example_chars)
+
     issue = F.col("issue_type")
     spaced = F.replace(issue, F.lit("_"), F.lit(" "))
     base = (
@@ -98,20 +104,16 @@ def integrity_rules(sequences: DataFrame, profiles: DataFrame) -> DataFrame:
         )
     )
     return base.select(
-        F.concat(
-            F.lit("RULE_"), F.col("category"), F.lit("_"),
-            F.array_join(F.slice(F.sort_array("tables"), 1, 2), "_"),
-            F.lit("_"), F.substring("sequence_id", 1, 8),
+        F.format_string(
+            P.RULE_ID, "category", F.array_join(F.slice(F.sort_array("tables"), 1, 2), "_"), F.substring("sequence_id", 1, 8)
         ).alias("rule_id"),
-        F.concat(F.initcap(spaced), F.lit(" Rule")).alias("rule_name"),
-        F.concat(
-            F.lit("Detects and fixes "), issue, F.lit(" in "), F.array_join(F.sort_array("tables"), ", ")
-        ).alias("description"),
+        F.format_string(P.RULE_NAME, F.initcap(spaced)).alias("rule_name"),
+        F.format_string(P.RULE_DESCRIPTION, issue, F.array_join(F.sort_array("tables"), ", ")).alias("description"),
         F.sort_array("tables").alias("affected_tables"),
         "check_pattern",
         "fix_pattern",
-        F.substring("check_sql", 1, 500).alias("example_check_sql"),
-        F.when(F.col("fix_sql") != "", F.substring("fix_sql", 1, 500)).alias("example_fix_sql"),
+        example("check_sql").alias("example_check_sql"),
+        F.when(F.col("fix_sql") != "", example("fix_sql")).alias("example_fix_sql"),
         "severity",
         F.col("occurrence_count").alias("frequency"),
         "confidence",
@@ -154,6 +156,8 @@ def rule_report(rules: DataFrame, k: int = 50) -> DataFrame:
 def report_columns() -> list:
     return [
         "rule_id",
+        "sequence_id",
+        "tables_key",
         F.col("rule_name").alias("name"),
         "description",
         "severity",

@@ -16,8 +16,7 @@ from stmtlog.functions.values import floor_div, micros
 from stmtlog.operators.labels import CHECK, FIX
 from stmtlog.plans.stage import stage
 
-MINUTE = 60_000_000
-BROADCAST_BYTES = 64 * 1024 * 1024
+MINUTE, DAY = 60_000_000, 86_400_000_000
 
 # Total order in which sequences are discovered: schemas as they first appear in the log, then
 # check time, fix time; what follows breaks ties by name.
@@ -28,12 +27,12 @@ DISCOVERY_ORDER = [
 
 
 def integrity_statements(labelled: DataFrame) -> DataFrame:
-    """The checks and fixes that can take part in a sequence.
+    """The checks and fixes that can take part in a sequence, without their texts.
 
     Table sets become comma-joined sorted names (``tables_key``), which group and compare faster
     than arrays.  Without a time, a schema or a table there is no sequence.  The result is a
     stage table; names are tested on what was staged, so that they are extracted once.  ``row``
-    numbers the staged rows.
+    numbers the staged rows, ``text_hash`` tells texts of one id apart.
     """
     statements = labelled.filter(
         F.col("purpose").isin(CHECK, FIX)
@@ -46,13 +45,25 @@ def integrity_statements(labelled: DataFrame) -> DataFrame:
         micros(F.col("last_load_time")).alias("us"),
         F.coalesce("sub_type", F.lit("")).alias("sub_type"),
         F.array_join("tables", ",").alias("tables_key"),
-        F.coalesce("sql_id", F.lit("nan")).alias("sql_id"),
+        _known_id().alias("sql_id"),
         "confidence",
-        "sql_fulltext",
+        F.xxhash64("sql_fulltext").alias("text_hash"),
     )
     return stage(statements, "integrity").filter(F.col("tables_key") != "")
 
 
+def _known_id() -> Column:
+    return F.coalesce("sql_id", F.lit("nan"))
+
+
+def _texts(log: DataFrame) -> DataFrame:
+    """What statements are found by, with their texts."""
+    return log.select(
+        _known_id().alias("sql_id"), "parsing_schema_name", micros(F.col("last_load_time")).alias("us"),
+        F.xxhash64("sql_fulltext").alias("text_hash"), "sql_fulltext",
+    )
+
+
 def issue_type(check_pattern: str, fix_pattern: str) -> Column:
     cases = [f"WHEN {check_pattern} = '{c}' AND {fix_pattern} = '{f}' THEN '{i}'" for c, f, i in P.ISSUE_TYPES]
     return F.expr(f"CASE {' '.join(cases)} ELSE '{P.DEFAULT_ISSUE_TYPE}' END")
@@ -66,59 +77,56 @@ def _shared(left: Column, right: Column) -> Column:
 # ---- the pairs ----------------------------------------------------------------------------
 
 
-def check_fix_pairs(labelled: DataFrame, window_minutes: int = P.WINDOW_MINUTES) -> DataFrame:
-    """All pairs as rows: an equi-join on schema, window-wide bucket and shared table.
+def check_fix_pairs(
+    labelled: DataFrame,
+    window_minutes: int = P.WINDOW_MINUTES,
+    schemas: list[str] | None = None,
+    since: str | None = None,
+    until: str | None = None,
+) -> DataFrame:
+    """Pairs as rows: an equi-join on schema, window-wide bucket and shared table.
 
-    A check meets the fixes of its own bucket and of the next; of the tables two statements
-    share, only the first joins them, so no pair comes twice and none is made only to be dropped
-    for want of a table.  The join moves narrow rows; texts are fetched once per pair afterwards.
+    The rows are as many as the pairs, so on a large log ask for some ``schemas`` and for checks with
+    since <= time < until; ``pair_counts`` tells how many there are.  A check meets the fixes of its own bucket and
+    of the next.  Two statements that share k tables meet k times, and only the first table's row stays.
     """
     width = window_minutes * MINUTE
     statements = integrity_statements(labelled)
+    if schemas is not None:
+        statements = statements.filter(F.col("parsing_schema_name").isin(schemas))
     bucket = floor_div(F.col("us"), width)
     schema = "parsing_schema_name"
+    rest = ["sub_type", "sql_id", "confidence"]
 
     def side(check: bool, buckets: Column) -> DataFrame:
         p = "check_" if check else "fix_"
-        return (
-            statements.filter(F.col("is_check") == check)
-            .select(
-                schema,
-                *[F.col(c).alias(p + c) for c in ("row", "us", "tables_key")],
-                F.explode(buckets).alias("bucket"),
-            )
-            .withColumn("shared_table", F.explode(F.split(p + "tables_key", ",")))
-        )
-
-    def rest(check: bool) -> DataFrame:
-        p = "check_" if check else "fix_"
-        return statements.filter(F.col("is_check") == check).select(
-            *[F.col(c).alias(p + c) for c in ("row", "sub_type", "sql_id", "confidence", "sql_fulltext")]
-        )
+        rows = statements.filter(F.col("is_check") == check)
+        if check and since is not None:
+            rows = rows.filter(F.col("us") >= micros(F.lit(since).cast("timestamp_ntz")))
+        if check and until is not None:
+            rows = rows.filter(F.col("us") < micros(F.lit(until).cast("timestamp_ntz")))
+        return rows.select(
+            schema, *[F.col(c).alias(p + c) for c in ("us", "tables_key", *rest)], F.explode(buckets).alias("bucket")
+        ).withColumn("shared_table", F.explode(F.split(p + "tables_key", ",")))
 
     checks = side(True, F.array(bucket, bucket + 1))
     fixes = side(False, F.array(bucket))
     tables = _shared(F.col("check_tables_key"), F.col("fix_tables_key"))
-    pairs = (
+    return (
         checks.join(fixes, [schema, "bucket", "shared_table"])
         .filter(
             (F.col("fix_us") > F.col("check_us"))
             & (F.col("fix_us") <= F.col("check_us") + width)
             & (F.col("shared_table") == tables[0])
         )
-        .select(schema, "check_row", "fix_row", tables.alias("tables"))
-    )
-    return (
-        pairs.join(rest(True), "check_row")
-        .join(rest(False), "fix_row")
         .select(
             F.concat_ws("_", "check_sql_id", "fix_sql_id").alias("sequence_id"),
             schema,
-            F.col("check_sql_fulltext").alias("check_sql"),
-            F.col("fix_sql_fulltext").alias("fix_sql"),
+            "check_sql_id",
+            "fix_sql_id",
             F.col("check_sub_type").alias("check_pattern"),
             F.col("fix_sub_type").alias("fix_pattern"),
-            "tables",
+            tables.alias("tables"),
             issue_type("check_sub_type", "fix_sub_type").alias("issue_type"),
             F.least("check_confidence", "fix_confidence").alias("confidence"),
             F.lit(1).alias("occurrence_count"),
@@ -130,7 +138,7 @@ def check_fix_pairs(labelled: DataFrame, window_minutes: int = P.WINDOW_MINUTES)
 
 
 def _after(points: DataFrame, marks: DataFrame, keys: list[str], position: str) -> DataFrame:
-    """For every point the sum of ``n`` and the least ``first_us`` over the marks placed after it.
+    """For every point the sum of ``n`` and the least ``first`` over the marks placed after it.
 
     One running pass from the last position to the first.  A point comes before the marks of its
     own position, which therefore do not count as after it.
@@ -145,14 +153,42 @@ def _after(points: DataFrame, marks: DataFrame, keys: list[str], position: str)
     )
     return (
         both.withColumn("after_n", F.coalesce(F.sum("n").over(running), F.lit(0)))
-        .withColumn("after_first_us", F.min("first_us").over(running))
+        .withColumn("after_first", F.min("first").over(running))
         .filter(~F.col("_is_mark"))
-        .drop("_is_mark", "n", "first_us")
+        .drop("_is_mark", "n", "first")
     )
 
 
-def _pattern_counts(moments: DataFrame, width: int, cells: int) -> DataFrame:
-    """Pairs per schema and (check kind, fix kind), with the first pair's times.
+def _cut_kinds(checks: DataFrame, fixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The statements with ``tables`` cut to those that checks and fixes of their window both name.
+
+    A window is a schema and a check's bucket; a fix stands in two of them.  The shared tables of a pair stay the
+    same, and statements that name none of the window's common tables go.  Statements of one time and cut kind
+    become one row with their number and least table set.
+    """
+    window = ["parsing_schema_name", "bucket"]
+    kinds = [
+        side.select(*window, "sub_type", "tables_key").distinct().withColumn("name", F.explode(F.split("tables_key", ",")))
+        for side in (checks, fixes)
+    ]
+    named = [k.select(*window, "name").distinct() for k in kinds]
+    common = named[0].join(named[1], [*window, "name"])
+
+    def cut(side: DataFrame, kind: DataFrame) -> DataFrame:
+        key = [*window, "sub_type", "tables_key"]
+        left = kind.join(common, [*window, "name"]).groupBy(*key)
+        left = left.agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("tables"))
+        return (
+            side.join(left, key)
+            .groupBy(*window, "cell", "us", "sub_type", "tables")
+            .agg(F.sum("n").alias("n"), F.min("tables_key").alias("least_tables"))
+        )
+
+    return cut(checks, kinds[0]), cut(fixes, kinds[1])
+
+
+def _matched(moments: DataFrame, width: int, cells: int) -> DataFrame:
+    """Pairs per check moment and (check kind, fix kind), with the earliest fix of each.
 
     A kind is a sub_type with a table set.  ``moments`` counts statements per kind and time.
     The window ``(t, t + width]`` is ``cells`` cells wide, cell = time div (width / cells), so
@@ -166,30 +202,28 @@ def _pattern_counts(moments: DataFrame, width: int, cells: int) -> DataFrame:
     if cell_width * cells != width:
         raise ValueError("the window must be a whole number of cells")
     schema = "parsing_schema_name"
-    cell_of = floor_div(F.col("us"), cell_width)
     bucket_of = floor_div(F.col("cell"), cells)
-
-    def side(check: bool, prefix: str) -> DataFrame:
-        return moments.filter(F.col("is_check") == check).select(
-            schema,
-            cell_of.alias("cell"),
-            "us",
-            F.col("sub_type").alias(f"{prefix}_pattern"),
-            F.col("tables_key").alias(f"{prefix}_tables"),
-            "n",
+    moments = moments.withColumn("cell", floor_div(F.col("us"), cell_width))
+    columns = [schema, "cell", "us", "sub_type", "tables_key", "n"]
+    # fixes in the window of their own bucket, and of the one before
+    checks, fixes = _cut_kinds(
+        moments.filter("is_check").select(*columns, bucket_of.alias("bucket")),
+        moments.filter("not is_check").select(*columns, F.explode(F.array(bucket_of, bucket_of - 1)).alias("bucket")),
+    )
+    checks, fixes = (
+        stage(
+            side.withColumnsRenamed({"sub_type": f"{p}_pattern", "tables": f"{p}_tables", "least_tables": f"{p}_least"}),
+            f"{p}-kinds",
         )
-
-    check_kind, fix_kind = ["check_pattern", "check_tables"], ["fix_pattern", "fix_tables"]
-    checks, fixes = side(True, "check"), side(False, "fix")
-    check_cells = checks.select(schema, "cell", bucket_of.alias("bucket"), *check_kind).distinct()
-    fix_cells = fixes.groupBy(schema, "cell", *fix_kind).agg(
-        F.sum("n").alias("n"), F.min("us").alias("first_us")
+        for side, p in ((checks, "check"), (fixes, "fix"))
     )
+    check_kind, fix_kind = ["check_pattern", "check_tables"], ["fix_pattern", "fix_tables"]
+    earliest = F.min(F.struct(F.col("us"), F.col("fix_least").alias("tables"))).alias("first")
+    check_cells = checks.select(schema, "cell", "bucket", *check_kind).distinct()
+    fix_cells = fixes.groupBy(schema, "bucket", "cell", *fix_kind).agg(F.sum("n").alias("n"), earliest)
 
-    # check cells with the fix kinds that share a table and occur in this or the next window
-    near = fix_cells.select(
-        schema, F.explode(F.array(bucket_of, bucket_of - 1)).alias("bucket"), *fix_kind
-    ).distinct()
+    # check cells with the fix kinds of their window that share a table
+    near = fix_cells.select(schema, "bucket", *fix_kind).distinct()
     tables = _shared(F.col("check_tables"), F.col("fix_tables"))
     partners = (
         check_cells.withColumn("shared_table", F.explode(F.split("check_tables", ",")))
@@ -202,59 +236,62 @@ def _pattern_counts(moments: DataFrame, width: int, cells: int) -> DataFrame:
         .withColumn("tables_key", F.array_join(tables, ","))
     )
 
-    # middle part: whole cells
-    nothing = F.lit(None).cast("long")
+    nothing = F.lit(None).cast("struct<us: bigint, tables: string>")
 
     def mark(**fields) -> Column:
         return F.struct(*[value.alias(name) for name, value in fields.items()])
 
+    # middle part: whole cells; those of the next bucket end where the window does
     cell_marks = fix_cells.select(
         schema,
+        "bucket",
         *fix_kind,
         F.inline(
             F.array(
-                mark(bucket=bucket_of, cell=F.col("cell"), n=F.col("n"), first_us=F.col("first_us")),
-                mark(bucket=bucket_of - 1, cell=F.col("cell"), n=F.col("n"), first_us=F.col("first_us")),
-                mark(bucket=bucket_of - 1, cell=F.col("cell") - cells, n=-F.col("n"), first_us=nothing),
+                mark(cell=F.col("cell"), n=F.col("n"), first=F.col("first")),
+                mark(cell=F.col("cell") - cells, n=-F.col("n"), first=nothing),
             )
         ),
     )
     per_cell = (
         _after(partners, cell_marks, [schema, "bucket", *fix_kind], "cell")
         .withColumnRenamed("after_n", "later_n")
-        .withColumnRenamed("after_first_us", "later_first_us")
-        .drop("bucket")
+        .withColumnRenamed("after_first", "later_first")
     )
 
     # first and last part: within one cell
+    first = F.struct(F.col("us"), F.col("fix_least").alias("tables"))
     moment_marks = fixes.select(
         schema,
+        "bucket",
         *fix_kind,
         F.inline(
             F.array(
-                mark(cell=F.col("cell"), us=F.col("us"), n=F.col("n"), first_us=F.col("us")),
-                mark(cell=F.col("cell") - cells, us=F.col("us") - width, n=-F.col("n"), first_us=nothing),
+                mark(cell=F.col("cell"), us=F.col("us"), n=F.col("n"), first=first),
+                mark(cell=F.col("cell") - cells, us=F.col("us") - width, n=-F.col("n"), first=nothing),
             )
         ),
     )
-    points = checks.withColumnRenamed("n", "checks").join(per_cell, [schema, "cell", *check_kind])
-    matched = (
-        _after(points, moment_marks, [schema, "cell", *fix_kind], "us")
+    points = checks.withColumnRenamed("n", "checks").join(per_cell, [schema, "bucket", "cell", *check_kind])
+    return (
+        _after(points, moment_marks, [schema, "bucket", "cell", *fix_kind], "us")
         .withColumn("pairs", F.col("checks") * (F.col("after_n") + F.col("later_n")))
-        .withColumn("fix_us", F.coalesce("after_first_us", "later_first_us"))
+        .withColumn("fix", F.coalesce("after_first", "later_first"))
         .filter(F.col("pairs") > 0)
     )
-    return matched.groupBy(schema, *check_kind, *fix_kind, "tables_key").agg(
-        F.sum("pairs").alias("n"),
-        F.min("us").alias("check_us"),
-        F.min_by("fix_us", "us").alias("fix_us"),
-    )
 
 
-def _size_in_bytes(data: DataFrame, *texts: str) -> int:
-    """Size of a staged table of short rows with some texts of any length."""
-    row = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(200))
-    return data.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+def _moments(statements: DataFrame) -> DataFrame:
+    key = ["is_check", "parsing_schema_name", "us", "sub_type", "tables_key"]
+    return stage(statements.groupBy(*key).agg(F.count("*").alias("n")), "moments")
+
+
+def pair_counts(labelled: DataFrame, window_minutes: int = P.WINDOW_MINUTES, cells: int = 60) -> DataFrame:
+    """Pairs per schema, day of the check, and pattern (check kind, fix kind, shared tables), without listing them."""
+    matched = _matched(_moments(integrity_statements(labelled)), window_minutes * MINUTE, cells)
+    day = (F.lit("1970-01-01").cast("date") + floor_div(F.col("us"), DAY).cast("int")).alias("day")
+    keys = ["parsing_schema_name", day, "check_pattern", "fix_pattern", F.split("tables_key", ",").alias("tables")]
+    return matched.groupBy(*keys).agg(F.sum("pairs").alias("pairs"))
 
 
 def _first_seen(data: DataFrame) -> DataFrame:
@@ -271,35 +308,35 @@ def fold_sequences(
     window_minutes: int = P.WINDOW_MINUTES,
     cells: int = 60,
     seen_in: DataFrame | None = None,
+    texts_from: DataFrame | None = None,
 ) -> DataFrame:
     """Recurring patterns (check kind, fix kind, shared tables) over all schemas.
 
     Each has the number of its pairs and, as representative, the first in discovery order.  Of
     statements with equal schema, time and kind the least id stands for all.  ``seen_in`` is where
-    the first appearance of a schema is read from: the unlabelled log or its activity summary,
-    either of which spares labelling the log once more.
+    the first appearance of a schema is read from: the unlabelled log or its activity summary;
+    ``texts_from`` is where the representatives' texts are looked up, by default the labelled log.  Both
+    spare labelling the log once more.
     """
     schema = "parsing_schema_name"
     statements = integrity_statements(labelled)
-    moments = stage(
-        statements.groupBy("is_check", schema, "us", "sub_type", "tables_key").agg(F.count("*").alias("n")),
-        "moments",
-    )
     first_seen = _first_seen(labelled if seen_in is None else seen_in)
     first = F.struct(
-        "schema_first_us", schema, "check_us", "fix_us", "check_tables", "fix_tables"
-    )
+        "schema_first_us", schema, F.col("us").alias("check_us"), F.col("fix.us").alias("fix_us"),
+        F.col("check_least").alias("check_tables"), F.col("fix.tables").alias("fix_tables"),
+    )
     patterns = stage(
-        _pattern_counts(moments, window_minutes * MINUTE, cells)
+        _matched(_moments(statements), window_minutes * MINUTE, cells)
         .join(first_seen, schema)
         .groupBy("check_pattern", "fix_pattern", "tables_key")
-        .agg(F.sum("n").alias("occurrence_count"), F.min(first).alias("first"))
+        .agg(F.sum("pairs").alias("occurrence_count"), F.min(first).alias("first"))
         .select("check_pattern", "fix_pattern", "tables_key", "occurrence_count", "first.*"),
         "patterns",
     )
 
-    # texts of the representatives, from the staged statements
+    # the representatives: the least id of each moment wanted, then their texts by one pruned scan
     moment = ["is_check", schema, "us", "sub_type", "tables_key"]
+
     def moments_of(is_check: bool, prefix: str) -> Column:
         names = [schema, f"{prefix}_us", f"{prefix}_pattern", f"{prefix}_tables"]
         return F.struct(
@@ -309,12 +346,12 @@ def fold_sequences(
     wanted = patterns.select(
         F.inline(F.array(moments_of(True, "check"), moments_of(False, "fix")))
     ).distinct()
-    least = F.min(F.struct("sql_id", "sql_fulltext", "confidence")).alias("s")
-    if _size_in_bytes(patterns, "check_tables", "fix_tables") <= BROADCAST_BYTES:
-        texts = statements.join(F.broadcast(wanted), moment).groupBy(*moment).agg(least)
-    else:
-        # one row per moment leaves each task, so that a moment with many copies stays harmless
-        texts = statements.groupBy(*moment).agg(least).join(wanted, moment)
+    least = F.min(F.struct("sql_id", "text_hash", "confidence")).alias("s")
+    chosen = statements.join(wanted, moment).groupBy(*moment).agg(least).select(*moment, "s.*")
+    chosen = stage(chosen, "representatives")
+    found = ["sql_id", schema, "us", "text_hash"]
+    texts = _texts(labelled if texts_from is None else texts_from).join(chosen.select(*found).distinct(), found, "left_semi")
+    texts = chosen.join(texts.dropDuplicates(found), found)
 
     def texts_of(check: bool, prefix: str) -> DataFrame:
         return texts.filter(F.col("is_check") == check).select(
@@ -322,7 +359,7 @@ def fold_sequences(
             F.col("us").alias(f"{prefix}_us"),
             F.col("sub_type").alias(f"{prefix}_pattern"),
             F.col("tables_key").alias(f"{prefix}_tables"),
-            F.col("s").alias(f"_{prefix}"),
+            F.struct("sql_id", "sql_fulltext", "confidence").alias(f"_{prefix}"),
         )
 
     check, fix = texts_of(True, "check"), texts_of(False, "fix")
@@ -351,19 +388,18 @@ def issue_type_totals(sequences: DataFrame) -> DataFrame:
     return sequences.groupBy("issue_type").agg(F.sum("occurrence_count").alias("occurrences"))
 
 
-def top_issue_types(sequences: DataFrame, k: int = 5, discovered: int = 50) -> DataFrame:
-    """The most frequent issue types among the first ``discovered`` sequences, with tables and patterns.
+def top_issue_types(sequences: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` most frequent issue types over all sequences, with their tables and check patterns.
 
-    The sets are collected from at most ``discovered`` rows.
+    Tables and patterns are made distinct per type before they are collected.
     """
-    few = first_discovered(sequences, discovered)
-    return (
-        few.groupBy("issue_type")
-        .agg(
-            F.sum("occurrence_count").alias("occurrences"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("tables")))).alias("tables"),
-            F.array_sort(F.collect_set(F.when(F.col("check_pattern") != "", F.col("check_pattern")))).alias("patterns"),
+    top = issue_type_totals(sequences).orderBy(F.desc("occurrences"), "issue_type").limit(k)
+    tables = sequences.select("issue_type", F.explode("tables").alias("name"), F.lit(0).alias("kind"))
+    kinds = sequences.filter("check_pattern <> ''").select("issue_type", F.col("check_pattern").alias("name"), F.lit(1).alias("kind"))
+    names = tables.union(kinds).distinct().groupBy("issue_type").agg(
+        *(
+            F.array_sort(F.collect_list(F.when(F.col("kind") == i, F.col("name")))).alias(n)
+            for i, n in enumerate(("tables", "patterns"))
         )
-        .orderBy(F.desc("occurrences"), "issue_type")
-        .limit(k)
     )
+    return top.join(names, "issue_type", "left").orderBy(F.desc("occurrences"), "issue_type")

@@ -6,7 +6,7 @@ rows counted per label, schema and hour in column ``n``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stmtlog.operators.labels import CHECK, FIX
@@ -162,13 +162,17 @@ def weekly_trends(data: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
-def sample_statements(labelled: DataFrame, purpose: str, size: int = 100, seed: int = 0) -> DataFrame:
-    """``size`` statements of one purpose by hashed identity: repeatable, whatever the partitioning."""
+def sample_statements(labelled: DataFrame, purposes: str | list[str], size: int = 100, seed: int = 0) -> DataFrame:
+    """``size`` statements of each purpose by hashed identity: repeatable, whatever the partitioning.
+
+    The log is labelled once for all purposes; each task drops all but its own first rows before the shuffle.
+    """
     lot = F.md5(F.concat_ws("|", F.lit(str(seed)), "sql_id", "parsing_schema_name", F.col(TIME).cast("string")))
+    place = F.row_number().over(Window.partitionBy("purpose").orderBy("lot", "sql_fulltext"))
     return (
-        labelled.filter(F.col("purpose") == purpose)
-        .select("sql_id", "sql_fulltext", "parsing_schema_name", TIME, "sub_type", lot.alias("lot"))
-        .orderBy("lot", "sql_fulltext")
-        .limit(size)
-        .drop("lot")
+        labelled.filter(F.col("purpose").isin(purposes))
+        .select("purpose", "sql_id", "sql_fulltext", "parsing_schema_name", TIME, "sub_type", lot.alias("lot"))
+        .withColumn("place", place)
+        .filter(F.col("place") <= size)
+        .select("sql_id", "sql_fulltext", "parsing_schema_name", TIME, "sub_type")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from stmtlog.functions import patterns as P
 from stmtlog.operators import facts as K
 from stmtlog.operators import labels, profiles, rules, sequences, statistics
-from stmtlog.plans.stage import stage
+from stmtlog.plans.stage import StageFolder, new_folder, stage, staging_in
 
 
 @dataclass
@@ -23,6 +23,11 @@ class Analysis:
     profiles: DataFrame  # tables with their importance
     rules: DataFrame  # integrity rules with priority
     discovered: DataFrame  # the rules before any insight was merged
+    folder: StageFolder  # where the stage tables are
+
+    def close(self) -> None:
+        """Remove the stage tables of this analysis; nothing of it can be read afterwards."""
+        self.folder.close()
 
 
 def analyse(
@@ -30,7 +35,7 @@ def analyse(
     label_responses: DataFrame | None = None,
     rule_responses: DataFrame | None = None,
     window_minutes: int = P.WINDOW_MINUTES,
-    min_length: int = 200,
+    min_length: int | None = None,
     strict_tables: bool = False,
 ) -> Analysis:
     """Run the analysis.
@@ -39,17 +44,22 @@ def analyse(
     fixes.  Labels are computed again each time, which costs less than a second copy of all
     texts; only with external labels to merge is the labelled log stored.
     """
+    with staging_in(new_folder(log.sparkSession, "analysis")) as folder:
+        return _analyse(log, label_responses, rule_responses, window_minutes, min_length, strict_tables, folder)
+
+
+def _analyse(log, label_responses, rule_responses, window_minutes, min_length, strict_tables, folder) -> Analysis:
     labelled = labels.label_statements(log, strict_tables)
     if label_responses is not None:
         labelled = stage(labels.merge_labels(labelled, label_responses, min_length), "labelled")
     activity = stage(statistics.activity(labelled), "activity")
     facts = stage(K.statement_facts(labelled, K.PROFILE_KINDS + K.SCHEMA_KINDS), "facts")
     folded = stage(
-        sequences.fold_sequences(labelled, window_minutes, seen_in=activity), "sequences"
+        sequences.fold_sequences(labelled, window_minutes, seen_in=activity, texts_from=log), "sequences"
     )
     important = profiles.with_importance(profiles.table_profiles(facts))
     discovered = stage(rules.integrity_rules(folded, important), "rules")
     final = discovered if rule_responses is None else stage(
         rules.merge_insights(discovered, rule_responses), "rules-merged"
     )
-    return Analysis(labelled, activity, facts, folded, important, final, discovered)
+    return Analysis(labelled, activity, facts, folded, important, final, discovered, folder)

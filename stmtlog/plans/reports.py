@@ -65,7 +65,7 @@ def remediation_plan(a: Analysis, measures_response: DataFrame | None = None) ->
     sections = {
         "plan_summary": remediation.plan_summary(a.rules),
         "plan_phases": remediation.plan_phases(a.rules),
-        "plan_items": remediation.plan_items(a.rules),
+        "plan_items": remediation.plan_items(a.rules, remediation.SHORT_PLAN),
         "measures_request": insights.preventive_measures_request(a.rules),
     }
     if measures_response is None:
@@ -87,7 +87,14 @@ def comprehensive_report(a: Analysis, measures_response: DataFrame | None = None
     }
 
 
-def write_sections(sections: Sections, folder: str, form: str = "json", mode: str = "overwrite") -> None:
-    """Write every section to its own folder; ``form`` is a Spark format such as json or parquet."""
+def write_sections(
+    sections: Sections, folder: str, form: str = "json", mode: str = "overwrite", created: str | None = None
+) -> None:
+    """Write every section to its own folder; ``form`` is a Spark format such as json or parquet.
+
+    ``created``, the time of the report, becomes a column of that name; it is given, so that results can be repeated.
+    """
     for name, section in sections.items():
+        if created is not None:
+            section = section.withColumn("created", F.lit(created))
         section.write.format(form).mode(mode).save(f"{folder.rstrip('/')}/{name}")

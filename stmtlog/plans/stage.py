@@ -8,25 +8,67 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset in local mode."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset in local mode.
+
+    On a cluster, ``local-cluster`` included, the setting must name its file system (``hdfs://``, ``s3a://``, or
+    ``file://`` for a mount that all machines share): a bare path may mean each machine's own disk.
+    """
     context = spark.sparkContext
+    local = context.master == "local" or context.master.startswith("local[")
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
+        if not local:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="stmtlog-")
         context.setCheckpointDir(folder)
+    if not local and "://" not in folder and not folder.startswith("file:/"):
+        raise RuntimeError(f"spark.checkpoint.dir is {folder}; on a cluster give it with its file system")
     return folder
 
 
+@dataclass(frozen=True)
+class StageFolder:
+    """A folder below the shared one for the stage tables of one piece of work."""
+
+    spark: SparkSession
+    path: str
+
+    def close(self) -> None:
+        """Remove this folder with its tables, which must not be read any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_current: ContextVar[StageFolder | None] = ContextVar("stage_folder", default=None)
+
+
+def new_folder(spark: SparkSession, name: str) -> StageFolder:
+    return StageFolder(spark, f"{shared_folder(spark).rstrip('/')}/stmtlog/{name}-{uuid.uuid4().hex}")
+
+
+@contextmanager
+def staging_in(folder: StageFolder) -> Iterator[StageFolder]:
+    """Within, stage tables go to ``folder``."""
+    token = _current.set(folder)
+    try:
+        yield folder
+    finally:
+        _current.reset(token)
+
+
 def stage(data: DataFrame, name: str) -> DataFrame:
     """Write ``data`` as a stage table and return a DataFrame that reads it."""
-    spark = data.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/stmtlog/{name}-{uuid.uuid4().hex}"
+    spark, folder = data.sparkSession, _current.get()
+    within = folder.path if folder else f"{shared_folder(spark).rstrip('/')}/stmtlog"
+    path = f"{within}/{name}-{uuid.uuid4().hex}"
     data.write.parquet(path)
     return spark.read.schema(data.schema).parquet(path)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtlog.sources.statement_log import spread
-
 # Template n (from 0) is the text of every event with (2 * event_id) % 23 == n.
 TEMPLATES = [
     "SELECT c_name, COUNT(*) FROM customer GROUP BY c_name HAVING COUNT(*) > 1",
@@ -33,11 +31,13 @@ TEMPLATES = [
     "  select 1 from dual limit 5 \n",
     "SELECT EXTRACT(YEAR FROM o_orderdate) FROM orders",
 ]
+# Tables named after the user, by user_id % 3: as they are, with _1, with _2.
+VARIED = ("customer", "orders", "lineitem")
 
 
 def events_log(spark: SparkSession, folder: str, clock: str = "dense") -> DataFrame:
     """``dense``: one statement every 20 seconds from 2024-01-01; ``real``: the event's time."""
-    events = spread(spark.read.parquet(f"{folder}/events.parquet").select("event_id", "user_id", "ts"))
+    events = spark.read.parquet(f"{folder}/events.parquet").select("event_id", "user_id", "ts")
     texts = ", ".join("r'{}'".format(t) if "'" not in t else f'r"{t}"' for t in TEMPLATES)
     text = F.expr(f"get(array({texts}), CAST(event_id * 2 % {len(TEMPLATES)} AS INT))")
     if clock == "dense":
@@ -45,9 +45,14 @@ def events_log(spark: SparkSession, folder: str, clock: str = "dense") -> DataFr
         time = F.lit("2024-01-01").cast("timestamp_ntz") + seconds
     else:
         time = F.col("ts").cast("timestamp_ntz")
+    # table names, and so the patterns, vary with the user; some statements have no schema
+    variant = F.when(F.col("user_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("_"), (F.col("user_id") % 3).cast("string")))
+    for table in VARIED:
+        text = F.replace(text, F.lit(table), F.concat(F.lit(table), variant))
+    schema = F.concat(F.lit("APP"), (F.col("user_id") % 4).cast("string"))
     return events.select(
         F.concat(F.lit("S"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("sql_id"),
         text.alias("sql_fulltext"),
-        F.concat(F.lit("APP"), (F.col("user_id") % 4).cast("string")).alias("parsing_schema_name"),
+        F.when(F.col("event_id") % 97 != 5, schema).alias("parsing_schema_name"),
         time.alias("last_load_time"),
     )

@@ -18,8 +18,12 @@ TIME_FORMATS = ("yyyy-MM-dd/HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "dd-MMM-yyyy HH:mm
 
 
 def _time(text: Column, formats: Sequence[str]) -> Column:
+    """Wall-clock time: read as if at UTC and taken apart again, so the session's time zone plays no part."""
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     tries = [text.try_cast("timestamp_ntz")]
-    tries += [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
+    for f in formats:
+        at_utc = F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(f"{f} xx"))
+        tries.append(epoch + F.make_dt_interval(secs=(F.unix_micros(at_utc) / F.lit(1_000_000)).cast("decimal(18,6)")))
     return F.coalesce(*tries)
 
 
@@ -46,16 +50,19 @@ def conform(data: DataFrame, formats: Sequence[str] = TIME_FORMATS) -> DataFrame
     return data.select(*out)
 
 
-def read_csv(spark: SparkSession, path: str | list[str], formats: Sequence[str] = TIME_FORMATS) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str | list[str], formats: Sequence[str] = TIME_FORMATS, multi_line: bool = True
+) -> DataFrame:
     """Read exported CSV whose statement texts may span lines.
 
     The columns are taken by header name, everything is read as text, and ``enforceSchema``
     is off so that files with another column order fail instead of being misread.  A file with
-    texts over several lines cannot be split; give large logs as many files, or as parquet.
+    texts over several lines cannot be split; give large logs as many files, as parquet, or, where no text holds
+    a line end, with ``multi_line=False``, which splits files.
     """
     raw = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("inferSchema", False)
@@ -78,11 +85,3 @@ def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     return conform(spark.table(name))
 
-
-def spread(data: DataFrame) -> DataFrame:
-    """Give every core work when a small log sits in fewer files than there are cores.
-
-    A log with at least one split per core stays as it is, without a shuffle.
-    """
-    cores = data.sparkSession.sparkContext.defaultParallelism
-    return data.repartition(cores) if data.rdd.getNumPartitions() < cores else data

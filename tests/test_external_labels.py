@@ -10,12 +10,17 @@ from stmtlog.operators import insights, labels
 from stmtlog.operators import rules as R
 
 
-def test_only_long_unknown_statements_ask(spark):
+def test_all_unknown_statements_ask_with_whole_texts(spark):
     log = make_log(spark, [(str(i), t, "A", at()) for i, t in TEXT.items()] + [("99", "x" * 200, "A", at()), ("98", "y" * 3000, "A", at())])
-    asked = {r.sql_id: r.request for r in labels.label_requests(labels.label_statements(log)).collect()}
-    assert set(asked) == {"24", "98"}
-    assert TEXT[24] in asked["24"]
-    assert "y" * 1000 in asked["98"] and "y" * 1001 not in asked["98"]
+    labelled = labels.label_statements(log)
+    unknown = {r.sql_id for r in labelled.filter("purpose = 'unknown'").collect()}
+    asked = {r.sql_id: r.request for r in labels.label_requests(labelled).collect()}
+    assert set(asked) == unknown and {"24", "98", "99"} < unknown
+    assert "y" * 3000 in asked["98"]
+    few = {r.sql_id: r.request for r in labels.label_requests(labelled, min_length=200, most_chars=1000).collect()}
+    assert set(few) == {"24", "98"}
+    assert TEXT[24] in few["24"]
+    assert "y" * 1000 in few["98"] and "y" * 1001 not in few["98"]
 
 
 def test_merge_of_labels(spark):
@@ -32,7 +37,7 @@ def test_merge_of_labels(spark):
         "s": '{"purpose": "reporting"}',
     }
     answers = spark.createDataFrame(list(responses.items()), "sql_id string, response string")
-    merged = labels.merge_labels(labels.label_statements(make_log(spark, rows)), answers)
+    merged = labels.merge_labels(labels.label_statements(make_log(spark, rows)), answers, min_length=200)
     got = {(r.sql_id, r.sql_fulltext == TEXT[2]): (r.purpose, r.sub_type, r.confidence, r.indicators) for r in merged.collect()}
     failed = ("unknown", "", 0.0, [])
     assert got == {

@@ -4,12 +4,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import oracles
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = entry._own_queries(), oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stmtlog.operators import sequences as Q
+from stmtlog.plans.stage import stage
 
 SCHEMA = (
     "sql_id string, sql_fulltext string, parsing_schema_name string, last_load_time timestamp_ntz, purpose string, "
@@ -89,16 +90,45 @@ def test_fold_equals_brute_force(spark, name, count, spread, tables, step, cells
     }
     assert got == want
     if cells == 60:
-        listed = Q.check_fix_pairs(labelled).select("sequence_id", "check_sql", "fix_sql", "tables").collect()
-        assert sorted((r[0], r[1], r[2], tuple(r[3])) for r in listed) == sorted(pairs)
+        listed = Q.check_fix_pairs(labelled).select("sequence_id", "tables").collect()
+        assert sorted((r[0], tuple(r[1])) for r in listed) == sorted((p[0], p[3]) for p in pairs)
+        counted = Q.pair_counts(labelled)
+        assert counted.agg(F.sum("pairs")).first()[0] == (len(pairs) or None)
+        by_pattern = counted.groupBy("check_pattern", "fix_pattern", F.array_join("tables", ",")).agg(F.sum("pairs"))
+        assert {tuple(r)[:3]: r[3] for r in by_pattern.collect()} == {k: v[0] for k, v in want.items()}
 
 
-def test_many_patterns_do_without_a_broadcast(spark, monkeypatch):
-    rows = random_log(8, 300, 400_000_000)
+def test_pairs_of_a_schema_and_a_time(spark):
+    rows = [(f"u{i}", *r[1:]) for i, r in enumerate(random_log(8, 300, 400_000_000))]
     labelled = spark.createDataFrame(rows, SCHEMA)
-    broadcast = sorted(map(repr, Q.fold_sequences(labelled).collect()))
-    monkeypatch.setattr(Q, "BROADCAST_BYTES", 0)
-    assert sorted(map(repr, Q.fold_sequences(labelled).collect())) == broadcast
+    time = {r[0]: r[3] for r in rows}
+    since, until = START - timedelta(seconds=100), START + timedelta(seconds=100)
+    some = Q.check_fix_pairs(labelled, schemas=["S0"], since=str(since), until=str(until)).collect()
+    every = Q.check_fix_pairs(labelled).collect()
+    wanted = [r for r in every if r.parsing_schema_name == "S0" and since <= time[r.check_sql_id] < until]
+    assert 0 < len(some) < len(every) and sorted(map(repr, some)) == sorted(map(repr, wanted))
+
+
+def test_no_stage_of_the_fold_holds_texts(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(Q, "stage", lambda data, name: staged.append(data.columns) or stage(data, name))
+    Q.fold_sequences(spark.createDataFrame(random_log(8, 50, 400_000_000), SCHEMA)).collect()
+    assert len(staged) > 3 and not any("sql_fulltext" in c for c in staged)
+
+
+def test_many_table_sets_around_one_table_cost_their_sum(spark):
+    """10,000 checks and 10,000 fixes of one window, each with a table of its own beside the one they share."""
+    def side(purpose, second, prefix):
+        own = F.concat(F.lit(prefix), F.col("id").cast("string"))
+        return spark.range(10_000).select(
+            own.alias("sql_id"), F.lit("text").alias("sql_fulltext"), F.lit("HOT").alias("parsing_schema_name"),
+            (F.lit(START + timedelta(seconds=second)) + F.make_dt_interval(secs=F.col("id") / 1000)).cast("timestamp_ntz").alias("last_load_time"),
+            F.lit(purpose).alias("purpose"), F.lit("k").alias("sub_type"), F.lit(0.8).alias("confidence"),
+            F.array(F.lit("HOT"), F.concat(F.lit("T"), own)).alias("tables"),
+        )
+
+    (pattern,) = Q.fold_sequences(side("integrity_check", 0, "c").unionByName(side("integrity_fix", 60, "f"))).collect()
+    assert (pattern.occurrence_count, pattern.tables, pattern.sequence_id) == (100_000_000, ["HOT"], "c0_f0")
 
 
 def test_other_windows(spark):

@@ -1,5 +1,6 @@
 import pytest
 from helpers import at
+from pyspark.sql import functions as F
 
 from stmtlog.sources import statement_log as L
 
@@ -52,3 +53,19 @@ def test_parquet_and_table_are_pruned_to_the_contract(spark, tmp_path):
     assert "other" not in plan[plan.index("ReadSchema") :]
     data.createOrReplaceTempView("some_log")
     assert L.read_table(spark, "some_log").collect() == log.collect()
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "UTC", "Asia/Kolkata"])
+def test_times_are_wall_clock_in_any_zone(spark, tmp_path, zone):
+    """Also 02:30 of the night in which New York has no such time."""
+    spellings = ["2024-03-10 02:30:00", "2024-03-10/02:30:00", "03/10/2024 02:30:00", "10-Mar-2024 02:30:00"]
+    rows = "".join(f"q{i},SELECT 1,A,{t}\n" for i, t in enumerate([*spellings, "1969-12-31/23:59:59"]))
+    path = write(tmp_path / "log.csv", "SQL_ID,SQL_FULLTEXT,PARSING_SCHEMA_NAME,LAST_LOAD_TIME\n" + rows)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        for multi_line in (True, False):
+            times = L.read_csv(spark, path, multi_line=multi_line).orderBy("sql_id").select(F.col("last_load_time").cast("string"))
+            assert [r[0] for r in times.collect()] == ["2024-03-10 02:30:00"] * 4 + ["1969-12-31 23:59:59"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
