@@ -150,6 +150,31 @@ def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.digests(suffix.with_spans(documents, length=200))
 
 
+OP9_SQL = """
+WITH doc AS (
+    SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), place AS (
+    SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS p FROM doc
+), coded AS (SELECT r, p, md5_number(substr(h, 2 * p + 1, 400)) AS w FROM place
+), again AS (SELECT w FROM coded GROUP BY w HAVING count(*) > 1
+), hit AS (SELECT r, p FROM coded WHERE w IN (SELECT w FROM again)
+), edge AS (SELECT r, p, CASE WHEN p > 200 + lag(p) OVER (PARTITION BY r ORDER BY p) THEN 1 ELSE 0 END AS gap FROM hit
+), numbered AS (SELECT r, p, sum(gap) OVER (PARTITION BY r ORDER BY p) AS span FROM edge
+), span AS (SELECT r, min(p) AS low, max(p) + 200 AS high FROM numbered GROUP BY r, span
+), before AS (
+    SELECT r, low, high, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS done FROM span
+), cut AS (
+    SELECT r, doc.doc_id, any_value(h) AS h, count(*) AS n, sum(high - low) AS removed, max(high) AS last,
+        string_agg(substr(h, 2 * done + 1, 2 * (low - done)), '' ORDER BY low) AS kept
+    FROM before JOIN doc USING (r) GROUP BY r, doc.doc_id
+)
+SELECT doc.doc_id, CAST(len(doc.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+    coalesce(n, 0) AS n_spans,
+    sha256(unhex(CASE WHEN n IS NULL THEN doc.h ELSE kept || substr(doc.h, 2 * last + 1) END)) AS kept_sha256
+FROM doc LEFT JOIN cut USING (r)
+"""
+
+
 def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.with_edits(_table(spark, folder, "documents"))
 
@@ -170,4 +195,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op6_chat_format": OP6_SQL}
+    return {"op1_top_k": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op6_chat_format": OP6_SQL, "op9_suffix_dedup": OP9_SQL}
