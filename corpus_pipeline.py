@@ -35,11 +35,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     filters = langid.fit(docs)
     if not filters.languages:
         return docs
-    found = langid.identify(docs, filters, keep={f"d_{i}": F.col(c) for i, c in enumerate(docs.columns)})
-    found = found.filter((F.col("lang_pred") != "und") & (F.col("score") > 0))
-    names = {c: F.col(f"d_{i}") for i, c in enumerate(docs.columns)}
-    names["lang"] = F.coalesce(names["lang"], F.col("lang_pred"))
-    return found.select(*(c.alias(n) for n, c in names.items()))
+    found = langid.identify(docs, filters).filter((F.col("lang_pred") != "und") & (F.col("score") > 0))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,8 @@ from stmtlog.llm import text as T
 
 #: Slots are 2**SLOT_BITS; hash functions; bytes of an n-gram.
 SLOT_BITS, HASHES, GRAM = 20, 2, 4
+#: Bytes of text worked on at a time.
+SLICE = 1 << 20
 #: Documents per language to learn from, about; an n-gram's least documents, and least share against its best language.
 SAMPLE, LEAST, SHARE = 4_000, 2, 0.2
 
@@ -59,7 +61,7 @@ def slots(codes: np.ndarray) -> np.ndarray:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents by language and n-gram."""
-    for part in T.slices(batches, "text"):
+    for part in T.slices(batches, "text", SLICE):
         codes, owner = ngrams(part.column("text"))
         pairs = np.unique(owner.astype(np.uint64) << np.uint64(32) | codes)
         lang = part.column("lang").to_numpy().astype(np.uint64)[(pairs >> np.uint64(32)).astype(np.int64)]
@@ -144,9 +146,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text:
     return Filters(languages, usual, [(r.slot, r.word, r.bits) for r in filled])
 
 
-def _predicted(batches: Iterator[pa.RecordBatch], filters: Filters, kept: list[str]) -> Iterator[pa.RecordBatch]:
-    for part in T.slices(batches, "__text"):
-        names, score = filters.predict(part.column("__text"))
+def _predicted(batches: Iterator[pa.RecordBatch], filters: Filters, text: str, kept: list[str]) -> Iterator[pa.RecordBatch]:
+    for part in T.slices(batches, text, SLICE):
+        names, score = filters.predict(part.column(text))
         columns = [part.column(c) for c in kept]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(score)], [*kept, "lang_pred", "score"])
 
@@ -158,8 +160,11 @@ def identify(docs: DataFrame, filters: Filters, text: str = "text", keep: dict[s
     ``und`` with score 0 is for null texts, texts without letters, and when nothing was learned.  A text with letters none of whose
     n-grams are known gets the most frequent language with score 0.  Prediction looks at the text alone.
     """
-    keep = keep if keep is not None else {c: F.col(c) for c in docs.columns}
-    rows = docs.select(*(c.alias(name) for name, c in keep.items()), F.col(text).alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    if keep is None:
+        rows, names = docs, docs.columns
+    else:
+        rows, names = docs.select(*(c.alias(name) for name, c in keep.items()), F.col(text).alias("__text")), list(keep)
+        text = "__text"
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in names]
     schema = ", ".join([*fields, "lang_pred string", "score double"])
-    return rows.mapInArrow(partial(_predicted, filters=filters, kept=list(keep)), schema)
+    return rows.mapInArrow(partial(_predicted, filters=filters, text=text, kept=names), schema)
