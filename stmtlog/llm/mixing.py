@@ -25,7 +25,7 @@ BLOCK_WORDS, SHARD_WORDS = 65_536, 4_000_000
 #: Words before and after the target among which documents are chosen to meet it.
 AROUND = 16_384
 #: Rows of a source that one window task sorts, about; blocks of all sources the draws can hold.
-BUCKET_ROWS, MOST_BLOCKS = 20_000, 5e8
+BUCKET_ROWS, MOST_BLOCKS = 1_000, 5e8
 
 
 def word_count(text: Column) -> Column:
@@ -56,23 +56,25 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], most: float) -> DataFr
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
     """Of the documents around the target, those that fit, in their drawn order."""
     rows = rows.sort_values(["h", "uid"])
-    room, chosen = int(rows["rest"].iloc[0] - rows["start"].min()), []
-    for uid, size in zip(rows["uid"], rows["size"], strict=True):
-        if size <= room:
-            chosen.append(uid)
-            room -= size
-    sizes = rows.set_index("uid")["size"]
+    size, most = rows["size"].to_numpy(), rows["left"].to_numpy()
+    room, times = int(rows["rest"].iloc[0] - rows["start"].min()), np.zeros(len(rows), np.int64)
+    for turn in range(int(most.max())):  # once more only where once is too little
+        for i in np.flatnonzero((most > turn) & (size <= room)):
+            if size[i] <= room:
+                times[i] += 1
+                room -= int(size[i])
     for _ in range(3):  # exchange one for another as long as the room gets smaller
-        inside = sizes.loc[chosen].sort_values()
-        outside = sizes.drop(chosen)
-        at = np.searchsorted(inside.to_numpy(), outside.to_numpy() - room)
-        gain = np.where(at < len(inside), outside.to_numpy() - np.append(inside.to_numpy(), 0)[at], 0)
+        inside, outside = np.flatnonzero(times > 0), np.flatnonzero(times < most)
+        inside = inside[np.argsort(size[inside], kind="stable")]
+        at = np.searchsorted(size[inside], size[outside] - room)
+        gain = np.where(at < len(inside), size[outside] - np.append(size[inside], 0)[at], 0)
         if not len(gain) or gain.max() <= 0:
             break
         best = int(gain.argmax())
-        chosen[chosen.index(inside.index[at[best]])] = outside.index[best]
+        times[inside[at[best]]] -= 1
+        times[outside[best]] += 1
         room -= int(gain[best])
-    return pd.DataFrame({"uid": chosen})
+    return pd.DataFrame({"uid": rows["uid"], "chosen": times})[times > 0]
 
 
 class Tree:
@@ -133,7 +135,8 @@ def mix(
     ``drawn`` lists the copies the mix takes: round, shard, and the place that orders the shard.  ``uid`` is
     monotonically_increasing_id() over ``docs``, see take().  size is the number of words; source_size and target are the
     source's words, its own and those it should give.  A source gives whole documents, whose words come to its
-    target but for less than the smallest document left around it; none is taken more than ``most`` times.
+    target but for less than the smallest document that could still be taken around it; none is taken more than
+    ``most`` times.  So a document with more words than the target can leave its source short.
 
     A null text has no words; documents without words are taken in whole rounds only.  A null source is a
     source.  Repeated rows are documents of their own.  Draws depend on seed, ids and texts, not on how rows are
@@ -178,11 +181,12 @@ def mix(
     end = F.col("start") + F.col("size")
     sure = end <= F.col("rest") - AROUND
     around = (F.col("size") > 0) & ~sure & (F.col("start") < F.col("rest") + AROUND) & (F.col("rest") > 0)
-    chosen = rows.filter(around).select("at", "uid", "h", "start", "size", "rest")
-    chosen = chosen.groupBy("at").applyInPandas(_fill, "uid long").withColumn("chosen", F.lit(1))
+    left = (F.lit(most) - F.col("rounds")).alias("left")
+    chosen = rows.filter(around).select("at", "uid", "h", "start", "size", "rest", left)
+    chosen = chosen.groupBy("at").applyInPandas(_fill, "uid long, chosen long")
     rows = rows.join(chosen, "uid", "left")
-    partly = ((F.col("size") > 0) & sure) | F.col("chosen").isNotNull()
-    rows = rows.withColumn("copies", F.col("rounds") + partly.cast("bigint")).withColumnRenamed("words", "source_size")
+    partly = F.coalesce("chosen", ((F.col("size") > 0) & sure).cast("bigint"))
+    rows = rows.withColumn("copies", F.col("rounds") + partly).withColumnRenamed("words", "source_size")
     # a document chosen beyond the quota's last block stands in that block
     last = F.floor(F.col("rest") / block_words)
     rows = rows.withColumn("block", F.when(F.col("chosen").isNotNull(), F.least("block", last)).otherwise(F.col("block")))
