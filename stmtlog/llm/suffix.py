@@ -38,7 +38,7 @@ from stmtlog.llm import text as T
 from stmtlog.plans.stage import stage
 
 #: Bytes of suffixes that a piece keeps in memory; positions told apart when anchors are chosen.
-MEMORY, PLACES = 64 << 20, 24
+MEMORY, PLACES = 32 << 20, 24
 _PLACE = np.uint64((1 << PLACES) - 1)
 
 
