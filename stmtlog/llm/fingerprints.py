@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from stmtlog.plans.stage import stage
 
 #: Samples of a fingerprint, and bits of a sample.
-DRAWS, BITS = 24, 24
+DRAWS, BITS = 40, 24
 #: Ids in a range that one window task sorts, about.
 RANGE_ROWS = 100_000
 _LEAST = -(2**63)
