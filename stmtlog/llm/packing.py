@@ -26,7 +26,7 @@ from stmtlog.llm import text as T
 from stmtlog.plans.stage import stage
 
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 _KIND = np.zeros(256, np.uint8)  # 1: a letter, 2: punctuation but for the apostrophe, of ASCII
 _KIND[97:123] = 1
 _KIND[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 2
@@ -213,10 +213,12 @@ def encode(texts: pa.Array, path: str) -> Iterator[bytes]:
         None if special and b"<|" in whole[offsets[d] : offsets[d + 1]] else plain[i:j].split()
         for d, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True))
     ]
-    new = list({w for text in split if text for w in text}.difference(known))
-    if len(known) + len(new) > REMEMBERED:
+    words = {w for text in split if text for w in text}
+    new = list(words.difference(known))
+    if len(known) + len(new) > REMEMBERED:  # those of these texts stay, so the common ones do
+        kept = {w: known[w] for w in words.intersection(known)}
         known.clear()
-        new = list({w for text in split if text for w in text})
+        known.update(kept)
     for at in range(0, len(new), 20_000):
         some = new[at : at + 20_000]
         found = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)

@@ -37,6 +37,8 @@ from pyspark.sql import types as S
 from stmtlog.llm import text as T
 from stmtlog.plans.stage import stage
 
+#: Suffixes whose bytes are copied or compared at a time.
+ROWS = 5_000
 #: Bytes of suffixes that a piece keeps in memory; positions told apart when anchors are chosen.
 MEMORY, PLACES = 32 << 20, 24
 _PLACE = np.uint64((1 << PLACES) - 1)
@@ -252,8 +254,8 @@ class Queue:
         queue = queue[order[np.argsort(gram[queue][order], kind="stable")]]
         reach = self.length + windows - 1 - before  # bytes from the anchor on
         shared = np.zeros(len(queue), np.int64)
-        for c in range(1, len(queue), 100_000):
-            one, other = queue[c - 1 : c + 99_999], queue[c : c + 100_000]
+        for c in range(1, len(queue), ROWS):
+            one, other = queue[c - 1 : c - 1 + ROWS], queue[c : c + ROWS]
             one = one[: len(other)]
             differ = matrix[one, self.span :] != matrix[other, self.span :]
             equal = np.where(differ.any(1), differ.argmax(1), self.length)
@@ -305,8 +307,8 @@ def _induce(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterat
 
     last = None
     for whole in batches:
-        for c in range(0, whole.num_rows, 20_000):
-            batch = whole.slice(c, 20_000)
+        for c in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(c, ROWS)
             grams = batch.column("gram").to_numpy()
             cut = 0
             if last is not None and queue.bytes > MEMORY // 2:  # at the end of a k-gram, once there is enough
