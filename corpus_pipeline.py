@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stmtlog.llm import cluster, langid, minhash, mixing, packing, suffix
-from stmtlog.plans.stage import stage
+from stmtlog.plans.stage import stage, stage_numbered
 
 WEIGHTS, MOST, LENGTH, CAPACITY = (1, 2, 3), 3, 200, 2048
 
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: The stored number of a row, for stages that read their documents twice.
+ROW = "__number"
 
 
 def _documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -41,8 +43,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id."""
-    docs = _documents(spark, docs)
-    return minhash.one_of_each(docs, minhash.near_duplicates(docs, percent=80))
+    docs = stage_numbered(_documents(spark, docs), "numbered", ROW)
+    return minhash.one_of_each(docs, minhash.near_duplicates(docs, percent=80, row=ROW), row=ROW)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +56,8 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The copies of documents that bring the sources to their weights, shard by shard."""
-    docs = _documents(spark, docs)
-    return mixing.take(docs, mixing.mix(docs, weights=WEIGHTS, most=MOST))
+    docs = stage_numbered(_documents(spark, docs), "numbered", ROW)
+    return mixing.take(docs, mixing.mix(docs, weights=WEIGHTS, most=MOST, row=ROW), row=ROW)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -231,22 +231,23 @@ def _settle(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Itera
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 85
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 85, row: str | None = None
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, row, component) for each row of ``docs``.
 
     Two rows are linked when 100 * intersection >= percent * union of their sets of distinct ``shingle``-word
     shingles (A-Z in lower case; fewer words: the whole sequence as one).  component_id is the smallest doc_id
-    that can be reached over links, kept says that it is the row's own.  row is monotonically_increasing_id() over
-    ``docs``, component a number of the component, null for an empty set; see one_of_each().
+    that can be reached over links, kept says that it is the row's own.  row is the column ``row`` of
+    ``docs``, without one monotonically_increasing_id(); component a number of the component, null for an empty set;
+    see one_of_each().
 
     A null or blank text has an empty set, is linked with nothing and keeps its own id.  Repeated rows, also of
     one doc_id, are linked as any others.  A row without doc_id has its component's id, or null, and is kept
     only where that is null.  Other columns are not looked at.  Texts are told apart by 64-bit hashes of their
     words, shingles by 64-bit hashes within a comparison.
     """
-    row = F.monotonically_increasing_id().alias("row")
-    docs = docs.select(row, F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    docs = docs.select(number.alias("row"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     limit = percent / 100
     schema = "row long, doc_id long, n_shingles long, node long, registers binary"
     signed = stage(docs.mapInArrow(partial(_signatures, size=shingle), schema), "signatures")
@@ -298,14 +299,18 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", least_id.alias("component_id"), kept.alias("kept"), "row", "component")
 
 
-def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, groups: DataFrame, row: str | None = None) -> DataFrame:
     """Of ``docs``, one row of each component of ``groups``, made from it: the one with the smallest doc_id, of several
-    the first.  Rows with an empty set stay.  ``docs`` must be a table read from files, as rows are matched by number.
+    the first.  Rows with an empty set stay.
+
+    Rows are matched by the stored column ``row`` that ``groups`` was made with, see stage_numbered(); it is left out of
+    the result.  Without it they are counted anew, which is right only if ``docs`` comes in the same partitions again.
     """
     kept = groups.filter("kept")
     first = kept.filter("component is not null").groupBy("component").agg(F.min("row").alias("__row")).select("__row")
     chosen = first.union(kept.filter("component is null").select("row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(chosen, "__row", "left_semi").select(*docs.columns)
+    numbered = docs.withColumn("__row", F.col(row) if row else F.monotonically_increasing_id())
+    return numbered.join(chosen, "__row", "left_semi").select(*(c for c in docs.columns if c != row))
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

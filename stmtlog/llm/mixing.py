@@ -129,11 +129,12 @@ def mix(
     doc_id: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    row: str | None = None,
 ) -> DataFrame:
     """(uid, doc_id, size, source_size, target, drawn): one row for each row of ``docs``.
 
-    ``drawn`` lists the copies the mix takes: round, shard, and the place that orders the shard.  ``uid`` is
-    monotonically_increasing_id() over ``docs``, see take().  size is the number of words; source_size and target are the
+    ``drawn`` lists the copies the mix takes: round, shard, and the place that orders the shard.  ``uid`` is the
+    column ``row`` of ``docs``, without one monotonically_increasing_id(); see take().  size is the number of words; source_size and target are the
     source's words, its own and those it should give.  A source gives whole documents, whose words come to its
     target but for less than the smallest document that could still be taken around it; none is taken more than
     ``most`` times.  So a document with more words than the target can leave its source short.
@@ -144,7 +145,7 @@ def mix(
     """
     key = F.xxhash64(F.lit(seed), F.col(doc_id).cast("bigint"), F.col(text))
     rows = docs.select(
-        F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("bigint").alias("doc_id"),
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("uid"), F.col(doc_id).cast("bigint").alias("doc_id"),
         F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key.alias("h"),
     )
     rows = stage(rows, "sizes")
@@ -200,11 +201,13 @@ def mix(
     return rows.select(*columns).mapInArrow(partial(_dealt, tree=tree, seed=seed), schema)
 
 
-def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+def take(docs: DataFrame, mixed: DataFrame, row: str | None = None) -> DataFrame:
     """The copies that ``mixed``, made from the same ``docs``, takes, each shard in its own order.
 
-    Rows are matched by their number in ``docs``, which must be a table read from files."""
-    numbered = docs.withColumn("__uid", F.monotonically_increasing_id())
+    Rows are matched by the stored column ``row`` that ``mixed`` was made with, see stage_numbered(); it is left out of
+    the result.  Without it they are counted anew, which is right only if ``docs`` comes in the same partitions again.
+    """
+    numbered = docs.withColumn("__uid", F.col(row) if row else F.monotonically_increasing_id())
     drawn = mixed.select(F.col("uid").alias("__uid"), F.explode("drawn").alias("__drawn"))
     taken = numbered.join(drawn, "__uid").repartition(F.col("__drawn.shard"))
-    return taken.sortWithinPartitions("__drawn.shard", "__drawn.place").select(*docs.columns)
+    return taken.sortWithinPartitions("__drawn.shard", "__drawn.place").select(*(c for c in docs.columns if c != row))

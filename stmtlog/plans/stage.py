@@ -14,6 +14,7 @@ from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -72,3 +73,12 @@ def stage(data: DataFrame, name: str) -> DataFrame:
     path = f"{within}/{name}-{uuid.uuid4().hex}"
     data.write.parquet(path)
     return spark.read.schema(data.schema).parquet(path)
+
+
+def stage_numbered(data: DataFrame, name: str, number: str) -> DataFrame:
+    """stage() with a number of each row in the column ``number``.
+
+    The number is stored, so all reads of the table agree on it.  monotonically_increasing_id() over two scans of the
+    same files need not: how a scan is cut depends on the cores registered at that moment.
+    """
+    return stage(data.withColumn(number, F.monotonically_increasing_id()), name)

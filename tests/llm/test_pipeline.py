@@ -70,3 +70,24 @@ def test_run_equals_the_stages_and_bears_an_empty_table(spark, folder, tmp_path)
     assert P.run(spark, path).count() == P.run(spark, path).select("doc_id", "piece", "sequence_id", "offset").distinct().count()
     spark.read.parquet(f"{path}/documents.parquet").filter(F.lit(False)).write.parquet(str(tmp_path / "documents.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("step", [P.drop_near_duplicates, P.mix_sources])
+def test_rows_are_matched_though_the_input_is_cut_anew_between_two_scans(spark, folder, tmp_path, step):
+    """As with executors lost or gained in between: more partitions at the second scan."""
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet").filter("doc_id is not null")
+    docs.repartitionByRange(12, "doc_id").write.parquet(str(tmp_path / "d.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "d.parquet"))
+    key = lambda r: (r.doc_id, r.text, r.lang, r.source)
+    expected = Counter(map(key, step(spark, docs, "").collect()))
+    keep = "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes"
+    try:
+        for conf in keep:
+            spark.conf.set(conf, "64m")
+        pending = step(spark, docs, "")
+        for conf in keep:
+            spark.conf.set(conf, "2k")
+        assert Counter(map(key, pending.collect())) == expected
+    finally:
+        for conf in keep:
+            spark.conf.unset(conf)
