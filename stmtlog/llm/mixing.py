@@ -1,8 +1,10 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 A source's documents stand in an order drawn by a hash of id and text, cut into blocks of some thousand words.
-The mix takes whole rounds of a source, then the first blocks of one more round; the block in which the target
-lies is filled with the documents that fit.  The block quotas of all sources are dealt to the output shards by
+The mix takes whole rounds of a source, then the first blocks of one more round.  In that round documents longer than
+AROUND words are settled first, the longest size class before the others: each is taken or passed over against the
+room that is left, so that the shorter ones can always fill it.  The place in which the target lies among the others
+is filled with the documents that fit.  The block quotas of all sources are dealt to the output shards by
 a tree: each node splits its quotas between its halves by a multivariate-hypergeometric draw, so every shard
 gets a random composition and the quotas are exact.  A node's draw depends on its place alone, so a task makes
 the draws on the way to its own blocks and no others.  Within a shard, documents are shuffled by a hash.
@@ -11,6 +13,7 @@ the draws on the way to its own blocks and no others.  Within a shard, documents
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from stmtlog.plans.stage import stage
 
 BLOCK_WORDS, SHARD_WORDS = 65_536, 4_000_000
-#: Words before and after the target among which documents are chosen to meet it.
+#: Words before and after the target among which documents are chosen to meet it; documents longer than that are settled first.
 AROUND = 16_384
 #: Rows of a source that one window task sorts, about; blocks of all sources the draws can hold.
 BUCKET_ROWS, MOST_BLOCKS = 1_000, 5e8
@@ -77,6 +80,74 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"uid": rows["uid"], "chosen": times})[times > 0]
 
 
+def _size_class(size: Column) -> Column:
+    """0 up to AROUND words, then k for those above AROUND * 2**(k - 1) up to AROUND * 2**k."""
+    return F.when(size > AROUND, F.length(F.bin(F.floor((size - 1) / AROUND).cast("bigint")))).otherwise(0).cast("int")
+
+
+@dataclass
+class _Last:
+    """What a source still gives: whole rounds so far, copies of a document left, words left."""
+
+    rounds: int
+    left: int
+    rest: int
+
+    def whole(self, words: int) -> None:
+        """Whole rounds of documents with that many words, as far as they fit."""
+        n = min(self.left, self.rest // words) if words else 0
+        self.rounds, self.left, self.rest = self.rounds + n, self.left - n, self.rest - n * words
+
+
+def _settle_long(rows: DataFrame, sums: DataFrame, last: dict[int, _Last]) -> list[tuple]:
+    """(of, class, rounds, cut_h, cut_uid, extra) for each source and size class from 1: which documents the last round takes.
+
+    ``rows`` (at, bucket, class, h, uid, size); ``sums`` (at, bucket, class, n): their words.  From the longest class
+    down, the documents that end before the room does, counted over this class and the shorter ones, are taken:
+    those before (cut_h, cut_uid).  The one over the cut is passed over if the shorter ones can fill the room;
+    if they can't, ``extra`` is the longest that fits, one already taken only where no other does.  As the room left
+    then is less than this class's sizes, one is enough.  ``last`` holds the rest for the documents of class 0.
+    """
+    spark, out = rows.sparkSession, []
+    words: dict[int, dict[int, int]] = {}
+    for r in sums.groupBy("at", "class").agg(F.sum("n").alias("n")).collect():
+        words.setdefault(r["at"], {})[r["class"]] = r["n"]
+    for k in sorted({k for x in words.values() for k in x if k}, reverse=True):
+        shorter = {a: sum(n for j, n in x.items() if j < k) for a, x in words.items() if k in x}
+        for a in shorter:
+            last[a].whole(shorter[a] + words[a][k])
+        open_ = [(a, last[a].rest) for a in shorter if last[a].left and last[a].rest > 0]
+        room = F.broadcast(spark.createDataFrame(open_, "at long, room long"))
+        n = sums.filter(F.col("class") <= k).join(room, "at").groupBy("at", "bucket", "room").agg(F.sum("n").alias("n"))
+        before = Window.partitionBy("at").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        n = n.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        n = n.filter((F.col("base") <= F.col("room")) & (F.col("room") < F.col("base") + F.col("n"))).drop("n")
+        order = Window.partitionBy("at").orderBy("h", "uid").rowsBetween(Window.unboundedPreceding, 0)
+        inside = rows.filter(F.col("class") <= k).join(n, ["at", "bucket"])
+        inside = inside.withColumn("end", F.col("base") + F.sum("size").over(order)).filter(F.col("end") > F.col("room"))
+        cut = {r["at"]: r["c"] for r in inside.groupBy("at").agg(F.min(F.struct("h", "uid")).alias("c")).collect()}
+        cuts = spark.createDataFrame([(a, c.h, c.uid) for a, c in cut.items()], "at long, cut_h long, cut_uid long")
+        long = rows.filter(F.col("class") == k).join(F.broadcast(cuts), "at")
+        taken = (F.col("h") < F.col("cut_h")) | ((F.col("h") == F.col("cut_h")) & (F.col("uid") < F.col("cut_uid")))
+        for r in long.filter(taken).groupBy("at").agg(F.sum("size").alias("n")).collect():
+            last[r["at"]].rest -= r["n"]
+        short = [(a, last[a].rest, last[a].left) for a in cut if last[a].rest > shorter[a]]
+        extra = {}
+        if short:
+            fit = long.join(F.broadcast(spark.createDataFrame(short, "at long, room long, left long")), "at")
+            fit = fit.filter((F.col("size") <= F.col("room")) & (~taken | (F.col("left") > 1)))
+            best = fit.groupBy("at").agg(F.max(F.struct((~taken).alias("new"), "size", "h", "uid")).alias("x")).collect()
+            extra = {r["at"]: r["x"] for r in best}
+        for a in shorter:
+            if a in extra:
+                last[a].rest -= extra[a]["size"]
+            c = cut.get(a)
+            out.append((a, k, last[a].rounds, c and c.h, c and c.uid, extra[a].uid if a in extra else None))
+    for a, x in words.items():
+        last[a].whole(x.get(0, 0))
+    return out
+
+
 class Tree:
     """Which shard each block goes to, for block quotas by source and a number of shards."""
 
@@ -137,7 +208,8 @@ def mix(
     column ``row`` of ``docs``, without one monotonically_increasing_id(); see take().  size is the number of words; source_size and target are the
     source's words, its own and those it should give.  A source gives whole documents, whose words come to its
     target but for less than the smallest document that could still be taken around it; none is taken more than
-    ``most`` times.  So a document with more words than the target can leave its source short.
+    ``most`` times.  A document with more words than the room it meets is passed over and others fill the room, so
+    a source is left short by more than that only where it has no documents left that fit.
 
     A null text has no words; documents without words are taken in whole rounds only.  A null source is a
     source.  Repeated rows are documents of their own.  Draws depend on seed, ids and texts, not on how rows are
@@ -159,7 +231,7 @@ def mix(
     aims = aims.withColumn("blocks", F.greatest(F.ceil(F.col("words") / block_words), F.lit(1)).cast("bigint"))
     aims = aims.withColumn("buckets", F.ceil(F.col("documents") / BUCKET_ROWS).cast("bigint"))
     quota = F.col("rounds") * F.col("blocks") + F.least(F.floor(F.col("rest") / block_words) + 1, "blocks")
-    listed = aims.select("source", quota.cast("bigint").alias("quota"))
+    listed = aims.select("source", "rounds", "rest", quota.cast("bigint").alias("quota"))
     listed = listed.orderBy(F.col("source").asc_nulls_last()).collect()
     spark = docs.sparkSession
     numbered = [(r.source, i) for i, r in enumerate(listed)]
@@ -169,28 +241,48 @@ def mix(
 
     rows = rows.join(aims, rows["source"].eqNullSafe(aims["of"])).drop("of")
     bucket = F.least(F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("buckets")), F.col("buckets") - 1)
+    rows = rows.withColumn("class", _size_class(F.col("size")))
     rows = stage(rows.withColumn("bucket", bucket), "rows")
-    by_bucket = rows.groupBy("at", "bucket").agg(F.sum("size").alias("n"))
+    sums = stage(rows.groupBy("at", "bucket", "class").agg(F.sum("size").alias("n")), "sums")
+    short = F.sum(F.when(F.col("class") == 0, F.col("n")).otherwise(0))
+    by_bucket = sums.groupBy("at", "bucket").agg(F.sum("n").alias("n"), short.alias("short"))
     before = Window.partitionBy("at").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    by_bucket = by_bucket.select("at", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    base, base_short = (F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("n", "short"))
+    by_bucket = by_bucket.select("at", "bucket", base.alias("base"), base_short.alias("base_short"))
     within = Window.partitionBy("at", "bucket").orderBy("h", "uid").rowsBetween(Window.unboundedPreceding, -1)
+    size_short = F.when(F.col("class") == 0, F.col("size")).otherwise(0)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    rows = rows.withColumn("within_short", F.coalesce(F.sum(size_short).over(within), F.lit(0)))
     rows = rows.join(by_bucket, ["at", "bucket"]).withColumn("start", F.col("base") + F.col("within"))
+    rows = rows.withColumn("start_short", F.col("base_short") + F.col("within_short"))
     rows = rows.withColumn("block", F.least(F.floor(F.col("start") / block_words), F.col("blocks") - 1))
-    rows = stage(rows.drop("base", "within", "bucket", "source", "weight"), "ordered")
+    rows = stage(rows.drop("base", "base_short", "within", "within_short", "source", "weight", "rounds"), "ordered")
 
-    end = F.col("start") + F.col("size")
-    sure = end <= F.col("rest") - AROUND
-    around = (F.col("size") > 0) & ~sure & (F.col("start") < F.col("rest") + AROUND) & (F.col("rest") > 0)
-    left = (F.lit(most) - F.col("rounds")).alias("left")
-    chosen = rows.filter(around).select("at", "uid", "h", "start", "size", "rest", left)
+    last = {i: _Last(r.rounds, most - r.rounds, r.rest) for i, r in enumerate(listed)}
+    settled = _settle_long(rows.select("at", "bucket", "class", "h", "uid", "size"), sums, last)
+    settled = [(a, k, n, None, None, h, u, x) for a, k, n, h, u, x in settled]
+    settled += [(a, 0, x.rounds, x.left, x.rest, None, None, None) for a, x in last.items()]
+    settled = spark.createDataFrame(
+        settled, "at long, class int, rounds long, left long, room long, cut_h long, cut_uid long, extra long"
+    )
+    rows = rows.join(F.broadcast(settled), ["at", "class"])
+    end = F.col("start_short") + F.col("size")
+    sure = end <= F.col("room") - AROUND
+    around = (F.col("class") == 0) & (F.col("size") > 0) & ~sure & (F.col("start_short") < F.col("room") + AROUND)
+    around &= (F.col("room") > 0) & (F.col("left") > 0)
+    chosen = rows.filter(around).select(
+        "at", "uid", "h", F.col("start_short").alias("start"), "size", F.col("room").alias("rest"), "left"
+    )
     chosen = chosen.groupBy("at").applyInPandas(_fill, "uid long, chosen long")
     rows = rows.join(chosen, "uid", "left")
-    partly = F.coalesce("chosen", ((F.col("size") > 0) & sure).cast("bigint"))
+    before_cut = (F.col("h") < F.col("cut_h")) | ((F.col("h") == F.col("cut_h")) & (F.col("uid") < F.col("cut_uid")))
+    long = F.coalesce(before_cut, F.lit(False)).cast("bigint") + F.coalesce(F.col("uid") == F.col("extra"), F.lit(False)).cast("bigint")
+    sure = ((F.col("size") > 0) & sure & (F.col("left") > 0)).cast("bigint")
+    partly = F.when(F.col("class") > 0, long).otherwise(F.coalesce("chosen", sure))
     rows = rows.withColumn("copies", F.col("rounds") + partly).withColumnRenamed("words", "source_size")
-    # a document chosen beyond the quota's last block stands in that block
-    last = F.floor(F.col("rest") / block_words)
-    rows = rows.withColumn("block", F.when(F.col("chosen").isNotNull(), F.least("block", last)).otherwise(F.col("block")))
+    # a document taken beyond the quota's last block stands in that block
+    end_block = F.floor(F.col("rest") / block_words)
+    rows = rows.withColumn("block", F.when(partly > 0, F.least("block", end_block)).otherwise(F.col("block")))
     shards = max(1, int(-(-(total[1] or 0) // SHARD_WORDS)))
     tree = Tree(np.array([r.quota for r in listed], np.int64), shards, seed)
     columns = ["uid", "doc_id", "size", "source_size", "target", "copies", "at", "block", "blocks", "h"]

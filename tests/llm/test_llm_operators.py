@@ -1,5 +1,6 @@
 """The operators on small tables: brute force, and the odd rows that each must bear."""
 
+import bisect
 import hashlib
 import math
 import random
@@ -235,6 +236,47 @@ def test_mix_meets_targets_and_reruns_agree(docs, rows, none, spark, tmp_path):
     assert mixing.mix(none).count() == 0
 
 
+@pytest.mark.parametrize("rest", [450_000, 790_000])
+def test_mix_fills_the_room_that_a_long_document_leaves(spark, tmp_path, rest):
+    """1000 documents of 500 words and one of 300000 over the cut: passed over, or taken where the others can't fill."""
+    h = lambda d, t: F.xxhash64(F.lit(0), d.cast("bigint"), t)
+    small, large = F.repeat(F.lit("w "), 500), F.repeat(F.lit("v "), 300_000)
+    below = sorted(r[0] for r in spark.range(1000).select(h(F.col("id"), small)).collect())
+    at = {r[0]: 500 * bisect.bisect(below, r[1]) for r in spark.range(5000, 5200).select("id", h(F.col("id"), large)).collect()}
+    over = next(d for d, start in at.items() if rest - 250_000 < start < rest - 50_000 or start == 500_000 and rest > 750_000)
+    other = 1_200_000 - 800_000
+    docs = spark.range(1000).select("id", small.alias("text"), F.lit("a").alias("source"))
+    docs = docs.union(spark.range(1).select(F.lit(over), large, F.lit("a")))
+    docs = docs.union(spark.range(2000, 2000 + other // 500).select("id", small, F.lit("b")))
+    docs.withColumnRenamed("id", "doc_id").write.parquet(str(tmp_path / "d"))
+    out = mixing.mix(spark.read.parquet(str(tmp_path / "d")), weights=(rest, 1_200_000 - rest)).collect()
+    for target in {r.target for r in out}:
+        given = sum(r.size * len(r.drawn) for r in out if r.target == target)
+        assert 0 <= round(target) - given < 500
+
+
+def test_mix_leaves_no_room_for_a_document_whatever_the_sizes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "AROUND", 16)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 4)
+    rng = random.Random(5)
+    rows = []
+    for s in range(24):
+        kind = [(1, 40), (17, 33), (30, 300), (1, 1000), (200, 1000), (5, 17)][s % 6]
+        sizes = [rng.randint(*kind) for _ in range(rng.randint(1, 30))]
+        rows += [(1000 * s + i, "x " * n, f"s{s:02}") for i, n in enumerate(sizes)]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(path)
+    seen = defaultdict(list)
+    for r in mixing.mix(spark.read.parquet(path), weights=tuple(range(1, 8))).collect():
+        seen[f"s{r.doc_id // 1000:02}"].append(r)
+    assert sum(map(len, seen.values())) == len(rows)
+    for group in seen.values():
+        room = round(group[0].target) - sum(r.size * len(r.drawn) for r in group)
+        fewest = min(len(r.drawn) for r in group)
+        assert room >= 0 and max(len(r.drawn) for r in group) <= 3
+        assert fewest == 3 or room < min(r.size for r in group if len(r.drawn) == fewest)
+
+
 def test_mix_deals_shards_evenly(docs, monkeypatch):
     monkeypatch.setattr(mixing, "SHARD_WORDS", 3000)
     monkeypatch.setattr(mixing, "BLOCK_WORDS", 50)
