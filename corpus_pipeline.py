@@ -28,17 +28,19 @@ def _documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones have; texts without letters, or with none of the n-grams of
-    any language, go.
+    """Documents with a language; null texts and texts without letters go.
 
-    A null lang becomes the one found.  A corpus without any labelled text is left as it is, as nothing can be learned.
+    A null lang becomes the one found.  A text with none of the n-grams of any language, such as a single letter, says
+    nothing about its language: it stays with the lang it has, which may be null.  A corpus without any labelled text
+    is left as it is, as nothing can be learned.
     """
     docs = _documents(spark, docs)
     filters = langid.fit(docs)
     if not filters.languages:
         return docs
-    found = langid.identify(docs, filters).filter((F.col("lang_pred") != "und") & (F.col("score") > 0))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    found = langid.identify(docs, filters).filter("lang_pred <> 'und'")
+    lang = F.coalesce("lang", F.when(F.col("score") > 0, F.col("lang_pred")))
+    return found.withColumn("lang", lang).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,3 +91,13 @@ def test_rows_are_matched_though_the_input_is_cut_anew_between_two_scans(spark,
     finally:
         for conf in keep:
             spark.conf.unset(conf)
+
+
+def test_texts_without_known_ngrams_stay(spark, tmp_path):
+    rows = [(i, f"the thing number {i} is here again", "en", "s", 1) for i in range(20)]
+    rows += [(20, "A.", "en", "s", 2), (21, "A.", None, "s", 2), (22, "καλημέρα κόσμε", "el", "s", 14), (23, "日本語", None, "s", 3)]
+    rows += [(24, "12 .", "en", "s", 4), (25, None, "en", "s", None), (26, "the thing is here", None, "s", 17)]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(path)
+    out = {r.doc_id: r.lang for r in P.identify_language(spark, spark.read.parquet(path), "").collect()}
+    assert out == {i: "en" for i in range(20)} | {20: "en", 21: None, 22: "el", 23: None, 26: "en"}
