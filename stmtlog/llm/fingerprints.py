@@ -8,6 +8,8 @@ uniform b, all drawn from a hash of the word, give the sample
 and the word with the least a is sampled, together with k.  Two weighted sets draw the same (word, k) with a
 probability equal to their generalised Jaccard similarity, the sum of the smaller weights over the sum of the
 larger ones.  A fingerprint holds DRAWS such samples; the likeness of two fingerprints is the share of equal ones.
+With 40 it moves in steps of 0.025 and has a standard error of sqrt(p (1 - p) / 40), up to 0.08, so single documents
+may be off by 0.2 and more.  CPU seconds a GB by check.py, limit 1800: 951 with 24 samples, 1411 with 40; more not measured.
 """
 
 from __future__ import annotations
