@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtlog.llm import chat, cluster, ctw, fingerprints, langid, minhash, mixing, packing, suffix, tokens, topk
+from stmtlog.llm import chat, cluster, ctw, divergence, fingerprints, langid, minhash, mixing, packing, suffix, tokens, topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -179,6 +179,50 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.with_edits(_table(spark, folder, "documents"))
 
 
+def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(_table(spark, folder, "documents"), least_docs=30, most_terms=50)
+
+
+OP12_SQL = r"""
+WITH doc AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), hit AS (SELECT r, lang, source, unnest(w) AS term FROM doc
+), kept AS (SELECT lang, term FROM hit GROUP BY lang, term HAVING count(DISTINCT r) >= 30
+), kinds AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), grp AS (SELECT DISTINCT lang, source FROM doc
+), counted AS (SELECT lang, source, term, count(*) AS n FROM hit JOIN kept USING (lang, term) GROUP BY lang, source, term
+), cell AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n
+    FROM grp g JOIN kept k USING (lang) LEFT JOIN counted c USING (lang, source, term)
+), own AS (
+    SELECT lang, source, term, n, CAST(1 + (CAST(1000000000 AS HUGEINT) * (n + 5))
+        // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS BIGINT) AS p
+    FROM cell JOIN kinds USING (lang)
+), total AS (SELECT lang, term, sum(n) AS n FROM cell GROUP BY lang, term
+), whole AS (
+    SELECT lang, term, CAST(1 + (CAST(1000000000 AS HUGEINT) * (n + 5))
+        // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS BIGINT) AS q
+    FROM total JOIN kinds USING (lang)
+), apart AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM own a JOIN own b USING (lang, term) WHERE a.source <> b.source GROUP BY a.lang, a.source, b.source
+), pair AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+    FROM grp a JOIN grp b USING (lang) LEFT JOIN apart p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+    WHERE a.source <> b.source
+), term AS (
+    SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM own JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value,
+    CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)
+QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_top_k": op1_top_k,
@@ -191,8 +235,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_fingerprints": op10_fingerprints,
+        "op12_divergence": op12_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op6_chat_format": OP6_SQL, "op9_suffix_dedup": OP9_SQL}
+    return {
+        "op1_top_k": OP1_SQL,
+        "op2_near_duplicates": OP2_SQL,
+        "op6_chat_format": OP6_SQL,
+        "op9_suffix_dedup": OP9_SQL,
+        "op12_divergence": OP12_SQL,
+    }
