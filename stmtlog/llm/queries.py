@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtlog.llm import chat, cluster, ctw, divergence, fingerprints, langid, minhash, mixing, packing, suffix, tokens, topk
+from stmtlog.llm import (
+    chat, cluster, ctw, divergence, fingerprints, langid, minhash, mixing, packing, relative, suffix, tokens, topk,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -223,6 +225,33 @@ QUALIFY part = 'pair' OR rank <= 50
 """
 
 
+def op13_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return relative.digests(_table(spark, folder, "documents"), window=35)
+
+
+OP13_SQL = r"""
+WITH doc AS (
+    SELECT row_number() OVER () AS r, doc_id,
+        list_filter(string_split_regex(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+), place AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS p FROM doc
+), coded AS (SELECT r, p, md5_number(array_to_string(w[p:p + 34], ' ')) AS c FROM place
+), again AS (SELECT c FROM coded GROUP BY c HAVING count(*) > 1
+), hit AS (SELECT r, p FROM coded WHERE c IN (SELECT c FROM again)
+), edge AS (SELECT r, p, CASE WHEN p > 35 + lag(p) OVER (PARTITION BY r ORDER BY p) THEN 1 ELSE 0 END AS gap FROM hit
+), numbered AS (SELECT r, p, sum(gap) OVER (PARTITION BY r ORDER BY p) AS span FROM edge
+), span AS (SELECT r, min(p) AS low, max(p) + 35 AS high FROM numbered GROUP BY r, span
+), before AS (SELECT r, low, high, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 1) AS done FROM span
+), cut AS (
+    SELECT r, sum(high - low) AS removed, max(high) AS last, flatten(list(w[done:low - 1] ORDER BY low)) AS kept
+    FROM before JOIN doc USING (r) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+    sha256(coalesce(array_to_string(CASE WHEN removed IS NULL THEN w ELSE list_concat(kept, w[last:]) END, ' '), '')) AS kept_sha256
+FROM doc LEFT JOIN cut USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_top_k": op1_top_k,
@@ -236,6 +265,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_fingerprints": op10_fingerprints,
         "op12_divergence": op12_divergence,
+        "op13_substring_dedup": op13_substring_dedup,
     }
 
 
@@ -246,4 +276,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_format": OP6_SQL,
         "op9_suffix_dedup": OP9_SQL,
         "op12_divergence": OP12_SQL,
+        "op13_substring_dedup": OP13_SQL,
     }
