@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stmtlog.llm import (
-    chat, cluster, ctw, divergence, fingerprints, langid, minhash, mixing, packing, relative, suffix, tokens, topk,
+    chat, cluster, ctw, divergence, fingerprints, langid, minhash, mixing, packing, relative, suffix, tokens, topk, trie,
 )
+from stmtlog.plans.stage import stage
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -181,6 +182,54 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.with_edits(_table(spark, folder, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    placed = trie.places(_table(spark, folder, "conversations"))
+    return trie.prefix_trie(trie.with_heads(stage(placed, "places")))
+
+
+#: crc32 by its table; nodes are prefixes of digests.
+OP11_SQL = r"""
+WITH bit AS (
+    SELECT list_transform(range(0, 256), lambda x: list_reduce(list_concat([x], range(0, 8)),
+            lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t
+), turned AS (
+    SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS p, key, words
+    FROM (
+        SELECT conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key,
+            len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+        FROM conversations WHERE conv_id IS NOT NULL
+    )
+), own AS (
+    SELECT c, list(struct_pack(k := key, w := words) ORDER BY p) AS turns FROM turned GROUP BY c
+), headed AS (
+    SELECT c, turns, c - c % 20 AS b, xor(4294967295, list_reduce(
+        list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]))) % 4 AS h
+    FROM own, bit
+), built AS (
+    SELECT a.c, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) AS l FROM headed a LEFT JOIN own b ON b.c = a.b
+), prefix AS (
+    SELECT c, len(l) AS size, d, md5(array_to_string(list_transform(l[1:d], lambda x: x.k), ',')) AS node,
+        CASE WHEN d > 0 THEN md5(array_to_string(list_transform(l[1:d - 1], lambda x: x.k), ',')) END AS parent,
+        CASE WHEN d > 0 THEN l[d].w ELSE 0 END AS w
+    FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM built)
+), node AS (
+    SELECT node, d, any_value(parent) AS parent, any_value(w) AS w, min(c) AS c, count(*) AS n,
+        sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (size = d), '')) AS ends
+    FROM prefix GROUP BY node, d
+), child AS (SELECT parent, d - 1 AS d, count(*) AS children FROM node GROUP BY parent, d
+), each AS (
+    SELECT n.*, coalesce(children, 0) AS children FROM node n LEFT JOIN child ON child.parent = n.node AND child.d = n.d
+), below AS (
+    SELECT p.node, p.d, sum(CASE WHEN children = 0 THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * e.w) AS saved
+    FROM each e JOIN prefix p ON p.c = e.c AND p.d <= e.d GROUP BY p.node, p.d
+)
+SELECT e.c AS conv_id, e.d AS depth, p.c AS parent_conv_id, e.n AS n_convs, e.children AS n_children,
+    CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, e.ends AS ends_sha256
+FROM each e JOIN below USING (node, d) LEFT JOIN node p ON p.node = e.parent AND p.d = e.d - 1
+"""
+
+
 def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(_table(spark, folder, "documents"), least_docs=30, most_terms=50)
 
@@ -264,6 +313,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_fingerprints": op10_fingerprints,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_divergence": op12_divergence,
         "op13_substring_dedup": op13_substring_dedup,
     }
@@ -275,6 +325,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_near_duplicates": OP2_SQL,
         "op6_chat_format": OP6_SQL,
         "op9_suffix_dedup": OP9_SQL,
+        "op11_prefix_trie": OP11_SQL,
         "op12_divergence": OP12_SQL,
         "op13_substring_dedup": OP13_SQL,
     }
