@@ -131,7 +131,7 @@ def distance(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.nd
 PARTIAL = "lang string, low int, high int, value long"
 
 
-def _tiles(table: pa.Table) -> pa.Table:
+def _tiles(table: pa.Table, tile: int) -> pa.Table:
     """Distances within one block between the sources of two tiles, or of one."""
     table = table.combine_chunks()
     lang, length = table["lang"][0].as_py(), table["length"][0].as_py()
@@ -141,8 +141,8 @@ def _tiles(table: pa.Table) -> pa.Table:
         starts = np.array([0] if row["starts"] is None else row["starts"], np.int64)
         counts = np.array([0] if row["counts"] is None else row["counts"], np.int64)
         column = starts, shares(counts, row["total"], row["kept"])
-        for side, tile in zip(sides, (low, high), strict=True):
-            if row["number"] // TILE == tile:
+        for side, wanted in zip(sides, (low, high), strict=True):
+            if row["number"] // tile == wanted:
                 side.append((row["number"], column))
     out = [(i, j, distance(a, b, length)) for i, a in sides[0] for j, b in sides[1] if i < j]
     columns = [[lang] * len(out), *([o[k] for o in out] for k in range(3))]
@@ -156,7 +156,8 @@ def _share(count: str, total: str) -> Column:
 
 
 def audit(
-    docs: DataFrame, least_docs: int = 30, most_terms: int = 50, text: str = "text", lang: str = "lang", source: str = "source"
+    docs: DataFrame, least_docs: int = 30, most_terms: int = 50, text: str = "text", lang: str = "lang", source: str = "source",
+    tile: int = TILE,
 ) -> DataFrame:
     """(lang, source, part, item, value, rank) for every pair of language and source that occurs.
 
@@ -181,14 +182,14 @@ def audit(
     columns = stage(blocks.mapInArrow(_columns, COLUMNS), "term-columns")
     every = columns.select("lang", "block", "length").distinct().join(groups, "lang")
     every = every.join(columns.drop("length"), ["lang", "block", "source"], "left")
-    met = every.withColumn("tile", F.floor(F.col("number") / TILE).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.floor((F.col("sources") - 1) / TILE).cast("int")))
+    met = every.withColumn("tile", F.floor(F.col("number") / tile).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.floor((F.col("sources") - 1) / tile).cast("int")))
     )
     met = met.select(
         "lang", "block", "length", "number", "total", "kept", "starts", "counts", F.least("tile", "other").alias("low"),
         F.greatest("tile", "other").alias("high"),
     )
-    partial = met.groupBy("lang", "block", "low", "high").applyInArrow(_tiles, PARTIAL)
+    partial = met.groupBy("lang", "block", "low", "high").applyInArrow(lambda t: _tiles(t, tile), PARTIAL)
     return _pairs(groups, partial.groupBy("lang", "low", "high").agg(F.sum("value").alias("value"))).unionByName(
         _terms(groups, rows, most_terms)
     )

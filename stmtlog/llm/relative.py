@@ -104,10 +104,10 @@ def _check(values: np.ndarray) -> pa.Array:
     return pa.array((values >> np.uint64(32)).astype(np.uint32).view(np.int32))
 
 
-def _numbered(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+def _numbered(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
     """Rows with the block they are in and their number there."""
     partition = TaskContext.get().partitionId()
-    for number, part in enumerate(T.slices(batches, column, BLOCK)):
+    for number, part in enumerate(T.slices(batches, column, size)):
         if number >> SEQUENCE or partition >> (63 - WORDS - SEQUENCE):
             raise ValueError("too many blocks in a partition, or partitions")
         block = pa.array(np.full(part.num_rows, partition << SEQUENCE | number, np.int64))
@@ -285,7 +285,8 @@ def _returned(asked: DataFrame, n: int, *kept: str) -> DataFrame:
 
 
 def with_factors(
-    docs: DataFrame, window: int = 35, text: str = "text", factors: str = "factors", gram: int | None = None
+    docs: DataFrame, window: int = 35, text: str = "text", factors: str = "factors", gram: int | None = None,
+    block: int = BLOCK,
 ) -> DataFrame:
     """The rows of ``docs`` with the column ``factors``, whose name none of theirs may have.
 
@@ -301,7 +302,7 @@ def with_factors(
     docs = docs.select(*(F.col(f"`{c}`").alias(n) for n, c in names.items()))
     numbers = [S.StructField("block", S.LongType()), S.StructField("place", S.IntegerType())]
     schema = S.StructType([*docs.schema.fields, *numbers])
-    blocks = stage(docs.mapInArrow(partial(_numbered, column=safe), schema), "blocks")
+    blocks = stage(docs.mapInArrow(partial(_numbered, column=safe, size=block), schema), "blocks")
     seeds = blocks.select(safe, "block", "place").mapInArrow(partial(_seeds, column=safe, window=window, gram=gram), SEEDS)
     seeds = stage(_returned(stage(seeds, "seeds"), 2, "first"), "repeated-seeds")
     texts = blocks.select(safe, "block", "place").groupBy("block")
@@ -346,7 +347,7 @@ def _digests(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def digests(docs: DataFrame, window: int = 35) -> DataFrame:
+def digests(docs: DataFrame, window: int = 35, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256): what is left of each text's words, joined by one space."""
-    found = with_factors(docs.select("doc_id", "text"), window)
+    found = with_factors(docs.select("doc_id", "text"), window, block=block)
     return found.mapInArrow(partial(_digests, column="text"), "doc_id long, n_words long, n_removed long, kept_sha256 string")
