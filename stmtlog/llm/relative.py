@@ -4,18 +4,21 @@ A word goes if a window of ``window`` consecutive words that covers it also star
 of bytes other than 0x20 and 0x09-0x0D.
 
 * Blocks.  The texts are written once as reference blocks of about BLOCK bytes, numbered; all that is exchanged after
-  that names a block, so a passage or a text that a block holds many times is asked for once.
-* What can be a reference at all.  Of the grams of GRAM words in a window the one with the least hash is its anchor; equal
-  windows have equal anchors, and Spark counts anchors over all blocks.  Texts of the same words are found likewise, and
-  only the first of them is indexed.
-* The index of a block: its windows whose anchor is repeated, by hash, with the first and the last place (block and word).
-  Spark merges the indexes of all blocks by hash and returns to each block what is found at another place too.
+  that names a block, so what a block holds many times is asked for once.
+* Runs.  Of the grams in a window the one with the least hash (the first of equals) is its anchor.  Equal windows have
+  equal anchors.  Neighbouring windows with one anchor form a run; a run's words are its hull.
+* The index of runs.  Spark's sort brings all runs of a gram together, by hull.  A hull that stands at two places is a
+  reference for all its windows.  Only where a gram has several hulls, at the ends of repeated passages, can windows of
+  one hull be repeated within others; one run of each of these hulls is open.
+* The index of windows.  The windows of open runs are merged over all blocks by hash, with their first and last places
+  (block and word), and each block is told what is found at another place too.
 * Factors.  From left to right, a factor starts at the first window with a reference and follows that reference of its two
   that goes on longer, window by window in consecutive places.  Where it ends, the windows that cross the boundary are
   looked up for themselves, so the next factor may overlap with it.  Every factor has ``window`` words or more, and its
   words are the duplicate span.
 
-A block, or a single longer text, is held in memory by one task.  Windows are told apart by 96 bits of hashes.
+A block, or a single longer text, is held in memory by one task, and of the rows of one hull or window a row for each
+block.  Runs are told apart by 128 bits of hashes, windows by 96.
 """
 
 from __future__ import annotations
@@ -43,14 +46,14 @@ _BASES = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _INVERSES = np.array([pow(int(b), -1, 2**64) for b in _BASES], np.uint64)
 
 
-def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
-    """The least or greatest of each ``width`` neighbours."""
-    pick, done = np.minimum if least else np.maximum, 1
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours."""
+    done = 1
     while 2 * done <= width:
-        values = pick(values[:-done], values[done:])
+        values = np.minimum(values[:-done], values[done:])
         done *= 2
     rest = width - done
-    return pick(values[: len(values) - rest], values[rest:]) if rest else values
+    return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
 class Words:
@@ -78,21 +81,20 @@ class Words:
         room = np.repeat(self.first[1:], self.sizes) - np.arange(len(self.hashed))
         return room[: max(0, len(room) - window + 1)] >= window
 
-    def anchors(self, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-        """The hash of each window's anchor gram, and the hashes of the grams that are anchors of any window."""
+    def runs(self, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The runs of windows: first window, number, hashes of the anchor gram and of the hull."""
         some = self.windows(window)
         if not some.any():
-            return np.zeros(len(some), np.uint64), np.zeros(0, np.uint64)
-        at, span = np.arange(len(self.hashed) - gram + 1), window - gram + 1
-        grams = self.spans(at, at + gram) | np.uint64(1)
-        least = _sliding(grams, span, True)
-        edge = np.zeros(span - 1, np.uint64)
-        reached = _sliding(np.concatenate([edge, np.where(some, least, np.uint64(0)), edge]), span, False)
-        return least, grams[reached == grams]
-
-    def wholes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of each text's words."""
-        return tuple(self.spans(self.first[:-1], self.first[1:], i) for i in (0, 1))
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        at = np.arange(len(self.hashed) - gram + 1)
+        grams, mask = self.spans(at, at + gram), np.uint64(_PLACE)
+        least = _least(grams & ~mask | at.astype(np.uint64), window - gram + 1) & mask
+        begins = some.copy()
+        begins[1:] &= (least[1:] != least[:-1]) | ~some[:-1]  # an anchor lies in one text
+        first = np.flatnonzero(begins)
+        total = np.append(0, np.cumsum(some))
+        count = total[np.append(first[1:], len(some))] - total[first]
+        return first, count, grams[least[first].astype(np.int64)], self.spans(first, first + count - 1 + window)
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -115,100 +117,179 @@ def _numbered(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iter
         yield pa.RecordBatch.from_arrays([*part.columns, block, place], [*part.schema.names, "block", "place"])
 
 
-SEEDS = "hash long, check int, block long, n int, first long"
+RUNS = "gram long, hull long, block long, places long"
+
+
+def _first_and_last(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys, the index of one of each, and the first and last place of each as one number.  ``at`` rises."""
+    different, one = np.unique(keys, return_index=True)
+    last = len(keys) - 1 - np.unique(keys[::-1], return_index=True)[1]
+    return different, one, at[one].astype(np.int64) << WORDS | at[last]
+
 
+def _runs(batches: Iterator[pa.RecordBatch], column: str, window: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Each block's different runs with their first and last word in the block."""
+    block, texts = None, []
+
+    def row() -> pa.RecordBatch:
+        words = Words(pa.chunked_array(texts))
+        first, _, grams, hulls = words.runs(window, gram)
+        hull, one, places = _first_and_last(hulls, first)
+        columns = [_signed(grams[one]), _signed(hull), pa.array(np.full(len(hull), block, np.int64)), pa.array(places)]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in RUNS.split(", ")])
 
-def _seeds(batches: Iterator[pa.RecordBatch], column: str, window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Each block's anchors (first: -1) and whole texts of a window or more (first: block and row), once, with their number."""
     for batch in batches:
         blocks = batch.column("block").to_numpy()
         edges = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1), len(blocks)]
         for i, j in zip(edges[:-1], edges[1:], strict=True):
             if i == j:
                 continue
-            words = Words(batch.column(column).slice(i, j - i))
-            _, anchors = words.anchors(window, gram)
-            some = words.sizes >= window
-            whole, check = (w[some] for w in words.wholes())
-            place = batch.column("place").slice(i, j - i).to_numpy()[some]
-            grams, times = np.unique(anchors, return_counts=True)
-            texts, one, copies = np.unique(whole, return_index=True, return_counts=True)
-            columns = [
-                _signed(np.append(grams, texts)),
-                _check(np.append(np.zeros(len(grams), np.uint64), check[one] | np.uint64(1 << 32))),
-                pa.array(np.full(len(grams) + len(texts), blocks[i])),
-                pa.array(np.append(times, copies).astype(np.int32)),
-                pa.array(np.append(np.full(len(grams), -1), blocks[i] << WORDS | place[one].astype(np.int64))),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SEEDS.split(", ")])
+            if texts and block != blocks[i]:
+                yield row()
+                texts = []
+            block = blocks[i]
+            texts.append(batch.column(column).slice(i, j - i))
+    if texts:
+        yield row()
+
+
+class _Groups:
+    """Rows sorted by a key, in batches, as whole groups of equal keys."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], keys: list[str]):
+        self.batches, self.keys = batches, keys
+
+    def __iter__(self) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+        """Columns of some rows, and where each group starts; a group is never cut."""
+        held: list[dict[str, np.ndarray]] = []
+        for batch in self.batches:
+            if not batch.num_rows:
+                continue
+            rows = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+            new = np.zeros(batch.num_rows, bool)
+            for k in self.keys:
+                new[1:] |= rows[k][1:] != rows[k][:-1]
+                new[0] |= bool(held) and rows[k][0] != held[-1][k][-1]
+            if not new.any():
+                held.append(rows)
+                continue
+            cut = int(np.flatnonzero(new)[-1])
+            held.append({c: v[:cut] for c, v in rows.items()})
+            yield self._joined(held)
+            held = [{c: v[cut:] for c, v in rows.items()}]
+        if held:
+            yield self._joined(held)
+
+    def _joined(self, held: list[dict[str, np.ndarray]]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        rows = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+        n = len(rows[self.keys[0]])
+        new = np.ones(n, bool)
+        if n > 1:
+            new[1:] = np.logical_or.reduce([rows[k][1:] != rows[k][:-1] for k in self.keys])
+        return rows, np.flatnonzero(new)
+
+
+def _places(rows: dict[str, np.ndarray], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first and last place of each group over all its blocks, and the group of each row."""
+    base = rows["block"] << WORDS
+    first = np.minimum.reduceat(base | rows["places"] >> WORDS, starts)
+    last = np.maximum.reduceat(base | rows["places"] & _PLACE, starts)
+    return first, last, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(base))))
+
+
+#: kind 0: a run found elsewhere; 1: an open run; 2: a window found elsewhere.
+ANSWERS = "hash long, check int, block long, kind int, first long, last long"
+_NAMES = [c.split()[0] for c in ANSWERS.split(", ")]
+
+
+def _answers(hashes, check, block, kind, first, last) -> pa.RecordBatch:
+    columns = [hashes, check.astype(np.int32), block, np.full(len(block), kind, np.int32), first, last]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _NAMES)
+
+
+def _meet_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From runs sorted by gram and hull: hulls that stand at two places, for all their blocks, and open hulls, for one."""
+    gram, pending = None, None  # the last gram, with its only hull so far
+
+    def opened(block: np.ndarray, hull: np.ndarray) -> pa.RecordBatch:
+        none = np.zeros(len(block), np.int64)
+        return _answers(hull, none, block, 1, none, none)
+
+    for rows, starts in _Groups(batches, ["gram", "hull"]):
+        first, last, group = _places(rows, starts)
+        met = (first != last)[group]
+        if met.any():
+            hull, block = rows["hull"][met], rows["block"][met]
+            yield _answers(hull, np.zeros(len(hull)), block, 0, first[group][met], last[group][met])
+        grams, blocks, hulls = (rows[c][starts] for c in ("gram", "block", "hull"))
+        same = np.zeros(len(starts), bool)
+        same[1:] = grams[1:] == grams[:-1]
+        same[0] = gram is not None and grams[0] == gram
+        several = same.copy()
+        several[:-1] |= same[1:]
+        if same[0] and pending is not None:
+            yield opened(*(np.array([x]) for x in pending))
+        if several.any():
+            yield opened(blocks[several], hulls[several])
+        gram = grams[-1]
+        pending = None if several[-1] else (blocks[-1], hulls[-1])
 
 
 class _Answers:
-    """What Spark returned to a block, by hash."""
-
-    def __init__(self, rows: pa.Table):
-        columns = {c: rows[c].to_numpy() for c in rows.column_names}
-        order = np.argsort(columns["hash"].view(np.uint64), kind="stable")
-        self.columns = {c: v[order] for c, v in columns.items()}
-        self.columns["hash"] = self.columns["hash"].view(np.uint64)
-
-    def only(self, some: np.ndarray) -> _Answers:
-        made = object.__new__(_Answers)
-        made.columns = {c: v[some] for c, v in self.columns.items()}
-        return made
-
-    def find(self, hashes: np.ndarray, check: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Which hashes are answered, and their rows."""
-        known = self.columns["hash"]
-        if not len(known):
+    """What a block was told, of one kind, by hash."""
+
+    def __init__(self, table: pa.Table, kind: int):
+        some = table["kind"].to_numpy() == kind
+        self.hash = table["hash"].to_numpy()[some].view(np.uint64)
+        order = np.argsort(self.hash, kind="stable")
+        self.hash = self.hash[order]
+        self.check, self.first, self.last = (table[c].to_numpy()[some][order] for c in ("check", "first", "last"))
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are known, and their rows."""
+        if not len(self.hash):
             return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        found = known[at] == hashes
-        return (found if check is None else found & (self.columns["check"][at] == check.to_numpy())), at
+        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        return self.hash[at] == hashes, at
 
 
-def _copies(words: Words, answers: _Answers, window: int, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first place of each text that stands in several places, else -1, and whether it is this one."""
-    whole, check = words.wholes()
-    wholes = answers.columns["first"] >= 0
-    if "last" in answers.columns:
-        wholes &= answers.columns["last"] < 0
-    wholes = answers.only(wholes)
-    found, at = wholes.find(whole, _check(check | np.uint64(1 << 32)))
-    found &= words.sizes >= window
-    first = np.full(len(whole), -1)
-    first[found] = wholes.columns["first"][at[found]]
-    return first, first == (block << WORDS | np.arange(len(whole)))
+WINDOWS = "hash long, check int, block long, places long"
 
 
-INDEX = "hash long, check int, block long, n int, first long, last long"
+def _each(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of some runs, and their distance from the run's first."""
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(first, count) + step, step
 
 
 def _rows(table: pa.Table) -> pa.Table:
     return table.sort_by("place").combine_chunks()
 
 
-def _index(texts: pa.Table, answers: pa.Table, column: str, window: int, gram: int) -> pa.Table:
-    """A block's windows with a repeated anchor, of texts that are the first of their copies."""
-    names = [c.split()[0] for c in INDEX.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+def _windows(texts: pa.Table, answers: pa.Table, column: str, window: int, gram: int) -> pa.Table:
+    """The windows of a block's open runs."""
+    names = [c.split()[0] for c in WINDOWS.split(", ")]
     if not texts.num_rows or not answers.num_rows:
-        return pa.table([pa.array([], t) for t in types], names)
-    texts, block = _rows(texts), texts["block"][0].as_py()
-    words, answers = Words(texts[column]), _Answers(answers)
-    least, _ = words.anchors(window, gram)
-    first, own = _copies(words, answers, window, block)
-    asked = words.windows(window) & np.repeat((first < 0) | own, words.sizes)[: len(least)]
-    asked[asked] = answers.only(answers.columns["first"] < 0).find(least[asked])[0]
-    at = np.flatnonzero(asked)
+        return pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())], names)
+    words, block = Words(_rows(texts)[column]), texts["block"][0].as_py()
+    first, count, _, hulls = words.runs(window, gram)
+    _, one = np.unique(hulls, return_index=True)  # one run of each hull
+    one = np.sort(one)
+    one = one[_Answers(answers, 1).find(hulls[one])[0]]
+    at, _ = _each(first[one], count[one])
     hashes, check = words.spans(at, at + window), words.spans(at, at + window, 1)
-    hashed, one, n = np.unique(hashes, return_index=True, return_counts=True)
-    last = len(at) - 1 - np.unique(hashes[::-1], return_index=True)[1]
-    place = at.astype(np.int64) | block << WORDS
-    columns = [
-        _signed(hashed), _check(check[one]), np.full(len(one), block), n.astype(np.int32), place[one], place[last],
-    ]
-    return pa.table([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
+    hashed, one, places = _first_and_last(hashes, at)
+    return pa.table([_signed(hashed), _check(check[one]), pa.array(np.full(len(one), block)), pa.array(places)], names)
+
+
+def _meet_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From windows sorted by hash: those that stand at two places, for all their blocks."""
+    for rows, starts in _Groups(batches, ["hash", "check"]):
+        first, last, group = _places(rows, starts)
+        met = (first != last)[group]
+        if met.any():
+            columns = (rows[c][met] for c in ("hash", "check", "block"))
+            yield _answers(*columns, 2, first[group][met], last[group][met])
 
 
 def _going_on(refs: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -248,42 +329,39 @@ FACTOR = S.ArrayType(
 _FACTOR = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "stop", "block", "at")]))
 
 
-def _factors(texts: pa.Table, answers: pa.Table, column: str, window: int) -> pa.Table:
-    """The rows of a block with their factors: words from start to stop, from word ``at`` of ``block`` on (null: whole texts)."""
+def _factors(texts: pa.Table, answers: pa.Table, column: str, window: int, gram: int) -> pa.Table:
+    """The rows of a block with their factors."""
     if not texts.num_rows:
         return texts.append_column("factors", pa.array([], _FACTOR)).drop_columns(["block", "place"])
     texts, block = _rows(texts), texts["block"][0].as_py()
     found: list[list[dict]] = [[] for _ in range(texts.num_rows)]
     if answers.num_rows:
-        words, answers = Words(texts[column]), _Answers(answers)
-        first, _ = _copies(words, answers, window, block)
-        for d in np.flatnonzero(first >= 0):
-            found[d] = [{"start": 0, "stop": int(words.sizes[d]), "block": int(first[d]) >> WORDS, "at": None}]
-        at = np.flatnonzero(words.windows(window) & np.repeat(first < 0, words.sizes)[: max(0, len(words.hashed) - window + 1)])
-        windows = answers.only(answers.columns["last"] >= 0)
-        hit, row = windows.find(words.spans(at, at + window), _check(words.spans(at, at + window, 1)))
-        at, row = at[hit], row[hit]
-        doc = np.searchsorted(words.first, at, side="right") - 1
+        words, met, windows = Words(texts[column]), _Answers(answers, 0), _Answers(answers, 2)
+        first, count, _, hulls = words.runs(window, gram)
+        known, row = met.find(hulls)
+        at, step = _each(first[known], count[known])
+        ahead = np.repeat(row[known], count[known])
+        alone, _ = _each(first[~known], count[~known])
+        hit, row = windows.find(words.spans(alone, alone + window))
+        hit &= windows.check[row] == _check(words.spans(alone, alone + window, 1)).to_numpy() if len(windows.hash) else False
+        at = np.append(at, alone[hit])
+        order = np.argsort(at)
+        at = at[order]
+        refs = [
+            np.append(getattr(met, side)[ahead] + step, getattr(windows, side)[row[hit]])[order] for side in ("first", "last")
+        ]
         own = at.astype(np.int64) | block << WORDS
+        doc = np.searchsorted(words.first, at, side="right") - 1
         for d in np.unique(doc):
             some = slice(*np.searchsorted(doc, [d, d + 1]))
-            references = (windows.columns[c][row[some]] for c in ("first", "last"))
             begin = int(words.first[d])
             found[d] = [
                 {"start": i - begin, "stop": i - begin + n - 1 + window, "block": ref >> WORDS, "at": ref & _PLACE}
-                for i, n, ref in parse(at[some], *references, own[some])
+                for i, n, ref in parse(at[some], refs[0][some], refs[1][some], own[some])
             ]
     return texts.append_column("factors", pa.array(found, _FACTOR)).drop_columns(["block", "place"])
 
 
-def _returned(asked: DataFrame, n: int, *kept: str) -> DataFrame:
-    """What blocks asked for and is found ``n`` times over all, with the first and last places of all."""
-    key = ["hash", "check"]
-    least = [F.min("first").alias("first"), *([F.max("last").alias("last")] if "last" in kept else [])]
-    found = asked.groupBy(*key).agg(F.sum("n").alias("n"), *least).filter(F.col("n") >= n).drop("n")
-    return asked.select(*key, "block").join(found, key).select(*key, "block", *kept)
-
-
 def with_factors(
     docs: DataFrame, window: int = 35, text: str = "text", factors: str = "factors", gram: int | None = None,
     block: int = BLOCK,
@@ -291,29 +369,30 @@ def with_factors(
     """The rows of ``docs`` with the column ``factors``, whose name none of theirs may have.
 
     factors: array of (start, stop, block, at), in order: words start to stop - 1 are those from word ``at`` of reference
-    block ``block`` on; at is null for a text that stands in the block with all its words.  They may overlap.
+    block ``block`` on.  They may overlap.
 
-    A null or short text has none; a text that occurs twice, with a window or more, is one factor.  Repeated rows are
-    repeated texts; other columns are kept and not looked at.  No rows give no rows.  Blocks are numbered anew by each call.
+    A null or short text has none.  Repeated rows are repeated texts; other columns are kept and not looked at.  No rows
+    give no rows.  Blocks are numbered anew by each call.
     """
-    gram = gram or max(1, window // 2 - 1)
+    gram = gram or max(1, window // 3)
     names = {f"c{i}": c for i, c in enumerate(docs.columns)}  # so that no name can clash
     safe = {c: n for n, c in names.items()}[text]
     docs = docs.select(*(F.col(f"`{c}`").alias(n) for n, c in names.items()))
     numbers = [S.StructField("block", S.LongType()), S.StructField("place", S.IntegerType())]
     schema = S.StructType([*docs.schema.fields, *numbers])
     blocks = stage(docs.mapInArrow(partial(_numbered, column=safe, size=block), schema), "blocks")
-    seeds = blocks.select(safe, "block", "place").mapInArrow(partial(_seeds, column=safe, window=window, gram=gram), SEEDS)
-    seeds = stage(_returned(stage(seeds, "seeds"), 2, "first"), "repeated-seeds")
+    runs = blocks.select(safe, "block").mapInArrow(partial(_runs, column=safe, window=window, gram=gram), RUNS)
+    runs = runs.repartition("gram").sortWithinPartitions("gram", "hull")
+    told = stage(runs.mapInArrow(_meet_runs, ANSWERS), "run-answers")
     texts = blocks.select(safe, "block", "place").groupBy("block")
-    index = texts.cogroup(seeds.groupBy("block")).applyInArrow(
-        lambda t, a: _index(t, a, safe, window, gram), INDEX
+    found = texts.cogroup(told.filter("kind = 1").groupBy("block")).applyInArrow(
+        lambda t, a: _windows(t, a, safe, window, gram), WINDOWS
     )
-    index = _returned(stage(index, "index"), 2, "first", "last")
-    answers = index.unionByName(seeds.filter("first >= 0").withColumn("last", F.lit(-1).cast("bigint")))
+    found = found.repartition("hash").sortWithinPartitions("hash", "check")
+    found = stage(found.mapInArrow(_meet_windows, ANSWERS), "window-answers")
     schema = S.StructType([*docs.schema.fields, S.StructField("factors", FACTOR)])
-    found = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        lambda t, a: _factors(t, a, safe, window), schema
+    found = blocks.groupBy("block").cogroup(told.filter("kind = 0").unionByName(found).groupBy("block")).applyInArrow(
+        lambda t, a: _factors(t, a, safe, window, gram), schema
     )
     return found.select(*(F.col(n).alias(c) for n, c in names.items()), F.col("factors").alias(factors))
 

@@ -78,9 +78,8 @@ def test_factors_point_at_equal_words(spark):
         words = (text or "").split()
         for f in found[d]:
             assert f["stop"] - f["start"] >= 35
-            if f["at"] is not None:
-                assert words[f["start"] : f["stop"]] == in_block[f["at"] : f["at"] + f["stop"] - f["start"]]
-                pointed += 1
+            assert words[f["start"] : f["stop"]] == in_block[f["at"] : f["at"] + f["stop"] - f["start"]]
+            pointed += 1
     assert pointed > 20
 
 
@@ -90,9 +89,9 @@ def test_a_passage_in_many_texts_asks_once_per_block(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     texts = [f"{passage} {rng.random()}" for _ in range(400)] + [passage] * 400
     docs = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], DOCS).coalesce(1)
-    words = pa.table({"text": texts, "block": np.zeros(800, np.int64), "place": np.arange(800, dtype=np.int32)})
-    seeds = pa.Table.from_batches(relative._seeds(iter(words.to_batches()), "text", 35, 16))
-    assert seeds.num_rows < 450  # a whole text of each kind, a few anchors
+    table = pa.table({"text": texts, "block": np.zeros(800, np.int64)})
+    runs = pa.Table.from_batches(relative._runs(iter(table.to_batches(max_chunksize=100)), "text", 35, 11))
+    assert runs.num_rows < 900  # those of the passage once, and one or two at the end of each text
     out = relative.digests(docs).collect()
     assert all(r["n_removed"] == 60 for r in out)
 
