@@ -12,13 +12,14 @@ import os
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracles  # noqa: E402
 from stmtlog.functions import extract as X  # noqa: E402
+from stmtlog.functions import tokens as T  # noqa: E402
 from stmtlog.operators import facts as K  # noqa: E402
 from stmtlog.operators import insights, labels, monitor, profiles, remediation  # noqa: E402
 from stmtlog.operators import rules as R  # noqa: E402
@@ -144,6 +145,22 @@ def real_table_names(spark, folder):
     return _joined(_upper(spark, folder).select("sql_id", X.real_table_names(F.col("u")).alias("tables")), "tables")
 
 
+def walked_table_names(spark, folder):
+    """Tables by the walk over tokens, of each statement behind a comment and before strings that say FROM."""
+    walked = T.walk(F.upper(_odd_text("sql_fulltext")))
+    found = events_log(spark, folder).select("sql_id", walked.alias("walked"))
+    return _joined(found.select("sql_id", F.array_sort("walked.tables").alias("tables"), "walked.operation"), "tables")
+
+
+def _odd_text(text: str) -> Column:
+    return F.concat(F.lit("/* update notes */ "), F.col(text), F.lit(" -- from nowhere\n, 'from x', \"Own\".later"))
+
+
+def walked_table_operations(spark, folder):
+    facts = K.statement_facts(_log(spark, folder), [K.USAGE], names="tokens")
+    return schema.table_operations(facts, by="operation")
+
+
 def integrity_sequences(spark, folder):
     return _joined(_sequences(spark, folder), "tables").select(
         "sequence_id", "check_sql", "fix_sql", "check_pattern", "fix_pattern", "tables", "issue_type", "confidence",
@@ -290,6 +307,8 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "insert_columns": _pieces(X.insert_columns),
         "relationship_edges": _pieces(X.relationship_edges),
         "real_table_names": real_table_names,
+        "walked_table_names": walked_table_names,
+        "walked_table_operations": walked_table_operations,
         "table_columns": lambda s, d: profiles.table_columns(_facts(s, d, K.COLUMN)),
         "related_tables": lambda s, d: profiles.related_tables(_facts(s, d, K.RELATED)),
         "join_columns": lambda s, d: profiles.join_columns(_facts(s, d, K.JOIN_COLUMN)),

@@ -172,7 +172,7 @@ _TIME = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
 
 def _dense(select: str, ctes: str = "") -> str:
-    return f"WITH {log_ctes()}{ctes}\n{select}"
+    return f"WITH RECURSIVE {log_ctes()}{ctes}\n{select}"
 
 
 def _real(select: str) -> str:
@@ -215,6 +215,38 @@ PARTS = r""",
         regexp_extract_all(u, '(?:FROM|JOIN|INTO|UPDATE|TABLE)\s+((?:\w+\.)*\w+)', 1),
         lambda x: string_split(x, '.')[-1]))) AS names FROM labelled)"""
 
+def _walk(text: str) -> str:
+    """Tables and operation of each different text, one token at a time."""
+    part = r"""(?:\w+|"[^"]*"?|`[^`]*`?)"""
+    token = rf"""'[^']*'?|--[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/|/\*(?s:.*)|{part}(?:\s*\.\s*{part})*|[^\s]"""
+    keywords, passed, ends, operations = (
+        f"[{', '.join(map(_q, words))}]" for words in (P.REAL_NAME_KEYWORDS, P.PASSED_OVER, P.LIST_ENDS, P.OPERATIONS)
+    )
+    return rf""",
+    different AS (SELECT DISTINCT {text} AS v FROM folded),
+    lexed AS (
+      SELECT v, list_filter(regexp_extract_all(v, {_q(token)}), lambda x: NOT starts_with(x, '--') AND NOT starts_with(x, '/*')) AS l
+      FROM different),
+    walk AS (
+      SELECT v, l, 0 AS i, 0 AS depth, false AS want, false AS listing, CAST(NULL AS VARCHAR) AS operation, CAST([] AS VARCHAR[]) AS names
+      FROM lexed
+      UNION ALL
+      SELECT v, l, i + 1, CASE x WHEN '(' THEN depth + 1 WHEN ')' THEN greatest(depth - 1, 0) ELSE depth END,
+             CASE WHEN x = '(' THEN want AND depth > 0 WHEN depth > 0 OR x = ')' THEN want WHEN x IN {keywords} THEN true
+                  WHEN x = ',' THEN listing ELSE want AND x IN {passed} END,
+             CASE WHEN taken THEN true WHEN depth = 0 AND (x IN {ends} OR x = ';') THEN false ELSE listing END,
+             CASE WHEN operation IS NULL AND depth = 0 AND x IN {operations} THEN x ELSE operation END,
+             CASE WHEN taken THEN list_append(names, replace(regexp_extract(x, {_q("^(?:" + part + chr(92) + "s*[.]" + chr(92) + "s*)*(" + part + ")$")}, 1), '"', '')) ELSE names END
+      FROM (
+        SELECT *, l[i + 1] AS x, want AND depth = 0 AND l[i + 1] NOT IN {keywords} AND l[i + 1] NOT IN {ends}
+               AND l[i + 1] NOT IN {passed} AND regexp_matches(l[i + 1], '^[A-Z_"`]') AS taken
+        FROM walk WHERE i < len(l))),
+    walked AS (
+      SELECT v, list_sort(list_distinct(names)) AS names, coalesce(operation, 'OTHER') AS operation FROM walk WHERE i = len(l))"""
+
+
+_ODD = "upper('/* update notes */ ' || sql_fulltext || ' -- from nowhere' || chr(10) || ', ''from x'', \"Own\".later')"
+
 _PER_SCHEMA = PARTS + SCHEMA
 _LIST_NAME = _case([(f"list = {i}", _q(v[0])) for i, v in PLAN_LISTS.items()], "''")
 
@@ -269,6 +301,14 @@ def oracle_sql() -> dict[str, str]:
             "SELECT DISTINCT sql_id, table_name, column_name, other_table, other_column FROM statement_edges", PARTS
         ),
         "real_table_names": _dense("SELECT sql_id, array_to_string(names, ',') AS tables FROM real_names", PARTS),
+        "walked_table_names": _dense(
+            f"SELECT sql_id, array_to_string(names, ',') AS tables, w.operation FROM folded JOIN walked w ON v = {_ODD}", _walk(_ODD)
+        ),
+        "walked_table_operations": _dense(
+            """SELECT table_name, operation AS operation_type, count(*) AS n
+               FROM (SELECT w.operation, unnest(names) AS table_name FROM folded JOIN walked w ON v = u) GROUP BY ALL""",
+            _walk("u"),
+        ),
         "table_columns": _dense("SELECT DISTINCT t AS table_name, c AS column_name FROM used_columns", PER_TABLE),
         "related_tables": _dense("SELECT DISTINCT t AS table_name, r AS related_table FROM used_related", PER_TABLE),
         "join_columns": _dense(

@@ -16,28 +16,18 @@ from stmtlog.functions.regex import UNICODE, Classes
 _NO_STRINGS = "array<string>"
 
 
-def _all(text: Column, regex, group: int) -> Column:
-    pattern = F.lit(regex) if isinstance(regex, str) else regex
-    return F.regexp_extract_all(text, pattern, F.lit(group))
+def _all(text: Column, regex: str, group: int) -> Column:
+    return F.regexp_extract_all(text, F.lit(regex), F.lit(group))
 
 
 def _equals(classes: Classes) -> str:
     return f"{classes.space}*+={classes.space}*+"
 
 
-def _qualifies(upper: Column, table: Column) -> Column:
-    """Is there a ``TABLE.`` at all?  Asked before a regex is made for the table."""
-    return F.contains(upper, F.concat(table, F.lit(".")))
-
-
 def _empty() -> Column:
     return F.array().cast(_NO_STRINGS)
 
 
-def _non_blank(values: Column) -> Column:
-    return F.filter(values, lambda v: v != "")
-
-
 def statement_tables(upper: Column, strict: bool = False, classes: Classes = UNICODE) -> Column:
     r"""Sorted distinct words after FROM, JOIN, INTO and UPDATE (``FROM\s+(\w+)`` and so on).
 
@@ -73,48 +63,162 @@ def operation(upper: Column) -> Column:
     return chain.otherwise("OTHER")
 
 
-def columns_of_table(upper: Column, table: Column, classes: Classes = UNICODE) -> Column:
-    r"""Distinct words after ``TABLE.`` (``TABLE\.(\w+)``); any word ending in TABLE counts."""
-    regex = F.concat(table, F.lit(rf"\.({classes.word}++)"))
-    return F.when(_qualifies(upper, table), F.array_distinct(_all(upper, regex, 1))).otherwise(_empty())
+# Tables' columns and partners come from three scans with fixed patterns; what belongs to one table is then found by
+# comparing names.  The comparisons take the words in the order, and use them up, as a scan for that table would.
 
 
-def related_tables(upper: Column, table: Column, classes: Classes = UNICODE) -> Column:
-    r"""Distinct tables joined to one table.
+def dotted_chains(upper: Column, classes: Classes = UNICODE) -> Column:
+    """The names joined by dots as arrays of their parts: ``two`` of two parts, ``more`` of more."""
+    chains = _all(upper, rf"{classes.word_start}{classes.word}++(?:\.{classes.word}++)++", 0)
+    return _once(F.transform(F.array_distinct(chains), lambda c: F.split(c, r"\.")), F.contains(upper, F.lit(".")), 2)
 
-    ``T\s+\w*\s*JOIN\s+(\w+)|(\w+)\s+\w*\s*JOIN\s+T``: one optional word between table and
-    JOIN, aliases included.  An unmatched group is blank in Spark and dropped.
-    """
-    # start of a word, or the place where the previous match of the same scan ended
-    begin = rf"(?:{classes.word_start}|\G)"
-    # whitespace, one optional word or word-part, JOIN: the two ways \w* can end
-    to_join = rf"{classes.space}++(?:{classes.word}++{classes.space}*+JOIN|{classes.word}*JOIN){classes.space}++"
-    regex = F.concat(
-        table, F.lit(rf"{to_join}({classes.word}++)|{begin}({classes.word}++){to_join}"), table
+
+def equations(upper: Column, classes: Classes = UNICODE) -> Column:
+    """Names joined by dots with equality signs between them, as arrays of arrays of parts: ``two`` of four names, ``more``."""
+    chain = rf"{classes.word}++(?:\.{classes.word}++)*+"
+    equals = _equals(classes)
+    found = _all(upper, rf"{classes.word_start}{chain}(?:{equals}{chain})++", 0)
+    parted = F.transform(
+        F.filter(found, lambda e: F.contains(e, F.lit("."))),
+        lambda e: F.transform(F.split(e, equals.replace("*+", "*")), lambda c: F.split(c, r"\.")),
     )
-    return F.when(
-        F.contains(upper, F.lit("JOIN")),
-        F.array_distinct(F.concat(_non_blank(_all(upper, regex, 1)), _non_blank(_all(upper, regex, 2)))),
-    ).otherwise(_empty())
+    return _once(parted, F.contains(upper, F.lit("=")) & F.contains(upper, F.lit(".")), 2, 2)
 
 
-def join_columns(upper: Column, table: Column, classes: Classes = UNICODE) -> Column:
+def _once(items: Column, wanted: Column, *sizes: int) -> Column:
+    """struct(two, more): the items of the usual sizes and the others, looked at once for all tables."""
+
+    def usual(item):
+        test = F.size(item) == sizes[0]
+        return test if len(sizes) == 1 else test & (F.size(item[0]) == sizes[1]) & (F.size(item[1]) == sizes[1])
+
+    split = F.transform(
+        F.array(items), lambda i: F.struct(F.filter(i, usual).alias("two"), F.filter(i, lambda x: ~usual(x)).alias("more"))
+    )
+    return F.when(wanted, split[0])
+
+
+def join_sites(upper: Column, classes: Classes = UNICODE) -> Column:
+    """For each stretch of words with nothing but white space between them: the words that a JOIN follows, directly or after
+    one more word, as struct(i, word, far, near, joined, at); i: number of the word, far and near: the word behind the JOIN,
+    joined: the one of them that counts for the word itself, at: its number."""
+    word, space = classes.word, classes.space
+    phrases = F.filter(
+        _all(upper, rf"{classes.word_start}{word}++(?:{space}++{word}++)++", 0), lambda p: F.contains(p, F.lit("JOIN"))
+    )
+
+    def sites(words):
+        each = F.transform(
+            words,
+            lambda w, i: F.struct(
+                i.alias("i"), w.alias("word"),
+                F.when(F.get(words, i + 2) == "JOIN", F.get(words, i + 3)).alias("far"),
+                F.when(F.endswith(F.get(words, i + 1), F.lit("JOIN")), F.get(words, i + 2)).alias("near"),
+            ),
+        )
+        return F.transform(
+            F.filter(each, lambda s: s["far"].isNotNull() | s["near"].isNotNull()),
+            lambda s: F.struct(
+                s["i"].alias("i"), s["word"].alias("word"), s["far"].alias("far"), s["near"].alias("near"),
+                F.coalesce(s["far"], s["near"]).alias("joined"),
+                F.when(s["far"].isNotNull(), s["i"] + 3).otherwise(s["i"] + 2).alias("at"),
+            ),
+        )
+
+    found = F.transform(F.transform(phrases, lambda p: F.split(p, f"{space}+")), sites)
+    return F.when(F.contains(upper, F.lit("JOIN")), found)
+
+
+def _folded(items: Column, merge, result: str, **state: Column) -> Column:
+    first = F.struct(*[v.alias(k) for k, v in state.items()])
+    return F.aggregate(items, first, merge, lambda acc: acc[result])
+
+
+def _each(items: Column, read) -> Column:
+    return F.coalesce(F.flatten(F.transform(items, read)), _empty())
+
+
+def columns_in(chains: Column, table: Column) -> Column:
+    r"""Distinct words after ``TABLE.`` (``TABLE\.(\w+)``); any word ending in TABLE counts."""
+
+    def merge(acc, part):
+        after = acc["after"]
+        return F.struct(
+            (~after & F.endswith(part, table)).alias("after"),
+            F.when(after, F.array_append(acc["found"], part)).otherwise(acc["found"]).alias("found"),
+        )
+
+    two = F.transform(F.filter(chains["two"], lambda c: F.endswith(c[0], table)), lambda c: c[1])
+    more = _each(chains["more"], lambda c: _folded(c, merge, "found", after=F.lit(False), found=_empty()))
+    return F.array_distinct(F.coalesce(F.concat(two, more), _empty()))
+
+
+def join_columns_in(equations: Column, table: Column) -> Column:
     r"""Columns of one table on either side of an equality, duplicates kept.
 
     ``T\.(\w+)\s*=\s*\w+\.\w+|\w+\.\w+\s*=\s*T\.(\w+)``
     """
-    equals = _equals(classes)
-    qualified = rf"{classes.word}++\.{classes.word}++"
-    regex = F.concat(
-        table,
-        F.lit(rf"\.({classes.word}++){equals}{qualified}|{classes.word_start}{qualified}{equals}"),
-        table,
-        F.lit(rf"\.({classes.word}++)"),
-    )
-    return F.when(
-        F.contains(upper, F.lit("=")) & _qualifies(upper, table),
-        F.concat(_non_blank(_all(upper, regex, 1)), _non_blank(_all(upper, regex, 2))),
-    ).otherwise(_empty())
+
+    def column_of(owner, column, right):
+        return F.when(owner == table, column).when(right[0] == table, right[1]).when(F.endswith(owner, table), column)
+
+    def merge(acc, right):
+        left = acc["left"]
+        whole = acc["free"] & (F.size(left) > 1) & (F.size(right) > 1)
+        column = F.when(whole, column_of(F.element_at(left, -2), F.element_at(left, -1), right))
+        return F.struct(
+            right.alias("left"),
+            # a match uses up the first two parts of its right side
+            (column.isNull() | (F.size(right) > 3)).alias("free"),
+            F.when(column.isNotNull(), F.array_append(acc["found"], column)).otherwise(acc["found"]).alias("found"),
+        )
+
+    none = F.array(F.lit("")).cast(_NO_STRINGS)
+    two = F.filter(F.transform(equations["two"], lambda e: column_of(e[0][0], e[0][1], e[1])), lambda c: c.isNotNull())
+    more = _each(equations["more"], lambda e: _folded(e, merge, "found", left=none, free=F.lit(False), found=_empty()))
+    return F.coalesce(F.concat(two, more), _empty())
+
+
+def related_in(sites: Column, table: Column) -> Column:
+    r"""Distinct tables joined to one table.
+
+    ``T\s+\w*\s*JOIN\s+(\w+)|(\w+)\s+\w*\s*JOIN\s+T``: one optional word between table and JOIN, aliases included.
+    """
+
+    def merge(acc, site):
+        i = site["i"]
+        word = F.when((i == acc["next"]) & acc["rest"].isNotNull(), acc["rest"]).otherwise(site["word"])
+
+        def state(following, rest, found):
+            return F.struct(following.alias("next"), rest.alias("rest"), F.array_append(acc["found"], found).alias("found"))
+
+        def after(name):
+            return F.substring(name, F.length(table) + 1, F.length(name))
+
+        to_joined = state(site["at"] + 1, F.lit(None).cast("string"), site["joined"])
+        return (
+            F.when(i < acc["next"], acc)
+            .when(word == table, to_joined)
+            .when((word != "") & F.startswith(site["far"], table), state(i + 3, after(site["far"]), word))
+            .when((word != "") & F.startswith(site["near"], table), state(i + 2, after(site["near"]), word))
+            .when(F.endswith(word, table), to_joined)
+            .otherwise(acc)
+        )
+
+    zero = {"next": F.lit(0), "rest": F.lit(None).cast("string"), "found": _empty()}
+    return F.array_distinct(_each(sites, lambda s: _folded(s, merge, "found", **zero)))
+
+
+def columns_of_table(upper: Column, table: Column, classes: Classes = UNICODE) -> Column:
+    return columns_in(dotted_chains(upper, classes), table)
+
+
+def related_tables(upper: Column, table: Column, classes: Classes = UNICODE) -> Column:
+    return related_in(join_sites(upper, classes), table)
+
+
+def join_columns(upper: Column, table: Column, classes: Classes = UNICODE) -> Column:
+    return join_columns_in(equations(upper, classes), table)
 
 
 def qualified_columns(upper: Column, classes: Classes = UNICODE) -> Column:

@@ -48,6 +48,14 @@ REAL_NAME_KEYWORDS = ["FROM", "JOIN", "INTO", "UPDATE", "TABLE"]
 NOT_A_TABLE = ["SELECT", "SET", "VALUES"]
 OPERATIONS = ["SELECT", "INSERT", "UPDATE", "DELETE", "MERGE"]
 
+# Words that the walk over tokens never takes for a table: those it passes over between keyword and name, and those that
+# end a list of tables.
+PASSED_OVER = ["IF", "NOT", "EXISTS", "ONLY"]
+LIST_ENDS = [
+    "SELECT", "SET", "VALUES", "WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", "OFFSET", "FETCH", "UNION", "INTERSECT", "EXCEPT",
+    "MINUS", "WHEN", "RETURNING", "WINDOW", "OF", "NOWAIT", "SKIP", "DEFAULT", "INSERT", "DELETE", "MERGE",
+]
+
 # ---- fixed values: issue type of a (check, fix) pair ------------------------------------
 ISSUE_TYPES = [
     ("duplicate_check", "duplicate_removal", "duplicate_records"),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stmtlog.functions import extract as X
+from stmtlog.functions import tokens as T
 from stmtlog.functions.regex import ASCII, UNICODE, Classes, is_ascii
 
 # kind: (a, b, c, d)
@@ -39,23 +40,40 @@ def _fact(kind: str, a: Column, b: Column, c: Column | None = None, d: Column |
     )
 
 
-def _per_table(kind: str, read, classes: Classes) -> Column:
+def _per_table(kind: str, scan, read) -> Column:
+    """The text is scanned once; the array of one element keeps the scan out of the loop over tables."""
     upper = F.col("_upper")
+    scanned = F.array(F.when(is_ascii(upper), scan(upper, ASCII)).otherwise(scan(upper, UNICODE)))
     return F.flatten(
-        F.transform("tables", lambda t: F.transform(read(upper, t, classes), lambda v: _fact(kind, t, v)))
+        F.flatten(
+            F.transform(
+                scanned, lambda s: F.transform("tables", lambda t: F.transform(read(s, t), lambda v: _fact(kind, t, v)))
+            )
+        )
     )
 
 
-def _rows(kind: str, classes: Classes) -> Column:
-    upper, operation, purpose = F.col("_upper"), F.col("operation"), F.col("purpose")
-    if kind == OPERATION:
-        return F.transform("tables", lambda t: _fact(kind, t, operation, purpose))
-    if kind == COLUMN:
-        return _per_table(kind, X.columns_of_table, classes)
-    if kind == RELATED:
-        return _per_table(kind, X.related_tables, classes)
-    if kind == JOIN_COLUMN:
-        return _per_table(kind, X.join_columns, classes)
+#: Kinds read for each table of a statement: the scan of its text, and what belongs to one table.
+_SCANS = {
+    COLUMN: (X.dotted_chains, X.columns_in),
+    RELATED: (X.join_sites, X.related_in),
+    JOIN_COLUMN: (X.equations, X.join_columns_in),
+}
+
+
+def _usage(names: str, classes: Classes) -> Column:
+    upper, purpose = F.col("_upper"), F.col("purpose")
+    if names == "words":
+        return F.transform(X.real_table_names(upper, classes), lambda t: _fact(USAGE, t, F.col("operation"), purpose))
+    if names == "tokens":
+        walked = F.array(T.walk(upper, classes))
+        each = F.transform(walked, lambda w: F.transform(w["tables"], lambda t: _fact(USAGE, t, w["operation"], purpose)))
+        return F.flatten(each)
+    raise ValueError("names is 'words' or 'tokens'")
+
+
+def _rows(kind: str, classes: Classes, names: str) -> Column:
+    upper = F.col("_upper")
     if kind == QUALIFIED:
         return F.transform(
             X.schema_columns(upper, classes), lambda p: _fact(kind, p["table_name"], p["column_name"])
@@ -66,25 +84,37 @@ def _rows(kind: str, classes: Classes) -> Column:
             lambda e: _fact(kind, e["table_name"], e["column_name"], e["other_table"], e["other_column"]),
         )
     if kind == USAGE:
-        return F.transform(X.real_table_names(upper, classes), lambda t: _fact(kind, t, operation, purpose))
+        return _usage(names, classes)
     raise ValueError(f"unknown kind of fact {kind!r}")
 
 
-def statement_facts(labelled: DataFrame, kinds: Iterable[str]) -> DataFrame:
+def statement_facts(labelled: DataFrame, kinds: Iterable[str], names: str = "words") -> DataFrame:
     """(kind, a, b, c, d, n) over all statements; only the asked kinds are extracted.
 
+    ``names`` says how USAGE finds tables and operations: by ``words`` after a keyword wherever they stand, or by a walk
+    over ``tokens``, for which strings, comments and what stands in brackets name none.
+
     ``inline_outer`` because for ``inline`` the optimizer infers a test for empty arrays, and pushing
     it down would have every text read twice.
     """
     kinds = list(kinds)
     empty = F.array().cast("array<struct<kind:string,a:string,b:string,c:string,d:string>>")
 
-    def facts(classes: Classes) -> Column:
-        return F.concat(*[F.coalesce(_rows(kind, classes), empty) for kind in kinds])
+    def rows(kind: str) -> Column:
+        if kind in _SCANS:
+            return _per_table(kind, *_SCANS[kind])
+        if kind == OPERATION:
+            return F.transform("tables", lambda t: _fact(kind, t, F.col("operation"), F.col("purpose")))
+        upper = F.col("_upper")
+        return F.when(is_ascii(upper), _rows(kind, ASCII, names)).otherwise(_rows(kind, UNICODE, names))
+
+    def facts(_: Column) -> Column:
+        """Within a lambda, so that all of it is no part of one generated method, too long for the JVM to compile."""
+        return F.concat(*[F.coalesce(rows(kind), empty) for kind in kinds])
 
     return (
         labelled.select(F.upper("sql_fulltext").alias("_upper"), "tables", "operation", "purpose")
-        .select(F.when(is_ascii(F.col("_upper")), facts(ASCII)).otherwise(facts(UNICODE)).alias("_facts"))
+        .select(F.flatten(F.transform(F.array(F.lit(0)), facts)).alias("_facts"))
         .select(F.inline_outer("_facts"))
         .filter(F.col("kind").isNotNull())
         .groupBy("kind", "a", "b", "c", "d")

@@ -37,23 +37,26 @@ def analyse(
     window_minutes: int = P.WINDOW_MINUTES,
     min_length: int | None = None,
     strict_tables: bool = False,
+    names: str = "words",
 ) -> Analysis:
     """Run the analysis.
 
+    ``names`` is how the schema finds tables, see facts.statement_facts.
+
     The log is read three times: for the counts per label, for the facts, and for the checks and
     fixes.  Labels are computed again each time, which costs less than a second copy of all
     texts; only with external labels to merge is the labelled log stored.
     """
     with staging_in(new_folder(log.sparkSession, "analysis")) as folder:
-        return _analyse(log, label_responses, rule_responses, window_minutes, min_length, strict_tables, folder)
+        return _analyse(log, label_responses, rule_responses, window_minutes, min_length, strict_tables, names, folder)
 
 
-def _analyse(log, label_responses, rule_responses, window_minutes, min_length, strict_tables, folder) -> Analysis:
+def _analyse(log, label_responses, rule_responses, window_minutes, min_length, strict_tables, names, folder) -> Analysis:
     labelled = labels.label_statements(log, strict_tables)
     if label_responses is not None:
         labelled = stage(labels.merge_labels(labelled, label_responses, min_length), "labelled")
     activity = stage(statistics.activity(labelled), "activity")
-    facts = stage(K.statement_facts(labelled, K.PROFILE_KINDS + K.SCHEMA_KINDS), "facts")
+    facts = stage(K.statement_facts(labelled, K.PROFILE_KINDS + K.SCHEMA_KINDS, names), "facts")
     folded = stage(
         sequences.fold_sequences(labelled, window_minutes, seen_in=activity, texts_from=log), "sequences"
     )

@@ -157,6 +157,32 @@ def test_extraction(spark, classes):
         assert {tuple(x) for x in r.edges or []} == want, text
 
 
+DENSE = ["ORD", "SUBORD", "ORDJOIN", "JOIN", "LEFTJOIN", "x", "ORDORD", "é", "1"]
+
+
+@pytest.mark.parametrize("glue", [[" ", " ", "\n", ".", ", "], [".", ".", " = ", "=", " "]])
+def test_names_of_one_table_in_dense_texts(spark, glue):
+    """Chains, equations and joins that overlap, so that what a match uses up decides the next."""
+    rng = random.Random(len(glue[0]) + ord(glue[3][0]))
+    texts = []
+    for _ in range(6000):
+        texts.append("".join(rng.choice(DENSE) + rng.choice(glue) for _ in range(rng.randint(2, 12))))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("u", F.upper("t"))
+    u, tables = F.col("u"), ["ORD", "ORDJOIN", "JOIN", "X"]
+    reads = [f(u, F.lit(t)) for t in tables for f in (X.columns_of_table, X.related_tables, X.join_columns)]
+    got = rows.select("i", F.array(*[F.array_sort(r) for r in reads]).alias("v")).collect()
+    for r in got:
+        text, want = texts[r.i].upper(), []
+        for t in tables:
+            related = re.findall(rf"{t}\s+\w*\s*JOIN\s+(\w+)|(\w+)\s+\w*\s*JOIN\s+{t}", text)
+            joined = re.findall(rf"{t}\.(\w+)\s*=\s*\w+\.\w+|\w+\.\w+\s*=\s*{t}\.(\w+)", text)
+            want += [
+                sorted(set(re.findall(rf"{t}\.(\w+)", text))), sorted({g for m in related for g in m if g}),
+                sorted(g for m in joined for g in m if g),
+            ]
+        assert r.v == want, text
+
+
 def test_long_texts_stay_linear(spark):
     """Texts on which the plain patterns backtrack for hours."""
     blob = "SELECT 1 FROM t WHERE c = '" + "abcdef0123" * 30000 + "'"
