@@ -25,8 +25,8 @@ from tokenizers import Tokenizer
 from stmtlog.llm import text as T
 from stmtlog.plans.stage import stage
 
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+#: Words whose ids a Python worker remembers; bytes of text encoded at a time.
+REMEMBERED, SLICE = 1_000_000, 4 << 20
 _KIND = np.zeros(256, np.uint8)  # 1: a letter, 2: punctuation but for the apostrophe, of ASCII
 _KIND[97:123] = 1
 _KIND[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 2
@@ -237,7 +237,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids b
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     """The pieces of all texts with their rank among those of the same length in this task."""
     task, ranks, end = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), np.array([END], "<u4").tobytes()
-    for part in T.slices(batches, "text"):
+    for part in T.slices(batches, "text", SLICE):
         ids = part.column("doc_id").to_pylist()
         rows: list[tuple] = []
         for doc_id, encoded in zip(ids, encode(part.column("text"), path), strict=True):
