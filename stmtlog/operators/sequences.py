@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stmtlog.functions import patterns as P
 from stmtlog.functions.values import floor_div, micros
 from stmtlog.operators.labels import CHECK, FIX
-from stmtlog.plans.stage import stage
+from stmtlog.plans.stage import stage, stage_numbered
 
 MINUTE, DAY = 60_000_000, 86_400_000_000
 
@@ -77,26 +77,58 @@ def _shared(left: Column, right: Column) -> Column:
 # ---- the pairs ----------------------------------------------------------------------------
 
 
+def _split(side: DataFrame, key: list[str], cell_rows: int) -> DataFrame:
+    """``side`` with the number of parts of its window and table set, one for every ``cell_rows`` rows, and a row's part.
+
+    Only window and table sets with more rows than that are joined, so that side stays small.
+    """
+    large = side.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > cell_rows)
+    parts = large.select(*key, F.ceil(F.col("n") / cell_rows).cast("int").alias("parts"))
+    parted = side.join(parts, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return parted.withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+
+
+def _cells(checks: DataFrame, fixes: DataFrame, window: list[str]) -> DataFrame:
+    """The cells of all windows, numbered: a part of the checks of one table set, and one of the fixes of a table set that
+    shares a table.  Each pair of statements belongs to one cell."""
+
+    def kinds(side: DataFrame, p: str) -> DataFrame:
+        kind = side.select(*window, f"{p}_tables_key", F.col("parts").alias(f"{p}_parts")).distinct()
+        return kind.withColumn("shared_table", F.explode(F.split(f"{p}_tables_key", ",")))
+
+    tables = _shared(F.col("check_tables_key"), F.col("fix_tables_key"))
+    met = kinds(checks, "check").join(kinds(fixes, "fix"), [*window, "shared_table"])
+    met = met.filter(F.col("shared_table") == tables[0]).select(
+        *window, "check_tables_key", "fix_tables_key", tables.alias("tables"), "fix_parts",
+        F.explode(F.sequence(F.lit(0), F.col("check_parts") - 1)).alias("check_part"),
+    )
+    met = met.withColumn("fix_part", F.explode(F.sequence(F.lit(0), F.col("fix_parts") - 1))).drop("fix_parts")
+    return stage_numbered(met, "cells", "cell")
+
+
 def check_fix_pairs(
     labelled: DataFrame,
     window_minutes: int = P.WINDOW_MINUTES,
     schemas: list[str] | None = None,
     since: str | None = None,
     until: str | None = None,
+    cell_rows: int = 1000,
 ) -> DataFrame:
-    """Pairs as rows: an equi-join on schema, window-wide bucket and shared table.
+    """Pairs as rows: an interval join in cells of at most about ``cell_rows`` checks and fixes each.
+
+    A check meets the fixes of its own bucket, as wide as the window, and of the next.  Table sets are matched first, so
+    two statements meet once however many tables they share.  A busy window is cut into parts by counts, and every part of
+    its checks meets every part of its fixes in a cell of their own: one hot schema, table and time is many tasks.
 
     The rows are as many as the pairs, so on a large log ask for some ``schemas`` and for checks with
-    since <= time < until; ``pair_counts`` tells how many there are.  A check meets the fixes of its own bucket and
-    of the next.  Two statements that share k tables meet k times, and only the first table's row stays.
+    since <= time < until; ``pair_counts`` tells how many there are.
     """
     width = window_minutes * MINUTE
     statements = integrity_statements(labelled)
     if schemas is not None:
         statements = statements.filter(F.col("parsing_schema_name").isin(schemas))
     bucket = floor_div(F.col("us"), width)
-    schema = "parsing_schema_name"
-    rest = ["sub_type", "sql_id", "confidence"]
+    window = ["parsing_schema_name", "bucket"]
 
     def side(check: bool, buckets: Column) -> DataFrame:
         p = "check_" if check else "fix_"
@@ -105,28 +137,31 @@ def check_fix_pairs(
             rows = rows.filter(F.col("us") >= micros(F.lit(since).cast("timestamp_ntz")))
         if check and until is not None:
             rows = rows.filter(F.col("us") < micros(F.lit(until).cast("timestamp_ntz")))
-        return rows.select(
-            schema, *[F.col(c).alias(p + c) for c in ("us", "tables_key", *rest)], F.explode(buckets).alias("bucket")
-        ).withColumn("shared_table", F.explode(F.split(p + "tables_key", ",")))
+        names = ("us", "tables_key", "sub_type", "sql_id", "confidence")
+        rows = rows.select("row", window[0], *[F.col(c).alias(p + c) for c in names], F.explode(buckets).alias("bucket"))
+        return _split(rows, [*window, f"{p}tables_key"], cell_rows)
+
+    checks, fixes = side(True, F.array(bucket, bucket + 1)), side(False, F.array(bucket))
+    cells = _cells(checks, fixes, window)
+
+    def dealt(rows: DataFrame, p: str, *more: str) -> DataFrame:
+        key = [*window, f"{p}_tables_key", f"{p}_part"]
+        named = rows.withColumnRenamed("part", f"{p}_part")
+        kept = [f"{p}_{c}" for c in ("us", "sub_type", "sql_id", "confidence")]
+        return named.join(cells, key).select("cell", *kept, *more)
 
-    checks = side(True, F.array(bucket, bucket + 1))
-    fixes = side(False, F.array(bucket))
-    tables = _shared(F.col("check_tables_key"), F.col("fix_tables_key"))
     return (
-        checks.join(fixes, [schema, "bucket", "shared_table"])
-        .filter(
-            (F.col("fix_us") > F.col("check_us"))
-            & (F.col("fix_us") <= F.col("check_us") + width)
-            & (F.col("shared_table") == tables[0])
-        )
+        dealt(checks, "check", window[0], "tables")
+        .join(dealt(fixes, "fix"), "cell")
+        .filter((F.col("fix_us") > F.col("check_us")) & (F.col("fix_us") <= F.col("check_us") + width))
         .select(
             F.concat_ws("_", "check_sql_id", "fix_sql_id").alias("sequence_id"),
-            schema,
+            window[0],
             "check_sql_id",
             "fix_sql_id",
             F.col("check_sub_type").alias("check_pattern"),
             F.col("fix_sub_type").alias("fix_pattern"),
-            tables.alias("tables"),
+            "tables",
             issue_type("check_sub_type", "fix_sub_type").alias("issue_type"),
             F.least("check_confidence", "fix_confidence").alias("confidence"),
             F.lit(1).alias("occurrence_count"),

@@ -109,6 +109,34 @@ def test_pairs_of_a_schema_and_a_time(spark):
     assert 0 < len(some) < len(every) and sorted(map(repr, some)) == sorted(map(repr, wanted))
 
 
+@pytest.mark.parametrize("cell_rows", [1, 7, 1000])
+def test_pairs_do_not_depend_on_the_cut(spark, cell_rows):
+    rows = [(f"u{i}", *r[1:]) for i, r in enumerate(random_log(11, 400, 400_000_000))]
+    pairs, _ = brute_force(rows, 300_000_000)
+    got = Q.check_fix_pairs(spark.createDataFrame(rows, SCHEMA), cell_rows=cell_rows).select("sequence_id", "tables").collect()
+    assert sorted((r[0], tuple(r[1])) for r in got) == sorted((p[0], p[3]) for p in pairs)
+
+
+def test_a_hot_window_is_many_tasks(spark):
+    """Half of the log in one window of one schema with one table set: no task makes many more pairs than others."""
+    def row(i):
+        hot = i % 2 == 0
+        time = START + timedelta(seconds=30, microseconds=i) if hot else START + timedelta(minutes=10 + i)
+        purpose = "integrity_check" if i % 4 < 2 else "integrity_fix"
+        return (f"u{i}", "t", "HOT" if hot else f"S{i % 5}", time, purpose, "a", 0.5, ["T", "U"] if hot else ["T"])
+
+    labelled = spark.createDataFrame([row(i) for i in range(4000)], SCHEMA)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        pairs = Q.check_fix_pairs(labelled, cell_rows=50).withColumn("task", F.spark_partition_id())
+        made = sorted(r["count"] for r in pairs.groupBy("task").count().collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(made) > 400_000 and len(made) == 8 and made[-1] <= 3 * made[4]
+
+
 def test_no_stage_of_the_fold_holds_texts(spark, monkeypatch):
     staged = []
     monkeypatch.setattr(Q, "stage", lambda data, name: staged.append(data.columns) or stage(data, name))
