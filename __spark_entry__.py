@@ -120,11 +120,26 @@ def _label_responses(labelled: DataFrame) -> DataFrame:
 
 
 def label_merge(spark, folder):
-    labelled = _log(spark, folder)
+    labelled = labels.store_labels(_log(spark, folder), texts=False)
     merged = labels.merge_labels(labelled, _label_responses(labelled))
     return _joined(merged.select("sql_id", "purpose", "sub_type", "confidence", "indicators"), "indicators")
 
 
+def form_label_requests(spark, folder):
+    """One request for all statements of one form; every statement with a number of its own."""
+    own = F.concat("sql_fulltext", F.lit(" /* "), F.substring("sql_id", 2, 12), F.lit(", 'x') */"))
+    return labels.label_requests(_log(spark, folder).withColumn("sql_fulltext", own), by="form")
+
+
+def form_label_merge(spark, folder):
+    """The labels of forms taken over by all their statements."""
+    labelled = labels.store_labels(_log(spark, folder), texts=False)
+    asked = labelled.filter(labels.wants_external_label()).select("form_id").distinct()
+    answer = F.to_json(F.struct(F.lit("reporting").alias("purpose"), F.substring("form_id", 1, 4).alias("sub_type")))
+    merged = labels.merge_labels(labelled, asked.select("form_id", answer.alias("response")), by="form")
+    return _joined(merged.select("sql_id", "purpose", "sub_type", "confidence", "indicators"), "indicators")
+
+
 def statement_tables(spark, folder):
     return _joined(_upper(spark, folder).select("sql_id", X.statement_tables(F.col("u")).alias("tables")), "tables")
 
@@ -301,6 +316,8 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "classified_log": classified_log,
         "label_requests": label_requests,
         "label_merge": label_merge,
+        "form_label_requests": form_label_requests,
+        "form_label_merge": form_label_merge,
         "statement_tables": statement_tables,
         "operation_types": operation_types,
         "qualified_columns": _pieces(X.qualified_columns),

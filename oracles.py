@@ -247,6 +247,13 @@ def _walk(text: str) -> str:
 
 _ODD = "upper('/* update notes */ ' || sql_fulltext || ' -- from nowhere' || chr(10) || ', ''from x'', \"Own\".later')"
 
+def _form(text: str) -> str:
+    out = f"regexp_replace(upper({text}), {_q("'[^']*'?")}, '?', 'g')"
+    out = f"regexp_replace({out}, {_q(r'(^|[^\w:])\d+(?:[.]\d+)?\b')}, {_q(r'\1?')}, 'g')"
+    out = f"trim(regexp_replace({out}, {_q(r'\s+')}, ' ', 'g'))"
+    return f"regexp_replace({out}, {_q(r'[?](?: ?, ?[?])+')}, '?', 'g')"
+
+
 _PER_SCHEMA = PARTS + SCHEMA
 _LIST_NAME = _case([(f"list = {i}", _q(v[0])) for i, v in PLAN_LISTS.items()], "''")
 
@@ -289,6 +296,19 @@ def oracle_sql() -> dict[str, str]:
                      WHEN k = 0 THEN 'about ' || sql_id ELSE '' END AS indicators
                 FROM (SELECT *, purpose = 'unknown' AS asks, {_RESPONSE} AS k FROM labelled)"""
         ),
+        "form_label_requests": _dense(
+            f"""SELECT md5(form) AS form_id, {_REQUEST} AS request, n_statements FROM (
+                  SELECT {_form("own")} AS form, min(own) AS sql_fulltext, count(*) AS n_statements FROM (
+                    SELECT sql_fulltext || ' /* ' || sql_id[2:13] || ', ''x'') */' AS own FROM labelled WHERE purpose = 'unknown')
+                  GROUP BY form)"""
+        ),
+        "form_label_merge": _dense(
+            f"""SELECT sql_id, CASE WHEN asks THEN 'reporting' ELSE purpose END AS purpose,
+                  CASE WHEN asks THEN md5({_form("sql_fulltext")})[1:4] ELSE sub_type END AS sub_type,
+                  CASE WHEN asks THEN 0.5 ELSE confidence END::DOUBLE AS confidence,
+                  CASE WHEN asks OR sub_type = '' THEN '' ELSE 'Pattern: ' || sub_type END AS indicators
+                FROM (SELECT *, purpose = 'unknown' AS asks FROM labelled)"""
+        ),
         "statement_tables": _dense(f"SELECT sql_id, {_T} AS tables FROM labelled"),
         "operation_types": _dense("SELECT sql_id, operation FROM labelled"),
         "qualified_columns": _dense(

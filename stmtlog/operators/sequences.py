@@ -47,7 +47,7 @@ def integrity_statements(labelled: DataFrame) -> DataFrame:
         F.array_join("tables", ",").alias("tables_key"),
         _known_id().alias("sql_id"),
         "confidence",
-        F.xxhash64("sql_fulltext").alias("text_hash"),
+        F.col("text_hash") if "text_hash" in labelled.columns else F.xxhash64("sql_fulltext").alias("text_hash"),
     )
     return stage(statements, "integrity").filter(F.col("tables_key") != "")
 

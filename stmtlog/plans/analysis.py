@@ -38,6 +38,7 @@ def analyse(
     min_length: int | None = None,
     strict_tables: bool = False,
     names: str = "words",
+    label_responses_by: str = "statement",
 ) -> Analysis:
     """Run the analysis.
 
@@ -45,16 +46,17 @@ def analyse(
 
     The log is read three times: for the counts per label, for the facts, and for the checks and
     fixes.  Labels are computed again each time, which costs less than a second copy of all
-    texts; only with external labels to merge is the labelled log stored.
+    texts; only with external labels to merge is the labelled log stored, before they are.  ``label_responses_by`` is
+    what they name: a statement or a form, see labels.merge_labels.
     """
     with staging_in(new_folder(log.sparkSession, "analysis")) as folder:
-        return _analyse(log, label_responses, rule_responses, window_minutes, min_length, strict_tables, names, folder)
+        return _analyse(log, label_responses, rule_responses, window_minutes, min_length, strict_tables, names, label_responses_by, folder)
 
 
-def _analyse(log, label_responses, rule_responses, window_minutes, min_length, strict_tables, names, folder) -> Analysis:
+def _analyse(log, label_responses, rule_responses, window_minutes, min_length, strict_tables, names, label_responses_by, folder) -> Analysis:
     labelled = labels.label_statements(log, strict_tables)
     if label_responses is not None:
-        labelled = stage(labels.merge_labels(labelled, label_responses, min_length), "labelled")
+        labelled = labels.merge_labels(labels.store_labels(labelled), label_responses, min_length, label_responses_by)
     activity = stage(statistics.activity(labelled), "activity")
     facts = stage(K.statement_facts(labelled, K.PROFILE_KINDS + K.SCHEMA_KINDS, names), "facts")
     folded = stage(

@@ -5,6 +5,8 @@ import json
 from helpers import F as TEXT
 from helpers import at, make_log
 
+from pyspark.sql import functions as F
+
 from stmtlog.functions import patterns as P
 from stmtlog.operators import insights, labels
 from stmtlog.operators import rules as R
@@ -88,3 +90,43 @@ def test_overall_insight(spark):
     text = '{"common_issues": ["a"], "root_causes": "b"}'
     row = insights.overall_insight(spark.createDataFrame([(text,)], "response string")).first()
     assert tuple(row) == ('["a"]', "b", None, None)
+
+
+def test_forms_of_statements(spark):
+    same = [
+        ["select a from t where b = 1 and c in (1, 2,3)", "SELECT a\n FROM t WHERE b = 42  AND c IN ('x')", "select a from t where b='' and c in (:p, 1)"],
+        ["insert into t2 values (1.5, 'its')", " INSERT INTO t2 VALUES (7,'y')"],
+    ]
+    texts = [t for group in same for t in group] + ["select a2 from t", "select a3 from t", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    forms = [r.f for r in rows.select(labels.statement_form(F.col("t")).alias("f")).collect()]
+    assert forms == [
+        "SELECT A FROM T WHERE B = ? AND C IN (?)", "SELECT A FROM T WHERE B = ? AND C IN (?)",
+        "SELECT A FROM T WHERE B=? AND C IN (:P, ?)", "INSERT INTO T2 VALUES (?)", "INSERT INTO T2 VALUES (?)",
+        "SELECT A2 FROM T", "SELECT A3 FROM T", None,
+    ]
+
+
+def test_requests_grow_with_forms(spark):
+    texts = [f"frobnicate {i} 'v{i}'" for i in range(50)] + ["frobnicate x", TEXT[2], None]
+    labelled = labels.label_statements(make_log(spark, [(str(i), t, "A", at()) for i, t in enumerate(texts)]))
+    asked = labels.label_requests(labelled, by="form").collect()
+    assert sorted(r.n_statements for r in asked) == [1, 50] and all("frobnicate" in r.request for r in asked)
+    answer = json.dumps({"purpose": "maintenance", "confidence": 0.7})
+    many = next(r.form_id for r in asked if r.n_statements == 50)
+    answers = spark.createDataFrame([(many, answer)], "form_id string, response string")
+    for stored in (labelled, labels.store_labels(labelled), labels.store_labels(labelled, texts=False)):
+        merged = labels.merge_labels(stored, answers, by="form")
+        assert merged.columns == stored.columns
+        got = {r.sql_id: (r.purpose, r.confidence) for r in merged.collect()}
+        assert {got[str(i)] for i in range(50)} == {("maintenance", 0.7)}
+        assert got["50"] == ("unknown", 0.0) and got["51"] == ("integrity_check", 0.8) and len(got) == 53
+
+
+def test_rules_run_once_for_merged_labels(spark, tmp_path):
+    path = str(tmp_path / "log")
+    make_log(spark, [("a", TEXT[2], "A", at()), ("b", "frobnicate", "A", at())]).write.parquet(path)
+    stored = labels.store_labels(labels.label_statements(spark.read.parquet(path)), texts=False)
+    answers = labels.label_requests(labels.label_statements(spark.read.parquet(path))).select("sql_id", F.lit("{}").alias("response"))
+    plan = labels.merge_labels(stored, labels.stage(answers, "answers"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "sql_fulltext" not in plan and "sub_type" in plan
