@@ -25,7 +25,7 @@ from stmtlog.operators import insights, labels, monitor, profiles, remediation
 from stmtlog.operators import rules as R  # noqa: E402
 from stmtlog.operators import schema, sequences  # noqa: E402
 from stmtlog.operators import statistics as S  # noqa: E402
-from stmtlog.plans import reports  # noqa: E402
+from stmtlog.plans import daily, publish, reports  # noqa: E402
 from stmtlog.plans.stage import new_folder, stage  # noqa: E402
 from stmtlog.sources.events_log import events_log  # noqa: E402
 from stmtlog.sources.statement_log import read_csv  # noqa: E402
@@ -208,6 +208,92 @@ def written_issue_totals(spark, folder):
     return _written(spark, sequences.issue_type_totals(_sequences(spark, folder)), "issue_types")
 
 
+def _published(spark: SparkSession, sections: reports.Sections, name: str) -> DataFrame:
+    """A section as it is read back from the published document, over an older one."""
+    path = new_folder(spark, "published").path
+    publish.publish({name: sections[name].limit(1)}, path, "2024-05-01 00:00:00")
+    publish.publish(sections, path, "2024-05-02 00:00:00")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sections[name].schema)
+    return publish.read_section(spark, path, name, schema).drop("place")
+
+
+def published_rules(spark, folder):
+    rules = _staged_rules(spark, folder)
+    sections = {"discovered_rules": R.rule_report(rules), "executive": monitor.leading_critical_rules(rules)}
+    return _joined(_published(spark, sections, "discovered_rules"), "tables")
+
+
+def _dashboard(spark: SparkSession, folder: str) -> reports.Sections:
+    important = stage(_important(spark, folder), "profiles")
+    rules = stage(R.integrity_rules(_sequences(spark, folder), important), "rules")
+    return {
+        "overview": monitor.overview(rules),
+        "trending_issues": S.weekly_trends(_real(spark, folder)),
+        "table_health_scores": monitor.table_health(important, rules),
+        "recommendations": monitor.recommendations(rules),
+    }
+
+
+def published_table_health(spark, folder):
+    return _published(spark, _dashboard(spark, folder), "table_health_scores")
+
+
+def published_overview(spark, folder):
+    return _published(spark, _dashboard(spark, folder), "overview")
+
+
+def _kept(spark: SparkSession, folder: str) -> DataFrame:
+    """The summary kept by day of a log that grows: the days up to one in the middle, then all."""
+    path = new_folder(spark, "daily").path
+    log = events_log(spark, folder, "real").withColumn("log_day", F.to_date("last_load_time"))
+    log.write.partitionBy("log_day").parquet(f"{path}/log")
+    log = spark.read.parquet(f"{path}/log")
+    bounds = log.agg(F.min("log_day").alias("a"), F.max("log_day").alias("b")).first()
+    daily.refresh(log.filter(F.col("log_day") <= bounds.a + (bounds.b - bounds.a) / 2), f"{path}/summary")
+    daily.refresh(log, f"{path}/summary")
+    return daily.read_summary(spark, f"{path}/summary")
+
+
+def kept_weekly_trends(spark, folder):
+    return S.weekly_trends(_kept(spark, folder))
+
+
+def kept_daily_pivot(spark, folder):
+    return _as_text(S.daily_pivot(_kept(spark, folder)), "yyyy-MM-dd", "day")
+
+
+def kept_date_range(spark, folder):
+    return _as_text(S.date_range(_kept(spark, folder)), MICROS, "start_time", "end_time")
+
+
+def _made_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules of every severity, with and without a fix, unsure and sure, made from counts of the events per user group."""
+    g = F.col("g")
+    pick = lambda *values: F.get(F.array(*[F.lit(v) for v in values]), g % len(values))
+    text = lambda prefix: F.concat(F.lit(prefix), g.cast("string"))
+    found = spark.read.parquet(f"{folder}/events.parquet").groupBy((F.col("user_id") % 60).cast("int").alias("g"))
+    rules = found.agg(F.count("*").alias("frequency")).select(
+        text("R").alias("rule_id"), text("Q").alias("sequence_id"), text("T").alias("tables_key"), text("N").alias("rule_name"),
+        text("D").alias("description"), pick("critical", "high", "medium", "low").alias("severity"),
+        F.array(text("T"), pick("U0", "U1", "U2", "U3", "U4", "U5", "U6")).alias("affected_tables"), "frequency",
+        pick("", "mend", "mend").alias("fix_pattern"), pick("peek", "look", "find", "scan", "test").alias("check_pattern"),
+        text("I").alias("business_impact"), pick(0.75, 0.8, 0.85, 0.9, 0.95).alias("confidence"),
+    )
+    rules = rules.withColumn("tables_key", F.array_join("affected_tables", ","))
+    return rules.withColumn("priority_score", R.priority(F.col("severity"), F.col("frequency"), F.col("confidence")))
+
+
+def made_plan_items(spark, folder):
+    rules = _made_rules(spark, folder).withColumns(
+        {c: F.lit(0) for c in ("schema_first_us", "parsing_schema_name", "check_us", "fix_us", "check_tables", "fix_tables")}
+    )
+    return _joined(remediation.plan_items(rules), "tables")
+
+
+def made_recommendations(spark, folder):
+    return monitor.recommendations(_made_rules(spark, folder))
+
+
 def overall_insight(spark, folder):
     top = sequences.top_issue_types(_sequences(spark, folder), k=1)
     answer = F.to_json(F.struct(F.array("issue_type").alias("common_issues")))
@@ -336,6 +422,14 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "csv_log": csv_log,
         "written_rule_report": written_rule_report,
         "written_issue_totals": written_issue_totals,
+        "published_rules": published_rules,
+        "published_table_health": published_table_health,
+        "published_overview": published_overview,
+        "kept_weekly_trends": kept_weekly_trends,
+        "kept_daily_pivot": kept_daily_pivot,
+        "kept_date_range": kept_date_range,
+        "made_plan_items": made_plan_items,
+        "made_recommendations": made_recommendations,
         "overall_insight": overall_insight,
         "issue_type_totals": lambda s, d: sequences.issue_type_totals(_sequences(s, d)),
         "top_issue_types": lambda s, d: _joined(sequences.top_issue_types(_sequences(s, d)), "tables", "patterns"),

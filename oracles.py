@@ -271,11 +271,31 @@ _OVERALL_LINE = """'Issue type: ' || issue_type || chr(10) || 'Tables: ' || arra
     || 'Occurrences: ' || occurrence_count"""
 
 
+_RECOMMENDED = """SELECT * FROM (
+                 SELECT 'high' AS priority, 'critical_tables' AS category,
+                   'Focus immediate attention on ' || t || ' table with ' || n || ' critical issues' AS recommendation,
+                   'Review and execute all critical fixes for ' || t || ' table' AS action
+                 FROM (SELECT t, count(*) AS n FROM (SELECT unnest(tables) AS t FROM rules WHERE severity = 'critical')
+                       GROUP BY t ORDER BY n DESC, t LIMIT 1)
+                 UNION ALL SELECT 'medium', 'automation', 'Develop automated fixes for ' || n || ' recurring manual patterns',
+                   'Create SQL templates or procedures for common manual fixes'
+                 FROM (SELECT count(*) AS n FROM rules WHERE fix_pattern = '' AND frequency > 5) WHERE n > 0
+                 UNION ALL SELECT 'low', 'quick_wins', 'Address ' || n || ' high-frequency minor issues for quick improvements',
+                   'Schedule batch execution of low-risk automated fixes'
+                 FROM (SELECT count(*) AS n FROM rules WHERE severity = 'low' AND frequency > 10) WHERE n > 0)"""
+
+_MADE_RULES = """rules AS (
+      SELECT 'R' || g AS rule_id, 'Q' || g AS sequence_id, 'N' || g AS rule_name, 'D' || g AS description, 'I' || g AS business_impact,
+             ['critical', 'high', 'medium', 'low'][1 + g % 4] AS severity, ['T' || g, 'U' || g % 7] AS tables, frequency,
+             ['', 'mend', 'mend'][1 + g % 3] AS fix_pattern, [0.75, 0.8, 0.85, 0.9, 0.95][1 + g % 5]::DOUBLE AS confidence
+      FROM (SELECT user_id % 60 AS g, count(*) AS frequency FROM events GROUP BY 1))"""
+
+
 def oracle_sql() -> dict[str, str]:
     health = (
         "((1 - least((n_checks + n_fixes) / greatest(usage, 1), 1)) + (1 - least(coalesce(issues, 0) / 10, 1))) / 2"
     )
-    return {
+    found = {
         "purpose_counts": _dense(
             """SELECT purpose, count(*) AS n_statements, count(*) / (SELECT count(*) FROM labelled) * 100 AS percentage
                FROM labelled GROUP BY purpose"""
@@ -511,18 +531,7 @@ def oracle_sql() -> dict[str, str]:
             RULES,
         ),
         "recommendations": _dense(
-            """SELECT * FROM (
-                 SELECT 'high' AS priority, 'critical_tables' AS category,
-                   'Focus immediate attention on ' || t || ' table with ' || n || ' critical issues' AS recommendation,
-                   'Review and execute all critical fixes for ' || t || ' table' AS action
-                 FROM (SELECT t, count(*) AS n FROM (SELECT unnest(tables) AS t FROM rules WHERE severity = 'critical')
-                       GROUP BY t ORDER BY n DESC, t LIMIT 1)
-                 UNION ALL SELECT 'medium', 'automation', 'Develop automated fixes for ' || n || ' recurring manual patterns',
-                   'Create SQL templates or procedures for common manual fixes'
-                 FROM (SELECT count(*) AS n FROM rules WHERE fix_pattern = '' AND frequency > 5) WHERE n > 0
-                 UNION ALL SELECT 'low', 'quick_wins', 'Address ' || n || ' high-frequency minor issues for quick improvements',
-                   'Schedule batch execution of low-risk automated fixes'
-                 FROM (SELECT count(*) AS n FROM rules WHERE severity = 'low' AND frequency > 10) WHERE n > 0)""",
+            _RECOMMENDED,
             RULES,
         ),
         "executive_figures": _dense(
@@ -556,3 +565,12 @@ def oracle_sql() -> dict[str, str]:
             RULES,
         ),
     }
+    made = f"WITH {_MADE_RULES}"
+    same = {
+        "published_rules": "rule_report", "published_table_health": "table_health", "published_overview": "monitor_overview",
+        "kept_weekly_trends": "weekly_trends", "kept_daily_pivot": "daily_pivot", "kept_date_range": "date_range",
+    }
+    return found | {name: found[as_is] for name, as_is in same.items()} | {
+        "made_plan_items": f"{made}{LISTED} SELECT list, {_LIST_NAME} AS list_name, {_REPORT} FROM listed",
+        "made_recommendations": f"{made} {_RECOMMENDED}",
+    }

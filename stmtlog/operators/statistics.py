@@ -14,10 +14,10 @@ from stmtlog.operators.labels import CHECK, FIX
 TIME = "last_load_time"
 
 
-def activity(labelled: DataFrame) -> DataFrame:
-    """One pass over the log: statements per purpose, sub_type, schema, day and hour, with time bounds."""
+def activity(labelled: DataFrame, *by: Column) -> DataFrame:
+    """One pass over the log: statements per purpose, sub_type, schema, day and hour, and ``by``, with time bounds."""
     return labelled.groupBy(
-        "purpose", "sub_type", "parsing_schema_name", F.to_date(TIME).alias("day"), F.hour(TIME).alias("hour")
+        "purpose", "sub_type", "parsing_schema_name", F.to_date(TIME).alias("day"), F.hour(TIME).alias("hour"), *by
     ).agg(F.count("*").alias("n"), F.min(TIME).alias("first_time"), F.max(TIME).alias("last_time"))
 
 
