@@ -17,6 +17,8 @@ from stmtlog.operators.labels import CHECK, FIX
 from stmtlog.plans.stage import stage, stage_numbered
 
 MINUTE, DAY = 60_000_000, 86_400_000_000
+#: Blocks of a cell, for running sums.
+BLOCKS = 50
 
 # Total order in which sequences are discovered: schemas as they first appear in the log, then
 # check time, fix time; what follows breaks ties by name.
@@ -172,26 +174,43 @@ def check_fix_pairs(
 # ---- the fold -----------------------------------------------------------------------------
 
 
-def _after(points: DataFrame, marks: DataFrame, keys: list[str], position: str) -> DataFrame:
+def _after(points: DataFrame, marks: DataFrame, keys: list[str], position: str, span: int | None = None) -> DataFrame:
     """For every point the sum of ``n`` and the least ``first`` over the marks placed after it.
 
     One running pass from the last position to the first.  A point comes before the marks of its
     own position, which therefore do not count as after it.
+
+    With ``span`` the pass is in two levels, so that one busy key is the work of many tasks: running sums within blocks of
+    ``span`` positions, and over the totals of blocks.  A task then sorts one block's rows, or a key's blocks.
     """
+    both = points.withColumn("_is_mark", F.lit(False)).unionByName(
+        marks.withColumn("_is_mark", F.lit(True)), allowMissingColumns=True
+    )
+    within = keys
+    if span is not None:
+        both, within = both.withColumn("_block", floor_div(F.col(position), span)), [*keys, "_block"]
     running = (
-        Window.partitionBy(*keys)
+        Window.partitionBy(*within)
         .orderBy(F.col(position).desc(), F.col("_is_mark"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    both = points.withColumn("_is_mark", F.lit(False)).unionByName(
-        marks.withColumn("_is_mark", F.lit(True)), allowMissingColumns=True
-    )
-    return (
-        both.withColumn("after_n", F.coalesce(F.sum("n").over(running), F.lit(0)))
-        .withColumn("after_first", F.min("first").over(running))
-        .filter(~F.col("_is_mark"))
-        .drop("_is_mark", "n", "first")
+    both = both.withColumn("after_n", F.coalesce(F.sum("n").over(running), F.lit(0))).withColumn(
+        "after_first", F.min("first").over(running)
     )
+    if span is None:
+        return both.filter(~F.col("_is_mark")).drop("_is_mark", "n", "first")
+    both = stage(both, "blocks")
+    blocks = both.groupBy(*within).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*within, F.sum("n").over(later).alias("_later_n"), F.min("first").over(later).alias("_later_first"))
+    found = both.filter(~F.col("_is_mark")).drop("_is_mark", "n", "first")
+    found = found.join(blocks.filter("_later_n IS NOT NULL"), within, "left")
+    return found.withColumns(
+        {
+            "after_n": F.col("after_n") + F.coalesce("_later_n", F.lit(0)),
+            "after_first": F.least("after_first", "_later_first"),
+        }
+    ).drop("_block", "_later_n", "_later_first")
 
 
 def _cut_kinds(checks: DataFrame, fixes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -231,7 +250,7 @@ def _matched(moments: DataFrame, width: int, cells: int) -> DataFrame:
     beyond ``t + width`` in the last of them.  Fixes shifted back by the window fall into the
     check's cell, which makes the first and last part one signed running sum within one cell,
     and the middle part one signed running sum over cell totals.  A task thus sorts the moments
-    of one cell, or the cells of two windows, however many statements they stand for.
+    of a fiftieth of a cell, or the cells of two windows, however many statements they stand for.
     """
     cell_width = width // cells
     if cell_width * cells != width:
@@ -309,7 +328,7 @@ def _matched(moments: DataFrame, width: int, cells: int) -> DataFrame:
     )
     points = checks.withColumnRenamed("n", "checks").join(per_cell, [schema, "bucket", "cell", *check_kind])
     return (
-        _after(points, moment_marks, [schema, "bucket", "cell", *fix_kind], "us")
+        _after(points, moment_marks, [schema, "bucket", "cell", *fix_kind], "us", max(1, cell_width // BLOCKS))
         .withColumn("pairs", F.col("checks") * (F.col("after_n") + F.col("later_n")))
         .withColumn("fix", F.coalesce("after_first", "later_first"))
         .filter(F.col("pairs") > 0)
@@ -423,18 +442,31 @@ def issue_type_totals(sequences: DataFrame) -> DataFrame:
     return sequences.groupBy("issue_type").agg(F.sum("occurrence_count").alias("occurrences"))
 
 
-def top_issue_types(sequences: DataFrame, k: int = 5) -> DataFrame:
+def issue_type_names(sequences: DataFrame) -> DataFrame:
+    """(issue_type, kind, name, occurrences): the tables and check patterns of each issue type, a row each."""
+    named = sequences.select("issue_type", "occurrence_count", F.explode("tables").alias("name"), F.lit("table").alias("kind"))
+    kinds = sequences.filter("check_pattern <> ''").select(
+        "issue_type", "occurrence_count", F.col("check_pattern").alias("name"), F.lit("pattern").alias("kind")
+    )
+    named = named.unionByName(kinds).groupBy("issue_type", "kind", "name")
+    return named.agg(F.sum("occurrence_count").alias("occurrences"))
+
+
+def top_issue_types(sequences: DataFrame, k: int = 5, most: int | None = None) -> DataFrame:
     """The ``k`` most frequent issue types over all sequences, with their tables and check patterns.
 
-    Tables and patterns are made distinct per type before they are collected.
+    Tables and patterns are made distinct per type before they are collected: all, or with ``most`` that many, those with
+    the most occurrences, which bounds a row whatever the log; issue_type_names() gives all as rows.
     """
     top = issue_type_totals(sequences).orderBy(F.desc("occurrences"), "issue_type").limit(k)
-    tables = sequences.select("issue_type", F.explode("tables").alias("name"), F.lit(0).alias("kind"))
-    kinds = sequences.filter("check_pattern <> ''").select("issue_type", F.col("check_pattern").alias("name"), F.lit(1).alias("kind"))
-    names = tables.union(kinds).distinct().groupBy("issue_type").agg(
+    names = issue_type_names(sequences)
+    if most is not None:
+        rank = F.row_number().over(Window.partitionBy("issue_type", "kind").orderBy(F.desc("occurrences"), "name"))
+        names = names.withColumn("rank", rank).filter(F.col("rank") <= most)
+    names = names.groupBy("issue_type").agg(
         *(
-            F.array_sort(F.collect_list(F.when(F.col("kind") == i, F.col("name")))).alias(n)
-            for i, n in enumerate(("tables", "patterns"))
+            F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("name")))).alias(n)
+            for kind, n in (("table", "tables"), ("pattern", "patterns"))
         )
     )
     return top.join(names, "issue_type", "left").orderBy(F.desc("occurrences"), "issue_type")

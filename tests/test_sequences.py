@@ -137,6 +137,35 @@ def test_a_hot_window_is_many_tasks(spark):
     assert sum(made) > 400_000 and len(made) == 8 and made[-1] <= 3 * made[4]
 
 
+def test_a_hot_kind_is_summed_in_blocks(spark, monkeypatch):
+    """20,000 moments of one schema, kind and table within one cell: no running sum takes more than a part of them."""
+    def row(i):
+        purpose = "integrity_check" if i % 2 else "integrity_fix"
+        return (f"u{i:05}", "t", "HOT", START + timedelta(microseconds=i * 249), purpose, "a", 0.5, ["T"])
+
+    rows = [row(i) for i in range(20_000)]
+    staged = {}
+    monkeypatch.setattr(Q, "stage", lambda data, name: staged.setdefault(name, stage(data, name)))
+    counted = Q.pair_counts(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sum(r.pairs for r in counted) == 10_000 * 10_001 // 2 - 10_000  # each check with the fixes after it
+    blocks = staged["blocks"].groupBy("parsing_schema_name", "bucket", "cell", "fix_pattern", "fix_tables", "_block").count()
+    sizes = [r["count"] for r in blocks.collect()]
+    assert len(sizes) >= 50 and max(sizes) <= 3 * sum(sizes) / len(sizes)
+
+
+def test_issue_types_with_a_bound_on_names(spark):
+    rows = [(f"u{i}", *r[1:]) for i, r in enumerate(random_log(12, 300, 400_000_000))]
+    found = Q.fold_sequences(spark.createDataFrame(rows, SCHEMA)).cache()
+    names = {(r.issue_type, r.kind): {} for r in Q.issue_type_names(found).collect()}
+    for r in Q.issue_type_names(found).collect():
+        names[r.issue_type, r.kind][r.name] = r.occurrences
+    for most in (None, 2):
+        for r in Q.top_issue_types(found, most=most).collect():
+            for kind, listed in (("table", r.tables), ("pattern", r.patterns)):
+                order = sorted(names[r.issue_type, kind].items(), key=lambda x: (-x[1], x[0]))[:most]
+                assert listed == sorted(n for n, _ in order)
+
+
 def test_no_stage_of_the_fold_holds_texts(spark, monkeypatch):
     staged = []
     monkeypatch.setattr(Q, "stage", lambda data, name: staged.append(data.columns) or stage(data, name))
