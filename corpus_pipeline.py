@@ -10,14 +10,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtlog.llm import cluster, langid, minhash, mixing, packing, suffix
-from stmtlog.plans.stage import stage, stage_numbered
+from stmtlog.llm import cluster, langid, minhash, mixing, packing, rows, suffix
+from stmtlog.plans.stage import stage
 
 WEIGHTS, MOST, LENGTH, CAPACITY = (1, 2, 3), 3, 200, 2048
 
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: The stored number of a row, for stages that read their documents twice.
+#: The number of a row, for stages that read their documents twice.
 ROW = "__number"
 
 
@@ -45,7 +45,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id."""
-    docs = stage_numbered(_documents(spark, docs), "numbered", ROW)
+    cluster.ship(spark)
+    docs = rows.numbered(docs, "numbered", ROW, *COLUMNS)
     return minhash.one_of_each(docs, minhash.near_duplicates(docs, percent=80, row=ROW), row=ROW)
 
 
@@ -58,7 +59,8 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The copies of documents that bring the sources to their weights, shard by shard."""
-    docs = stage_numbered(_documents(spark, docs), "numbered", ROW)
+    cluster.ship(spark)
+    docs = rows.numbered(docs, "numbered", ROW, *COLUMNS)
     return mixing.take(docs, mixing.mix(docs, weights=WEIGHTS, most=MOST, row=ROW), row=ROW)
 
 
