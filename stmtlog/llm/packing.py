@@ -25,8 +25,8 @@ from tokenizers import Tokenizer
 from stmtlog.llm import text as T
 from stmtlog.plans.stage import stage
 
-#: Words whose ids a Python worker remembers; bytes of text encoded at a time.
-REMEMBERED, SLICE = 1_000_000, 4 << 20
+#: Words whose ids are remembered; bytes of text encoded at a time.
+REMEMBERED, SLICE = 300_000, 2 << 20
 _KIND = np.zeros(256, np.uint8)  # 1: a letter, 2: punctuation but for the apostrophe, of ASCII
 _KIND[97:123] = 1
 _KIND[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 2
@@ -193,7 +193,7 @@ def _tokenizer(path: str) -> tuple[Tokenizer, dict[bytes, bytes]]:
     return Tokenizer.from_file(path), {}
 
 
-def encode(texts: pa.Array, path: str) -> Iterator[bytes]:
+def encode(texts: pa.Array, path: str, remembered: int = REMEMBERED) -> Iterator[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers.
 
     The tokenizer ignores case, splits at white space and between letters and punctuation, and looks at nothing beyond
@@ -215,7 +215,7 @@ def encode(texts: pa.Array, path: str) -> Iterator[bytes]:
     ]
     words = {w for text in split if text for w in text}
     new = list(words.difference(known))
-    if len(known) + len(new) > REMEMBERED:  # those of these texts stay, so the common ones do
+    if len(known) + len(new) > remembered:  # those of these texts stay, so the common ones do
         kept = {w: known[w] for w in words.intersection(known)}
         known.clear()
         known.update(kept)
@@ -234,13 +234,16 @@ def encode(texts: pa.Array, path: str) -> Iterator[bytes]:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, task int, local long"
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
+def _pieces(
+    batches: Iterator[pa.RecordBatch], path: str, capacity: int, keep_ids: bool, memory: tuple[int, int, bool]
+) -> Iterator[pa.RecordBatch]:
     """The pieces of all texts with their rank among those of the same length in this task."""
     task, ranks, end = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), np.array([END], "<u4").tobytes()
-    for part in T.slices(batches, "text", SLICE):
+    remembered, size, forget = memory
+    for part in T.slices(batches, "text", size):
         ids = part.column("doc_id").to_pylist()
         rows: list[tuple] = []
-        for doc_id, encoded in zip(ids, encode(part.column("text"), path), strict=True):
+        for doc_id, encoded in zip(ids, encode(part.column("text"), path, remembered), strict=True):
             encoded += end
             for piece, at in enumerate(range(0, len(encoded), 4 * capacity)):
                 own = encoded[at : at + 4 * capacity]
@@ -251,6 +254,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, keep_id
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+    if forget:
+        _tokenizer(path)[1].clear()
 
 
 def _placed(batches: Iterator[pa.RecordBatch], where: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -270,18 +275,23 @@ def _placed(batches: Iterator[pa.RecordBatch], where: dict[int, list[np.ndarray]
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False
+    docs: DataFrame, tokenizer: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False,
+    remembered: int = REMEMBERED, slice_bytes: int = SLICE, forget: bool = True,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), with ``ids`` if asked for: one row per piece.
 
     A document is its text's ids and an end id 0.  Only documents of more than ``capacity`` ids are cut, into
     pieces of that many; the last may be shorter.  Each sequence is filled from 0 without gaps.  A null or empty
     text is the end id alone.  A repeated row is packed as often as it occurs, also under one doc_id or none.
+    ``remembered`` words keep their ids, until a task ends if ``forget``, and ``slice_bytes`` of text are encoded at a time;
+    more of each takes memory and spares time, and results are the same.
+
     No documents give no rows.  Other columns are not looked at.  Only the histogram of lengths, at most
     ``capacity`` rows, and the patterns made from it pass through the driver.
     """
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    pieces = docs.mapInArrow(partial(_pieces, path=tokenizer, capacity=capacity, keep_ids=keep_ids), PIECES)
+    memory = remembered, slice_bytes, forget
+    pieces = docs.mapInArrow(partial(_pieces, path=tokenizer, capacity=capacity, keep_ids=keep_ids, memory=memory), PIECES)
     pieces = stage(pieces if keep_ids else pieces.drop("ids"), "pieces")
     # one row for each task and length; the sums before a task run over blocks of tasks, then within one
     counts = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))

@@ -88,7 +88,8 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return packing.pack(_table(spark, folder, "documents"), tokenizer, capacity=2048)
+    documents = _table(spark, folder, "documents")
+    return packing.pack(documents, tokenizer, capacity=2048, remembered=1_000_000, slice_bytes=4 << 20, forget=False)
 
 
 def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
