@@ -1,6 +1,12 @@
 """Where stage tables go."""
 
+import importlib.util
+import json
 import os
+import subprocess
+import sys
+from datetime import datetime, timedelta
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -8,9 +14,9 @@ import pytest
 from stmtlog.plans import stage as G
 
 
-def session(master, folder):
+def session(master, folder, made=None):
     conf = SimpleNamespace(get=lambda key: folder)
-    context = SimpleNamespace(master=master, getConf=lambda: conf, getCheckpointDir=lambda: None)
+    context = SimpleNamespace(master=master, getConf=lambda: conf, getCheckpointDir=lambda: made)
     return SimpleNamespace(sparkContext=context)
 
 
@@ -27,6 +33,65 @@ def test_local_mode_takes_any_folder():
     assert G.shared_folder(session("local[2]", "/tmp/here")) == "/tmp/here"
 
 
+def test_a_bare_path_goes_where_spark_keeps_its_checkpoints():
+    for master in ("local-cluster[2,1,512]", "yarn", "spark://host:7077"):
+        for made in ("hdfs://a/b/1", "s3a://c/d/1"):
+            assert G.shared_folder(session(master, "/tmp/here", made)) == made
+    for made in ("file:/tmp/here/1", "file:///tmp/here/1"):
+        assert G.shared_folder(session("local-cluster[2,1,512]", "/tmp/here", made)) == made
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077"])
+def test_a_bare_path_on_the_disks_of_a_cluster_is_refused(master):
+    for made in ("file:/tmp/here/1", "file:///tmp/here/1", "/tmp/here/1"):
+        with pytest.raises(RuntimeError):
+            G.shared_folder(session(master, "/tmp/here", made))
+
+
+ON_EXECUTORS = """
+import json, sys
+from pyspark.sql import SparkSession
+import __spark_entry__
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config(map=json.loads(sys.argv[1])).getOrCreate()
+queries = __spark_entry__.queries()
+for name in sys.argv[3:]:
+    queries[name](spark, sys.argv[2]).write.parquet(f"{sys.argv[2]}/{name}")
+spark.stop()
+"""
+
+
+def test_queries_on_executors_with_a_bare_path(spark, tmp_path):
+    import __spark_entry__
+
+    start = datetime(2024, 1, 1)
+    events = [(i, i % 7, start + timedelta(hours=i)) for i in range(120)]
+    data, home = f"{tmp_path}/data", tmp_path / "home"
+    spark.createDataFrame(events, "event_id long, user_id long, ts timestamp_ntz").write.parquet(f"{data}/events.parquet")
+    (home / "work").mkdir(parents=True)
+    for part in Path(importlib.util.find_spec("pyspark").origin).parent.iterdir():
+        if part.name != "work":  # executors run there
+            (home / part.name).symlink_to(part)
+    conf = {
+        "spark.checkpoint.dir": f"{tmp_path}/shared", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1",
+        "spark.executor.memory": "700m", "spark.sql.shuffle.partitions": "2", "spark.sql.session.timeZone": "UTC",
+    }
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("SPARK_", "PYSPARK_"))}
+    env |= {
+        "SPARK_HOME": str(home), "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_LOCAL_DIRS": f"{tmp_path}/local",
+        "PYTHONPATH": str(Path(G.__file__).parents[2]), "PYSPARK_PYTHON": sys.executable,
+    }
+    names = ["csv_log", "kept_date_range", "check_fix_pairs"]
+    done = subprocess.run(
+        [sys.executable, "-c", ON_EXECUTORS, json.dumps(conf), data, *names], env=env, cwd=tmp_path, capture_output=True, text=True,
+        timeout=240,
+    )
+    assert done.returncode == 0, done.stderr[-2000:]
+    for name in names:
+        here = __spark_entry__.queries()[name](spark, data)
+        assert sorted(spark.read.parquet(f"{data}/{name}").collect()) == sorted(here.collect())
+        assert here.count()
+
+
 def test_closing_removes_one_folder_only(spark):
     data = spark.range(3).toDF("x")
     outside = G.stage(data, "outside")
