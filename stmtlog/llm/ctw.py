@@ -11,8 +11,9 @@ Contexts that were never seen in training use the longest seen part.  A text is
 probabilities of all texts add up to one.
 
 The counts of all contexts follow from those of the strings of DEPTH + 1 bytes, which are counted over the whole
-corpus.  Each input partition asks for the strings and words it has; answers come back to it, packed, and its
-texts are scored by lookups.  What is passed around are different strings and words of partitions, not texts.
+corpus.  Each input partition asks for the strings and words it has, a packed row for each bucket of them; answers come
+back to it, packed alike, and its texts are scored by lookups.  What is passed around are different strings and words of
+partitions, not texts.
 """
 
 from __future__ import annotations
@@ -29,9 +30,8 @@ from stmtlog.llm import text as T
 from stmtlog.plans.stage import stage
 
 DEPTH, END = 5, 0xFF
-#: Bytes of text worked on at a time; strings and words added before they are summed, and kept before they are handed on;
-#: rows answered at a time.
-SLICE, ADDED, KEPT, ANSWERED = 1 << 20, 1_000_000, 4_000_000, 300_000
+#: Bytes of text worked on at a time; strings and words added before they are summed, and kept before they are handed on.
+SLICE, ADDED, KEPT = 1 << 20, 1_000_000, 4_000_000
 _LN2 = np.log(2.0)
 _HALVES = np.append(0.0, np.cumsum(np.log(np.arange(1, 4097) - 0.5)))  # ln gamma(n + 1/2) - ln gamma(1/2)
 _WHOLES = np.append(0.0, np.cumsum(np.log(np.arange(1, 8193))))  # ln n!
@@ -104,8 +104,37 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _asked(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """The different strings and words of a partition, with their numbers in training texts."""
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers of 8 bytes, their first bytes together, then their second ones and so on: equal bytes meet, and compress."""
+    return numbers.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes, kind: type = np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys, packed by their distances."""
+    return _packed(np.diff(keys, prepend=np.int64(0)))
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data))
+
+
+def _buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each string and word.  Strings that differ in their last two bytes only share one: they are close."""
+    return (T.mix(np.where(keys < 0, keys, keys >> 16).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+
+
+ASKED = "bundle long, bucket int, keys binary, counts binary, words long"
+
+
+def _asked(batches: Iterator[pa.RecordBatch], depth: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The different strings and words of a partition, with their numbers in training texts: a row for each bucket of them.
+
+    ``words`` is the sum of the words' numbers.
+    """
     keys: list[np.ndarray] = []
     counts: list[np.ndarray] = []
     bundle = None
@@ -114,7 +143,19 @@ def _asked(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
         key, n = _summed(keys, counts)
         keys.clear()
         counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), bundle)), pa.array(n)], ["key", "bundle", "n"])
+        bucket = _buckets(key, buckets)
+        order = np.argsort(bucket, kind="stable")
+        key, n, bucket = key[order], n[order], bucket[order]
+        edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(key) else np.zeros(0, np.int64)
+        spans = list(zip(edges, np.append(edges[1:], len(key)), strict=True))
+        columns = [
+            pa.array(np.full(len(spans), bundle, np.int64)),
+            pa.array(bucket[edges]),
+            pa.array([_packed_keys(key[i:j]) for i, j in spans], pa.binary()),
+            pa.array([_packed(n[i:j]) for i, j in spans], pa.binary()),
+            pa.array([int(n[i:j][key[i:j] < 0].sum()) for i, j in spans], pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in ASKED.split(", ")])
 
     fresh = 0
     for part in T.slices(batches, "text", SLICE):
@@ -137,6 +178,45 @@ def _asked(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
         yield out()
 
 
+def _totals(requests: pa.Table, words_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The different strings and words of a bucket, sorted, and their numbers in training texts."""
+    keys: list[np.ndarray] = [np.zeros(0, np.int64)]
+    counts: list[np.ndarray] = [np.zeros(0, np.int64)]
+    fresh = 0
+    for packed, n in zip(requests.column("keys"), requests.column("counts"), strict=True):
+        key, n = _unpacked_keys(packed.as_py()), _unpacked(n.as_py())
+        upto = np.searchsorted(key, 0) if words_only else len(key)
+        keys.append(key[:upto])
+        counts.append(n[:upto])
+        fresh += upto
+        if fresh > ADDED:
+            key, n = _summed(keys, counts)
+            keys[:], counts[:], fresh = [key], [n], 0
+    return _summed(keys, counts)
+
+
+def _counted(requests: pa.Table) -> pa.Table:
+    """A bucket's different strings with their numbers; at key -1 how many words were seen in training."""
+    key, n = _totals(requests)
+    first = int(np.searchsorted(key, 0))
+    kinds = np.count_nonzero(n[:first])
+    return pa.table({"key": pa.array(np.append(-1, key[first:])), "n": pa.array(np.append(kinds, n[first:]))})
+
+
+ANSWERS = "bundle long, keys binary, vals binary"
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """From a bucket's requests and its strings' values: each request with its values, a word's being its number."""
+    requests, model = table.filter(table.column("keys").is_valid()), table.filter(table.column("keys").is_null())
+    key, value = model.column("key").to_numpy(), model.column("value").to_numpy()
+    order = np.argsort(key)
+    word, n = _totals(requests, words_only=True)
+    key, value = np.append(word, key[order]), np.append(n.astype(np.float64), value[order])
+    values = [_packed(value[np.searchsorted(key, _unpacked_keys(k.as_py()))]) for k in requests.column("keys")]
+    return pa.table({"bundle": requests.column("bundle"), "keys": requests.column("keys"), "vals": pa.array(values, pa.binary())})
+
+
 #: Bytes of context above which contexts are few enough to be tables; strings of a shared context worked off at a time.
 TOP, PIECE = 2, 200_000
 
@@ -225,54 +305,7 @@ def _scored(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table, depth:
     a, b = np.where(has, a + b * weight * estimate, a), np.where(has, b * (1 - weight), b)
     found = [(codes, Weighting(codes, n, depth).scores(a, b, stop)) for codes, n in _pieces(left)]
     codes, value = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-    none = pa.array(np.zeros(len(codes), np.int64))
-    return pa.table({"key": pa.array(codes), "bundle": pa.array(np.full(len(codes), -1)), "n": none, "value": pa.array(value)})
-
-
-ANSWERS = "bundle long, keys binary, vals binary, known long"
-
-
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From requests sorted by key, the model's rows first: for each bundle its keys with their values, packed.
-
-    A string's value is in the model's row, a word's the sum of its numbers; ``known`` counts words seen in training.
-    """
-
-    def packed(key, bundle, value, known) -> pa.RecordBatch:
-        order = np.argsort(bundle, kind="stable")
-        key, bundle, value = key[order], bundle[order], value[order]
-        edges = np.flatnonzero(np.append(True, bundle[1:] != bundle[:-1])) if len(key) else np.zeros(0, np.int64)
-        spans = list(zip(edges, np.append(edges[1:], len(key)), strict=True)) if len(key) else []
-        columns = [
-            pa.array([*(int(bundle[i]) for i, _ in spans), -2], pa.int64()),
-            pa.array([*(key[i:j].tobytes() for i, j in spans), b""], pa.binary()),
-            pa.array([*(value[i:j].tobytes() for i, j in spans), b""], pa.binary()),
-            pa.array([*(0 for _ in spans), known], pa.int64()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, ["bundle", "keys", "vals", "known"])
-
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-    rows, last = [], False
-    batches = iter(batches)
-    while not last:
-        batch = next(batches, None)
-        last = batch is None
-        if batch is not None:
-            rows.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "bundle", "n", "value")])
-            if sum(len(r[0]) for r in rows) < ANSWERED:
-                continue
-        key, bundle, n, value = (np.concatenate([h, *(r[i] for r in rows)]) for i, h in enumerate(held))
-        rows = []
-        cut = len(key) if last else int(np.searchsorted(key, key[-1]))  # the last key may go on
-        held = [x[cut:] for x in (key, bundle, n, value)]
-        key, bundle, n, value = key[:cut], bundle[:cut], n[:cut], value[:cut]
-        if not len(key):
-            continue
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        total = np.add.reduceat(n, first)
-        each = np.repeat(np.where(key[first] < 0, total, value[first]), np.diff(np.append(first, len(key))))
-        own = bundle >= 0
-        yield packed(key[own], bundle[own], each[own].astype(np.float64), int(((key[first] < 0) & (total > 0)).sum()))
+    return pa.table({"key": pa.array(codes), "value": pa.array(value)})
 
 
 class Lookup:
@@ -315,8 +348,8 @@ def _scores(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Record
                 current, keys, values, lookup = bundles[start], [], [], None
             batch = whole.slice(start, stop - start)
             answers = batch.filter(batch.column("keys").is_valid())
-            keys += [np.frombuffer(k, np.int64) for k in answers.column("keys").to_pylist()]
-            values += [np.frombuffer(v, np.float64) for v in answers.column("vals").to_pylist()]
+            keys += [_unpacked_keys(k.as_py()) for k in answers.column("keys")]
+            values += [_unpacked(v.as_py(), np.float64) for v in answers.column("vals")]
             texts = batch.filter(batch.column("keys").is_null())
             if not texts.num_rows:
                 continue
@@ -355,14 +388,17 @@ def score(docs: DataFrame, train: Column, held_out: Column, depth: int = DEPTH,
         F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"), F.spark_partition_id().cast("bigint").alias("bundle"),
     )
-    asked = docs.select("text", "train", "bundle").mapInArrow(partial(_asked, depth=depth), "key long, bundle long, n long")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = docs.select("text", "train", "bundle").mapInArrow(partial(_asked, depth=depth, buckets=buckets), ASKED)
     asked = stage(asked, "asked")
-    totals = asked.filter("key < 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
+    totals = asked.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
     trained = docs.filter("train").count()
 
     suffix = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * TOP) - 1)).cast("int")
-    strings = asked.filter("key >= 0").groupBy("key").agg(F.sum("n").alias("n"))
-    strings = stage(strings.withColumn("suffix", suffix), "strings")
+    counted = asked.select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(_counted, "key long, n long")
+    counted = stage(counted.withColumn("suffix", suffix), "strings")
+    kinds = counted.filter("key < 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] + (trained > 0)
+    strings = counted.filter("key >= 0")
     rows = "counts array<double>, children array<double>"
 
     def summary(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -374,20 +410,18 @@ def score(docs: DataFrame, train: Column, held_out: Column, depth: int = DEPTH,
     short = _short({r["last"]: (np.array(r["counts"]), np.array(r["children"])) for r in last.collect()})
     model = strings.groupBy("suffix").cogroup(of.groupBy("suffix"))
 
-
     def scored_strings(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        return _scored(key, left, right, depth, short)
+        found = _scored(key, left, right, depth, short)
+        return found.append_column("bucket", pa.array(_buckets(found.column("key").to_numpy(), buckets)))
 
-    model = model.applyInArrow(scored_strings, "key long, bundle long, n long, value double")
+    model = model.applyInArrow(scored_strings, "key long, value double, bucket int")
 
-    every = asked.withColumn("value", F.lit(0.0)).unionByName(model)
-    every = every.repartition("key").sortWithinPartitions("key", "bundle")
-    answers = stage(every.mapInArrow(_answers, ANSWERS), "answers")
-    kinds = answers.agg(F.coalesce(F.sum("known"), F.lit(0)).alias("n")).first()["n"] + (trained > 0)
+    null = lambda kind: F.lit(None).cast(kind)
+    both = asked.drop("words").unionByName(model, allowMissingColumns=True)
+    answers = both.groupBy("bucket").applyInArrow(_answered, ANSWERS)
     train_tokens = totals["words"] + trained
 
-    null = lambda kind: F.lit(None).cast(kind)
-    answers = answers.filter("bundle >= 0").select(
+    answers = answers.select(
         "bundle", "keys", "vals", null("long").alias("doc_id"), null("string").alias("text"), null("boolean").alias("held_out")
     )
     texts = docs.select("bundle", null("binary").alias("keys"), null("binary").alias("vals"), "doc_id", "text", "held_out")

@@ -190,6 +190,20 @@ def test_equal_texts_score_alike_whatever_the_partitions(docs, spark, tmp_path):
     assert _sorted(map(tuple, one.collect())) == _sorted(map(tuple, other.collect()))
 
 
+def test_scores_pass_a_row_for_each_bucket_of_a_partition(docs, spark, monkeypatch):
+    staged, write = {}, ctw.stage
+
+    def kept(data, name):
+        staged[name] = write(data, name)
+        return staged[name]
+
+    monkeypatch.setattr(ctw, "stage", kept)
+    c = F.crc32(F.col("doc_id").cast("string")) % 10
+    assert ctw.score(docs, c != 0, c == 0).count() == docs.count()
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert 0 < staged["asked"].count() <= buckets * docs.select(F.spark_partition_id()).distinct().count()
+
+
 def _targets(sizes, weights, most):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}

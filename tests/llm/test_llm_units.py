@@ -8,6 +8,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from tokenizers import Tokenizer
 
@@ -267,6 +268,25 @@ def test_lookup_finds_all_keys_and_refuses_others():
         table.get(np.array([keys[0] + 1 if keys[0] + 1 not in keys else keys[0] + 2]))
 
 
+def test_requests_and_answers_come_back_as_they_were_packed():
+    rng = np.random.default_rng(13)
+    ends = np.array([-(2**63), -1, 0, 2**56 - 1])
+    keys = np.unique(np.append(ends, rng.integers(-(2**63), 2**56, 1000)))
+    for k in (keys, keys[:1], keys[:0]):
+        assert (ctw._unpacked_keys(ctw._packed_keys(k)) == k).all()
+    values = rng.standard_normal(100)
+    assert (ctw._unpacked(ctw._packed(values), np.float64) == values).all()
+    docs = pa.RecordBatch.from_pydict({"text": ["one two", None, "two"], "train": [True, True, False], "bundle": [4, 4, 4]})
+    asked = pa.Table.from_batches(ctw._asked(iter([docs]), depth=3, buckets=5))
+    assert asked.num_rows <= 5 and sum(asked.column("words").to_pylist()) == 2
+    key, n = ctw._totals(asked)
+    assert (np.diff(key.astype(float)) > 0).all() and n[key < 0].tolist() == [1, 1] and n[key >= 0].sum() == 9
+    parts = [asked.slice(i, 1) for i in range(asked.num_rows)]
+    assert {int(b) for p in parts for b in ctw._buckets(ctw._totals(p)[0], 5)} == set(asked.column("bucket").to_pylist())
+    counted = ctw._counted(asked)
+    assert counted.filter(pc.equal(counted.column("key"), -1)).column("n").to_pylist() == [2]
+
+
 def test_splitting_tree_deals_exact_quotas_at_random():
     quotas = np.array([1000, 10, 0, 333])
     source = np.repeat(np.arange(4), quotas)
