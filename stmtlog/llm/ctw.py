@@ -31,7 +31,7 @@ from stmtlog.plans.stage import stage
 
 DEPTH, END = 5, 0xFF
 #: Bytes of text worked on at a time; strings and words added before they are summed, and kept before they are handed on.
-SLICE, ADDED, KEPT = 1 << 20, 1_000_000, 4_000_000
+SLICE, ADDED, KEPT = 1 << 18, 500_000, 4_000_000
 _LN2 = np.log(2.0)
 _HALVES = np.append(0.0, np.cumsum(np.log(np.arange(1, 4097) - 0.5)))  # ln gamma(n + 1/2) - ln gamma(1/2)
 _WHOLES = np.append(0.0, np.cumsum(np.log(np.arange(1, 8193))))  # ln n!
@@ -97,19 +97,29 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, n = np.concatenate(keys), np.concatenate(counts)
+    """The different keys, sorted, with the sums of their counts.  Both lists are emptied: their arrays go as they are joined."""
+    key = np.concatenate(keys)
+    keys.clear()
     order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
+    key = key[order]
+    n = np.concatenate(counts)
+    counts.clear()
+    n = n[order]
+    del order
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    """Numbers of 8 bytes, their first bytes together, then their second ones and so on: equal bytes meet, and compress."""
-    return numbers.view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Numbers of 8 bytes, compressed, after their number; their first bytes together, then their second ones and so on."""
+    data = numbers.view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(numbers).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def _unpacked(data: bytes, kind: type = np.int64) -> np.ndarray:
+def _unpacked(data: bytes | pa.Buffer, kind: type = np.int64) -> np.ndarray:
+    data = pa.py_buffer(data)
+    size = 8 * int.from_bytes(data[:8].to_pybytes(), "little")
+    data = pa.decompress(data[8:], decompressed_size=size, codec="zstd")
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
@@ -118,7 +128,7 @@ def _packed_keys(keys: np.ndarray) -> bytes:
     return _packed(np.diff(keys, prepend=np.int64(0)))
 
 
-def _unpacked_keys(data: bytes) -> np.ndarray:
+def _unpacked_keys(data: bytes | pa.Buffer) -> np.ndarray:
     return np.cumsum(_unpacked(data))
 
 
@@ -141,8 +151,6 @@ def _asked(batches: Iterator[pa.RecordBatch], depth: int, buckets: int) -> Itera
 
     def out() -> pa.RecordBatch:
         key, n = _summed(keys, counts)
-        keys.clear()
-        counts.clear()
         bucket = _buckets(key, buckets)
         order = np.argsort(bucket, kind="stable")
         key, n, bucket = key[order], n[order], bucket[order]
@@ -171,8 +179,9 @@ def _asked(batches: Iterator[pa.RecordBatch], depth: int, buckets: int) -> Itera
                 fresh += len(key)
         if fresh > ADDED:
             key, n = _summed(keys, counts)
-            keys[:], counts[:], fresh = [key], [n], 0
-            if len(key) > KEPT:
+            keys[:], counts[:], fresh, kept = [key], [n], 0, len(key)
+            del key, n
+            if kept > KEPT:
                 yield out()
     if keys:
         yield out()
@@ -184,7 +193,7 @@ def _totals(requests: pa.Table, words_only: bool = False) -> tuple[np.ndarray, n
     counts: list[np.ndarray] = [np.zeros(0, np.int64)]
     fresh = 0
     for packed, n in zip(requests.column("keys"), requests.column("counts"), strict=True):
-        key, n = _unpacked_keys(packed.as_py()), _unpacked(n.as_py())
+        key, n = _unpacked_keys(packed.as_buffer()), _unpacked(n.as_buffer())
         upto = np.searchsorted(key, 0) if words_only else len(key)
         keys.append(key[:upto])
         counts.append(n[:upto])
@@ -213,7 +222,7 @@ def _answered(table: pa.Table) -> pa.Table:
     order = np.argsort(key)
     word, n = _totals(requests, words_only=True)
     key, value = np.append(word, key[order]), np.append(n.astype(np.float64), value[order])
-    values = [_packed(value[np.searchsorted(key, _unpacked_keys(k.as_py()))]) for k in requests.column("keys")]
+    values = [_packed(value[np.searchsorted(key, _unpacked_keys(k.as_buffer()))]) for k in requests.column("keys")]
     return pa.table({"bundle": requests.column("bundle"), "keys": requests.column("keys"), "vals": pa.array(values, pa.binary())})
 
 
@@ -312,12 +321,19 @@ class Lookup:
     """Values by key: one slot by hash, and binary search for keys whose slot holds another."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, first = np.unique(keys, return_index=True)
-        self.values = values[first]
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.values = values[order]
+        del order
+        if (self.keys[1:] == self.keys[:-1]).any():
+            first = np.append(True, self.keys[1:] != self.keys[:-1])
+            self.keys, self.values = self.keys[first], self.values[first]
         bits = max(10, int(len(self.keys)).bit_length() + 2)
         self.shift = np.uint64(64 - bits)
         self.slots = np.zeros(1 << bits, np.int32)
-        self.slots[self._slot(self.keys)] = np.arange(len(self.keys))
+        for at in range(0, len(self.keys), SLICE):
+            some = self.keys[at : at + SLICE]
+            self.slots[self._slot(some)] = np.arange(at, at + len(some))
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -341,21 +357,22 @@ def _scores(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Record
     """Scores of the texts of bundles; a bundle's answers come before its texts."""
     current, keys, values, lookup = None, [], [], None
     for whole in batches:
-        bundles = whole.column("bundle").to_numpy()
-        edges = np.flatnonzero(np.append(True, bundles[1:] != bundles[:-1])) if len(bundles) else np.zeros(0, np.int64)
+        bundles, text = whole.column("bundle").to_numpy(), whole.column("keys").is_null().to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(np.append(True, (bundles[1:] != bundles[:-1]) | (text[1:] != text[:-1]))) if len(bundles) else np.zeros(0, np.int64)
         for start, stop in zip(edges, np.append(edges[1:], len(bundles)), strict=True):
             if bundles[start] != current:
                 current, keys, values, lookup = bundles[start], [], [], None
-            batch = whole.slice(start, stop - start)
-            answers = batch.filter(batch.column("keys").is_valid())
-            keys += [_unpacked_keys(k.as_py()) for k in answers.column("keys")]
-            values += [_unpacked(v.as_py(), np.float64) for v in answers.column("vals")]
-            texts = batch.filter(batch.column("keys").is_null())
-            if not texts.num_rows:
+            rows = whole.slice(start, stop - start)
+            if not text[start]:
+                keys += [_unpacked_keys(k.as_buffer()) for k in rows.column("keys")]
+                values += [_unpacked(v.as_buffer(), np.float64) for v in rows.column("vals")]
                 continue
             if lookup is None:
-                lookup, keys, values = Lookup(np.concatenate(keys), np.concatenate(values)), [], []
-            for part in T.slices(iter([texts]), "text", SLICE):
+                key, value = np.concatenate(keys), np.concatenate(values)
+                keys, values = [], []
+                lookup = Lookup(key, value)
+                del key, value
+            for part in T.slices(iter([rows]), "text", SLICE):
                 data, offsets = T.utf8(part.column("text"))
                 codes, begin = _codes(data, offsets, depth)
                 owner = np.repeat(np.arange(part.num_rows), np.diff(begin))
@@ -367,6 +384,7 @@ def _scores(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Record
                 logs = np.bincount(owner, weights=np.log10(count + 0.1), minlength=part.num_rows)
                 columns = [part.column("doc_id"), part.column("held_out"), *map(pa.array, (n, known, logs, score, np.diff(offsets)))]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCORES.split(", ")])
+        whole = rows = part = None  # before the next batch is read
 
 
 def score(docs: DataFrame, train: Column, held_out: Column, depth: int = DEPTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import base64
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -287,6 +288,30 @@ def test_requests_and_answers_come_back_as_they_were_packed():
     assert counted.filter(pc.equal(counted.column("key"), -1)).column("n").to_pylist() == [2]
 
 
+def test_a_partition_is_asked_for_and_scored_in_little_memory():
+    rng = np.random.default_rng(17)
+    words = np.array(["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(20_000)])
+    texts = [" ".join(words[rng.integers(0, len(words), 300)]) for _ in range(2000)]
+    ids = np.arange(len(texts))
+    asking = pa.RecordBatch.from_pydict({"text": texts, "train": ids % 10 > 0, "bundle": ids * 0})
+    tracemalloc.start()
+    asked = pa.Table.from_batches(ctw._asked(iter([asking]), depth=5, buckets=3))
+    peak_asked = tracemalloc.get_traced_memory()[1]
+    key, _ = ctw._totals(asked)
+    packed = sum(pc.sum(pc.binary_length(asked.column(c))).as_py() for c in ("keys", "counts"))
+    model = pa.table({"key": key[key >= 0], "value": np.full(np.count_nonzero(key >= 0), -1.0)})
+    answers = ctw._answered(pa.concat_tables([asked.drop_columns("words"), model], promote_options="default"))
+    rows = pa.table({"bundle": ids * 0, "doc_id": ids, "text": texts, "held_out": ids % 10 == 0})
+    scoring = pa.concat_tables([answers, rows], promote_options="default").to_batches()
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    scores = pa.Table.from_batches(ctw._scores(iter(scoring), depth=5))
+    peak_scored = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert scores.column("score").to_pylist() == [-1.0 - len(t) for t in texts]
+    assert packed < 8 * len(key) and peak_asked < 60e6 and peak_scored < 45e6, (len(key), packed, peak_asked, peak_scored)
+
+
 def test_splitting_tree_deals_exact_quotas_at_random():
     quotas = np.array([1000, 10, 0, 333])
     source = np.repeat(np.arange(4), quotas)
