@@ -92,6 +92,80 @@ def test_queries_on_executors_with_a_bare_path(spark, tmp_path):
         assert here.count()
 
 
+ON_MACHINES = """
+import json, sys
+from pyspark.sql import SparkSession
+from stmtlog.plans import stage
+import __spark_entry__
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config(map=json.loads(sys.argv[1])).getOrCreate()
+spark.sparkContext.master = "spark://host:7077"
+try:
+    folder = stage.shared_folder(spark)
+    told = {"folder": folder, "rows": stage.stage(spark.range(0, 100, 1, 8), "rows").count(), "again": stage.shared_folder(spark)}
+    for name in sys.argv[3:]:
+        __spark_entry__.queries()[name](spark, sys.argv[2]).write.parquet(f"{sys.argv[2]}/{name}")
+except RuntimeError as error:
+    told = {"refused": str(error), "cause": type(error.__cause__).__name__}
+print("TOLD" + json.dumps(told), flush=True)
+spark.stop()
+"""
+
+
+def on_machines(tmp_path, conf, data="", *names):
+    """What a session tells that takes its executors for machines; each has /proc/self/cwd for itself, as a disk of its own."""
+    home, settings = tmp_path / "home", tmp_path / "conf"
+    (home / "work").mkdir(parents=True)
+    settings.mkdir()
+    for part in Path(importlib.util.find_spec("pyspark").origin).parent.iterdir():
+        if part.name != "work":  # executors run there
+            (home / part.name).symlink_to(part)
+    conf = {
+        "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.executor.memory": "700m",
+        "spark.sql.shuffle.partitions": "2", "spark.sql.session.timeZone": "UTC",
+    } | conf
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("SPARK_", "PYSPARK_"))}
+    env |= {
+        "SPARK_HOME": str(home), "SPARK_CONF_DIR": str(settings), "SPARK_LOCAL_IP": "127.0.0.1",
+        "SPARK_LOCAL_DIRS": f"{tmp_path}/local", "PYTHONPATH": str(Path(G.__file__).parents[2]), "PYSPARK_PYTHON": sys.executable,
+    }
+    done = subprocess.run(
+        [sys.executable, "-c", ON_MACHINES, json.dumps(conf), data, *names], env=env, cwd=tmp_path, capture_output=True, text=True,
+        timeout=240,
+    )
+    assert done.returncode == 0, done.stderr[-2000:]
+    return json.loads(done.stdout.rpartition("TOLD")[2].splitlines()[0])
+
+
+def test_a_bare_path_that_machines_share_is_taken(spark, tmp_path):
+    import __spark_entry__
+
+    start = datetime(2024, 1, 1)
+    events = [(i, i % 7, start + timedelta(hours=i)) for i in range(120)]
+    data = f"{tmp_path}/data"
+    spark.createDataFrame(events, "event_id long, user_id long, ts timestamp_ntz").write.parquet(f"{data}/events.parquet")
+    told = on_machines(tmp_path, {"spark.checkpoint.dir": f"{tmp_path}/shared"}, data, "kept_date_range", "check_fix_pairs")
+    assert told["folder"] == told["again"] and told["folder"].startswith(f"file:{tmp_path}/shared/")
+    assert told["rows"] == 100
+    assert "trial" not in "".join(os.listdir(f"{told['folder'].removeprefix('file:')}/stmtlog"))
+    for name in ("kept_date_range", "check_fix_pairs"):
+        here = __spark_entry__.queries()[name](spark, data)
+        assert sorted(spark.read.parquet(f"{data}/{name}").collect()) == sorted(here.collect())
+        assert here.count()
+
+
+@pytest.mark.parametrize("folder", [{}, {"spark.checkpoint.dir": "/proc/self/cwd/own"}])
+def test_the_warehouse_where_no_shared_folder_is_set(tmp_path, folder):
+    told = on_machines(tmp_path, folder | {"spark.sql.warehouse.dir": f"{tmp_path}/tables"})
+    assert told["folder"] == told["again"] == f"file:{tmp_path}/tables/stmtlog-stages"
+    assert told["rows"] == 100
+
+
+def test_folders_on_the_disks_of_machines_are_refused(tmp_path):
+    own = {"spark.checkpoint.dir": "/proc/self/cwd/own", "spark.sql.warehouse.dir": "/proc/self/cwd/tables"}
+    told = on_machines(tmp_path, own)
+    assert "/proc/self/cwd/own" in told["refused"] and told["cause"] == "FileNotFoundError"
+
+
 def test_closing_removes_one_folder_only(spark):
     data = spark.range(3).toDF("x")
     outside = G.stage(data, "outside")
